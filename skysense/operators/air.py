@@ -30,15 +30,24 @@ def aqi_current(df: DataFrame, s: Series) -> DataFrame:
             .withColumn("advice", fn.health_advice(F.col("aqi"))))
 
 
+def _known(df: DataFrame, mode: str) -> DataFrame:
+    """Rows that get an index. Filtering on the index itself would copy its whole
+    expression into the scan, once per band."""
+    c = F.col("pm2_5")
+    if mode == "strict":
+        return df
+    return df.filter(c.isNotNull() & (c >= 0) if mode == "truncate" else c.isNotNull())
+
+
 def advice_distribution(df: DataFrame, keys: tuple[str, ...], *, mode: str = "nullable") -> DataFrame:
     """Readings per advice text."""
-    index = fn.aqi(F.col("pm2_5"), mode=mode)
-    return (df.select(*keys, fn.health_advice(index).alias("advice")).filter(F.col("advice").isNotNull())
+    indexed = _known(df, mode).select(*keys, fn.aqi(F.col("pm2_5"), mode=mode).alias("aqi"))
+    return (indexed.select(*keys, fn.health_advice(F.col("aqi")).alias("advice"))
             .groupBy(*keys, "advice").agg(F.count(F.lit(1)).alias("n")))
 
 
 def category_distribution(df: DataFrame, keys: tuple[str, ...], *, mode: str = "nullable") -> DataFrame:
-    return (with_aqi(df, mode=mode).filter(F.col("category").isNotNull())
+    return (with_aqi(_known(df, mode), mode=mode)
             .groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -122,7 +122,7 @@ def supervised_features_leak_free(spark, sf):
   lead(price, 1) OVER (PARTITION BY station ORDER BY datetime) AS y,
   row_number() OVER (PARTITION BY station ORDER BY datetime) AS rn, count(*) OVER (PARTITION BY station) AS n FROM daily)
 SELECT station, datetime, len(x) AS steps, {r("x[1][1]", "first_quantity")}, {r("x[6][2]", "last_price")},
-  {r("list_sum(list_transform(x, v -> v[2]))", "price_sum")}, {r("y")} FROM t WHERE rn > 6 AND rn + 1 <= n""")
+  {r("list_sum([v[2] for v in x])", "price_sum")}, {r("y")} FROM t WHERE rn > 6 AND rn + 1 <= n""")
 def sequence_windows(spark, sf):
     seq = features.sequence_windows(daily(spark, sf), DAYS, "price", ["quantity", "price"], lookback=6, horizon=2)
     total = F.aggregate("X", F.lit(0.0), lambda a, v: a + v[1])

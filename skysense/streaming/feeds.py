@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysense.constants import AQI_ALERT_THRESHOLD
@@ -24,6 +24,10 @@ def event_stream(spark: SparkSession, folder: str, *, files_per_batch: int = 100
                       (F.col("user_id") % STATIONS).alias("station"), "event_type", "value")
 
 
+def hour_of(ts: str) -> Column:
+    return F.date_trunc("hour", ts)
+
+
 def hourly_means(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Mean per station, measure and hour; a window is emitted once the watermark has passed it."""
     means = (events.withWatermark("ts", watermark)
