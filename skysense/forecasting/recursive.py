@@ -73,14 +73,12 @@ def forecast_recursive(df: DataFrame, s: Series, trained: Trained, hours: int =
     state = materialize(state.filter(ready))
 
     carried = [*s.keys, "_t0", "_ctx", "_preds", *others]
-    history = _history_columns(m, lookback)
+    made = {**_history_columns(m, lookback), **dict(zip(TIME_FEATURES, time_columns("_now")))}
+    # The other measures are both carried state and features; the rest is made here.
+    features = [made.get(n, F.lit(0.0)).cast("double").alias(n) for n in trained.features if n not in others]
     for i in range(hours):
         now = from_seconds(seconds("_t0") + F.lit(i * HOUR))
-        timed = state.withColumn("_now", now)
-        made = {**history, **{n: c for n, c in zip(TIME_FEATURES, time_columns("_now"))}}
-        features = [made.get(n, F.lit(0.0)).cast("double").alias(n) for n in trained.features]
-        # The other measures are both carried state and features; the rest is made here.
-        inputs = timed.select(*carried, *[f for f, n in zip(features, trained.features) if n not in others])
+        inputs = state.withColumn("_now", now).select(*carried, *features)
         scored = trained.model.transform(inputs).withColumn("_grown", F.array_append("_ctx", F.col("predicted")))
         grown = F.col("_grown")
         state = scored.select(

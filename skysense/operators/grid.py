@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skysense.functions.timeaxis import floor_to, from_seconds, micros, seconds
 from skysense.operators.quantiles import quantiles
 from skysense.series import Series, along_rows, neighbours
+from skysense.session import materialize
 
 HOUR = 3600
 DAY = 24 * HOUR
@@ -79,7 +80,8 @@ def regularize(df: DataFrame, s: Series, measures: Sequence[str], step: int = HO
     """
     from skysense.operators.impute import linear_value
 
-    on_grid = grid_left_join(df, s, step, aligned=aligned)
+    # Stored, because the gaps are looked up in it twice and the join should run once.
+    on_grid = materialize(grid_left_join(df, s, step, aligned=aligned))
     near = neighbours(on_grid, s, measures, by="time")
     filled = {m: linear_value(m, leading=False) for m in measures}
     return near.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in on_grid.columns])

@@ -14,15 +14,12 @@ from skysense.session import attach
 
 def linear_value(m: str, *, leading: bool = True, trailing: bool = True) -> Column:
     """Value on the line between the neighbouring points; the nearest point at the ends."""
-    before, after = F.col(f"_prev_{m}"), F.col(f"_next_{m}")
-    share = (F.col("_x") - before["x"]).cast("double") / F.nullif(after["x"] - before["x"], F.lit(0)).cast("double")
-    between = before["v"] + (after["v"] - before["v"]) * share
-    ends = []
-    if leading:
-        ends.append(F.when(before.isNull(), after["v"]))
+    p, n = f"`_prev_{m}`", f"`_next_{m}`"
+    between = f"{p}.v + ({n}.v - {p}.v) * (CAST(_x - {p}.x AS DOUBLE) / CAST(nullif({n}.x - {p}.x, 0) AS DOUBLE))"
+    ends = [f"CASE WHEN {p} IS NULL THEN {n}.v END"] if leading else []
     if trailing:
-        ends.append(F.when(after.isNull(), before["v"]))
-    return F.coalesce(F.col(m).cast("double"), between, *ends)
+        ends.append(f"CASE WHEN {n} IS NULL THEN {p}.v END")
+    return F.expr(f"coalesce({', '.join([f'CAST(`{m}` AS DOUBLE)', between, *ends])})")
 
 
 def _replace(near: DataFrame, df: DataFrame, values: dict[str, Column]) -> DataFrame:

@@ -46,9 +46,13 @@ def fences(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = (), *
 
 
 def cap_outliers(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = (), *, method: str = "iqr",
-                 k: float = IQR_K_CAP, fit_on: Column | None = None) -> DataFrame:
-    """Move values outside the fences onto them; missing values stay missing."""
-    fenced = attach(df, fences(df, measures, keys, method=method, k=k, fit_on=fit_on), keys)
+                 k: float = IQR_K_CAP, fit_on: Column | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """Move values outside the fences onto them; missing values stay missing.
+
+    ``limits`` is a stored result of ``fences`` to use instead of computing it.
+    """
+    made = limits if limits is not None else fences(df, measures, keys, method=method, k=k, fit_on=fit_on)
+    fenced = attach(df, made, keys, settled=limits is not None)
     capped = {m: clip(F.col(m).cast("double"), F.col(f"_fence_{m}.lo"), F.col(f"_fence_{m}.hi")) for m in measures}
     return fenced.select(*[capped[c].alias(c) if c in capped else F.col(c) for c in df.columns])
 
@@ -58,9 +62,10 @@ def is_outlier(m: str) -> Column:
 
 
 def count_outliers(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = (), *, method: str = "iqr",
-                   k: float = IQR_K_CAP) -> DataFrame:
+                   k: float = IQR_K_CAP, limits: DataFrame | None = None) -> DataFrame:
     """Values outside the fences and their share of all rows, per measure."""
-    fenced = attach(df, fences(df, measures, keys, method=method, k=k), keys)
+    made = limits if limits is not None else fences(df, measures, keys, method=method, k=k)
+    fenced = attach(df, made, keys, settled=limits is not None)
     return per_measure(fenced, keys, measures, lambda m: {
         "outliers": F.count_if(is_outlier(m)),
         "outlier_pct": share_pct(F.count_if(is_outlier(m)), F.count(F.lit(1))),

@@ -1,11 +1,13 @@
-"""Exact quantiles without holding a group's values in one task.
-
-The built-in ``percentile`` keeps a map of all distinct values of a group, so one
-hot group decides the memory of one task. Here a first pass takes a mergeable
-sketch (``percentile_approx``), whose rank error is bounded, and brackets each
-wanted rank with two sketch values. A second pass counts the rows below each
-bracket and keeps only the values inside it; their running counts give the exact
-order statistics. Only the few values in the brackets are shuffled.
+"""Exact quantiles without holding a large group's values in one task.
+
+The built-in ``percentile`` keeps a map of all distinct values of a group. That is
+the fastest way for small groups and is used when every group is small, which one
+counting pass finds out. Otherwise one hot group would decide the memory of a task,
+and two passes replace it. The first takes a mergeable sketch
+(``percentile_approx``), whose rank error is bounded, and brackets each wanted rank
+with two sketch values. The second counts the rows below each bracket and keeps only
+the values inside it; their running counts give the exact order statistics. Of a
+large group only the few values in the brackets are shuffled.
 """
 
 from __future__ import annotations
@@ -15,20 +17,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysense.operators.shapes import to_long
+from skysense.operators.shapes import per_measure, to_long
 from skysense.session import attach
 
 ACCURACY = 10_000
+SMALL_GROUP = 50_000
 MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
 
 
 def quantiles(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
-              keys: tuple[str, ...] = (), *, accuracy: int = ACCURACY, name: str = "measure") -> DataFrame:
+              keys: tuple[str, ...] = (), *, accuracy: int = ACCURACY, small_group: int = SMALL_GROUP,
+              name: str = "measure") -> DataFrame:
     """``(keys, name, n, q)``: ``q`` holds the interpolated quantile of each prob.
 
     Same definition as linear interpolation between order statistics at rank
     ``p * (n - 1)``. Measures without any value in a group have no row.
     """
+    counts = df.groupBy(*keys).agg(*[F.count(m).alias(f"_{i}") for i, m in enumerate(measures)])
+    widest = F.greatest(*[F.col(f"_{i}") for i in range(len(measures))]) if len(measures) > 1 else F.col("_0")
+    largest = counts.agg(F.max(widest)).first()[0]
+    if largest is None or largest <= small_group:
+        at = F.array(*[F.lit(float(p)) for p in probs])
+        found = per_measure(df, keys, measures, lambda m: {
+            "n": F.count(m), "q": F.percentile(F.col(m).cast("double"), at)}, name=name)
+        return found.filter(F.col("n") > 0)
+    return _bracketed(df, measures, probs, keys, accuracy, name)
+
+
+def _bracketed(df: DataFrame, measures: Sequence[str], probs: Sequence[float], keys: tuple[str, ...],
+               accuracy: int, name: str) -> DataFrame:
     by = (*keys, name)
     values = to_long(df, measures, keys, name=name).filter(F.col("value").isNotNull())
     slack = MARGIN / accuracy

@@ -15,7 +15,8 @@ def to_long(df: DataFrame, measures: Sequence[str], keep: Sequence[str] = (), *,
     return wide.unpivot(list(keep), list(measures), name, value)
 
 
-def per_measure(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats) -> DataFrame:
+def per_measure(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats, *,
+                name: str = "measure") -> DataFrame:
     """Aggregate every measure in one pass over ``df`` and return one row per measure.
 
     ``stats(m)`` maps output names to aggregate columns for measure ``m``.
@@ -26,7 +27,7 @@ def per_measure(df: DataFrame, keys: Sequence[str], measures: Sequence[str], sta
     rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_{i}").alias("s"))
                      for i, m in enumerate(measures)])
     long = wide.select(*keys, F.explode(rows).alias("r"))
-    return long.select(*keys, F.col("r.measure").alias("measure"), *[F.col(f"r.s.{n}").alias(n) for n in names])
+    return long.select(*keys, F.col("r.measure").alias(name), *[F.col(f"r.s.{n}").alias(n) for n in names])
 
 
 def measure_order(measures: Sequence[str], col: str = "measure"):

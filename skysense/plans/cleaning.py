@@ -12,11 +12,11 @@ from skysense.constants import IQR_K_CAP, MEASURES
 from skysense.operators import schema
 from skysense.operators.grid import HOUR, dedupe_first, regularize, resample_mean
 from skysense.operators.impute import fill_missing, impute_smart, interpolate
-from skysense.operators.outliers import cap_outliers, count_outliers, range_validate
+from skysense.operators.outliers import cap_outliers, count_outliers, fences, range_validate
 from skysense.operators.relational import filter_valid_ts
 from skysense.operators.scaling import normalize, scaler_params, split_time
 from skysense.series import Series
-from skysense.session import materialize
+from skysense.session import materialize, settle
 from skysense.sources.readings import normalise, project_measures
 
 
@@ -58,7 +58,8 @@ def clean(df: DataFrame, s: Series, seq: str, *, missing: str = "smart", step: i
     filled = materialize(filled)
     capped = filled
     if outlier:
-        capped = materialize(cap_outliers(filled, present, s.keys, method=outlier, k=k))
+        limits = settle(fences(filled, present, s.keys, method=outlier, k=k))
+        capped = materialize(cap_outliers(filled, present, s.keys, limits=limits))
     regular = materialize(regularize(capped, s, present, step)) if step else capped
 
     def count(d: DataFrame, order: int, action: str, detail: str) -> DataFrame:
@@ -74,7 +75,7 @@ def clean(df: DataFrame, s: Series, seq: str, *, missing: str = "smart", step: i
              count(unique, 2, "dedupe", "rows after duplicate removal"),
              holes(unique, 3, "impute_before"), holes(filled, 4, "impute_after")]
     if outlier:
-        capped_n = count_outliers(filled, present, s.keys, method=outlier, k=k)
+        capped_n = count_outliers(filled, present, s.keys, limits=limits)
         parts.append(capped_n.groupBy("measure").agg(F.sum("outliers").alias("n")).select(
             F.lit(5).alias("step"), F.lit("cap_outliers").alias("action"), F.col("measure").alias("detail"), "n"))
     parts.append(count(regular, 6, "regularize", "rows on the regular grid"))

@@ -7,7 +7,7 @@ import threading
 from pyspark.sql import functions as F
 
 from skysense.forecasting.models import (
-    BoostingParams, ModelStore, Trained, feature_importance, predict_all as score_all, predict_measure as score,
+    ModelStore, Trained, feature_importance, predict_all as score_all, predict_measure as score,
     train_all as fit_all, train_measure as fit,
 )
 from skysense.forecasting.recursive import forecast_recursive as forecast
@@ -18,9 +18,6 @@ from skysense.queries.common import HOURS, MS, hourly, query
 from skysense.session import materialize, new_path
 from skysense.sources import sinks
 
-# Training all measures with the default 100 trees takes minutes of per-tree job
-# overhead on any size of data; the queries that need every measure use fewer.
-ALL_MEASURES = BoostingParams(trees=20)
 TARGET = "pm2_5"
 
 _STORES: dict[tuple[str, str, str], ModelStore] = {}
@@ -52,7 +49,7 @@ def one_model(spark, sf) -> ModelStore:
 
 
 def all_models(spark, sf) -> ModelStore:
-    return _store(spark, sf, "all", lambda: list(fit_all(prepared(spark, sf), HOURS, MS, ALL_MEASURES)[0].values()))
+    return _store(spark, sf, "all", lambda: list(fit_all(prepared(spark, sf), HOURS, MS, parallel=len(MS))[0].values()))
 
 
 def loaded(store: ModelStore) -> dict[str, Trained]:

@@ -9,8 +9,9 @@ that. A series is cut into pieces instead, in one of two ways:
 * row blocks: exactly ``block`` consecutive rows by position, plus a halo of rows
   copied from the neighbouring blocks for lags, leads and rolling frames.
 
-A chunk holds at most as many rows as there are distinct times in it, so rows
-should be unique per time first (``dedupe_first`` or an aggregation).
+A time chunk holds at most as many rows as there are distinct times in it if rows
+are unique per time (after ``dedupe_first`` or an aggregation). Where they are not,
+``Series(chunk=None)`` cuts by number of rows instead.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skysense.functions.timeaxis import micros, seconds
+from skysense.session import materialize
 
 CHUNK = "_chunk"
 BLOCK = "_block"
@@ -35,14 +37,16 @@ class Series:
     """Which columns identify a series and order its rows.
 
     ``chunk`` is a length in seconds, or in units of ``ts`` if that is a number.
-    Choose it so that a chunk has some thousand rows. Key and time columns must not
-    be NULL; ``tiebreak`` must make the order total where times repeat.
+    Choose it so that a chunk has some thousand rows. With None the rows are range
+    partitioned in order and stored first, which gives chunks of equal size even if
+    many rows share one time. Key and time columns must not be NULL; ``tiebreak``
+    must make the order total where times repeat.
     """
 
     keys: tuple[str, ...] = ("station",)
     ts: str = "datetime"
     tiebreak: tuple[str, ...] = ()
-    chunk: int = WEEK
+    chunk: int | None = WEEK
     block: int = 4096
 
     @property
@@ -65,6 +69,11 @@ class Series:
         return F.col(self.ts).cast("long") if self.is_numeric(df) else micros(df, self.ts)
 
     def with_chunk(self, df: DataFrame) -> DataFrame:
+        if self.chunk is None:
+            n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            ranged = df.repartitionByRange(n, *self.keys, *self.order)
+            # Stored, because the ids must be the same wherever they are used.
+            return materialize(ranged.withColumn(CHUNK, F.spark_partition_id().cast("long")))
         unit = F.col(self.ts) if self.is_numeric(df) else seconds(self.ts)
         return df.withColumn(CHUNK, F.floor(unit / F.lit(self.chunk)).cast("long"))
 
@@ -139,39 +148,44 @@ def neighbours(df: DataFrame, s: Series, measures: Sequence[str], *, by: str = "
     else:
         located = chunked.withColumn("_x", F.row_number().over(s.chunk_window()).cast("long"))
 
-    order = [F.col(c) for c in s.order]
-
     def point(m: str) -> Column:
-        return F.when(F.col(m).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(m).cast("double").alias("v")))
+        return F.expr(f"CASE WHEN `{m}` IS NOT NULL THEN struct(_x AS x, CAST(`{m}` AS DOUBLE) AS v) END")
+
+    order = ", ".join(f"`{c}`" for c in s.order)
 
     def edge(m: str, side: str) -> Column:
-        pick = F.max_by if side == "prev" else F.min_by
-        # min_by/max_by skip rows whose ordering value is NULL, that is, rows without a value.
-        return pick(point(m), F.when(F.col(m).isNotNull(), F.struct(*order))).alias(f"_edge_{side}_{m}")
+        # max_by and min_by skip rows whose ordering is NULL, that is, rows without a value.
+        pick = "max_by" if side == "prev" else "min_by"
+        return F.expr(f"{pick}(struct(_x AS x, CAST(`{m}` AS DOUBLE) AS v), "
+                      f"CASE WHEN `{m}` IS NOT NULL THEN struct({order}) END)").alias(f"_edge_{side}_{m}")
 
     summary = located.groupBy(*s.keys, CHUNK).agg(
         F.count(F.lit(1)).alias("_rows"), *[edge(m, side) for m in measures for side in sides])
     offset = F.lit(0) if by == "time" else F.coalesce(F.sum("_rows").over(s.summary_window()), F.lit(0))
     summary = summary.withColumn("_offset", offset.cast("long"))
 
-    def shifted(col: str) -> Column:
-        c = F.col(col)
-        return F.when(c.isNotNull(), F.struct((c["x"] + F.col("_offset")).alias("x"), c["v"].alias("v")))
+    def shifted(col: str) -> str:
+        return f"CASE WHEN `{col}` IS NOT NULL THEN struct(`{col}`.x + _offset AS x, `{col}`.v AS v) END"
+
+    carrying = {side: s.summary_window(descending=side == "next") for side in sides}
 
     def carried(m: str, side: str) -> Column:
-        w = s.summary_window(descending=side == "next")
-        return F.last(shifted(f"_edge_{side}_{m}"), ignorenulls=True).over(w).alias(f"_carry_{side}_{m}")
+        w = carrying[side]
+        return F.last(F.expr(shifted(f"_edge_{side}_{m}")), ignorenulls=True).over(w).alias(f"_carry_{side}_{m}")
 
     carry = summary.select(*s.keys, CHUNK, "_offset", *[carried(m, side) for m in measures for side in sides])
 
+    # "next" is a running last over the reversed order: a frame that ends at
+    # unboundedFollowing would be evaluated anew for every row.
+    running = {side: s.chunk_window(descending=side == "next").rowsBetween(Window.unboundedPreceding, 0)
+               for side in sides}
+
     def near(m: str, side: str) -> Column:
-        # "next" is a running last over the reversed order: a frame that ends at
-        # unboundedFollowing would be evaluated anew for every row.
-        w = s.chunk_window(descending=side == "next").rowsBetween(Window.unboundedPreceding, 0)
+        w = running[side]
         return F.last(point(m), ignorenulls=True).over(w).alias(f"_near_{side}_{m}")
 
     local = located.select("*", *[near(m, side) for side in sides for m in measures])
     joined = local.join(carry, [*s.keys, CHUNK], "left")
-    found = [F.coalesce(shifted(f"_near_{side}_{m}"), F.col(f"_carry_{side}_{m}")).alias(f"_{side}_{m}")
+    found = [F.expr(f"coalesce({shifted(f'_near_{side}_{m}')}, `_carry_{side}_{m}`)").alias(f"_{side}_{m}")
              for m in measures for side in sides]
     return joined.select(*df.columns, (F.col("_x") + F.col("_offset")).alias("_x"), *found)

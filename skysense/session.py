@@ -35,27 +35,38 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Store ``df`` reliably and continue from the stored rows.
+    """Store ``df`` as Parquet in the shared folder and continue from the stored rows.
 
     Used where a result feeds several branches of the next step: without it the
-    branches would recompute everything upstream, doubling at every step.
+    branches would recompute everything upstream, doubling at every step. The stored
+    table also survives lost executors, and later steps read only the columns they use.
     """
+    spark = df.sparkSession
+    path = new_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a small table that was costly to make, such as one row per series."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def attach(df: DataFrame, params: DataFrame, keys: tuple[str, ...],
-           max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def attach(df: DataFrame, params: DataFrame, keys: tuple[str, ...], *,
+           max_rows: int = BROADCAST_MAX_ROWS, settled: bool = False) -> DataFrame:
     """Join per-series parameters onto the rows of each series (left join).
 
     Without keys ``params`` is a single aggregate row and is broadcast. With keys it
     is stored and counted: up to ``max_rows`` rows are broadcast, so that the big
     side does not move. Beyond that both sides are shuffled, with every series cut
     into ``HOT_KEY_SPREAD`` parts so that no part of a hot series fills one task.
+    ``settled`` says that ``params`` is stored already.
     """
     if not keys:
         return df.crossJoin(F.broadcast(params))
-    params = materialize(params)
+    if not settled:
+        params = settle(params)
     if params.limit(max_rows + 1).count() <= max_rows:
         return df.join(F.broadcast(params), list(keys), "left")
     rest = [c for c in df.columns if c not in keys]
