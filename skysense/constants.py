@@ -46,6 +46,13 @@ HEALTH_ADVICE = (
 )
 AQI_ALERT_THRESHOLD = 100
 
+QUALITY_ADVICE = {
+    "Good": "Data quality is excellent for predictive modeling",
+    "Fair": "Data quality is acceptable with minor gaps",
+    "Poor": "Data quality concerns detected",
+}
+MISSING_CAUTION = "Significant missing data detected - use interpolated values with caution"
+
 VALID_RANGES = {
     "pm2_5": (0.0, 500.0),
     "pm10": (0.0, 1000.0),

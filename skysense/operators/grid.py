@@ -25,9 +25,10 @@ def dedupe_first(df: DataFrame, s: Series, seq: str | Sequence[str]) -> DataFram
     """
     by = [*s.keys, s.ts]
     rest = [c for c in df.columns if c not in by]
-    seq = [seq] if isinstance(seq, str) else list(seq)
-    first = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*seq)).alias("r"))
-    return first.select(*[c if c in by else F.col(f"r.{c}").alias(c) for c in df.columns])
+    order = F.col(seq) if isinstance(seq, str) else F.struct(*seq)
+    first = df.groupBy(*by).agg(*[F.min_by(c, order).alias(f"_{i}") for i, c in enumerate(rest)])
+    place = {c: F.col(f"_{i}") for i, c in enumerate(rest)}
+    return first.select(*[place[c].alias(c) if c in place else F.col(c) for c in df.columns])
 
 
 def _spine(bounds: DataFrame, keys: Sequence[str], ts: str, step: int) -> DataFrame:

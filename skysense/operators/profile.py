@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysense.constants import HISTOGRAM_BINS, IQR_K_CAP, IQR_K_REPORT, PERCENTILES
@@ -58,9 +58,10 @@ def upload_summary(df: DataFrame, measures: Sequence[str], ts: str = "datetime",
         "total_rows": rows(), "start": F.min(ts), "end": F.max(ts), "mean": F.avg(m),
         "std": F.stddev_samp(m), "min": F.min(m), "max": F.max(m), "missing_pct": F.round(missing_pct(m), 2)})
     full = _with_quantiles(stats, df, measures, keys, {"median": 0.5})
-    overall = stats.groupBy(*keys).agg(quality_label(F.avg("missing_pct")).alias("data_quality"))
-    joined = full.join(overall, list(keys), "left") if keys else full.crossJoin(F.broadcast(overall))
-    return joined.withColumn("measure_quality", measure_quality(F.col("missing_pct")))
+    # One row per measure is left of each series here.
+    overall = quality_label(F.avg("missing_pct").over(Window.partitionBy(*keys)))
+    return (full.withColumn("data_quality", overall)
+            .withColumn("measure_quality", measure_quality(F.col("missing_pct"))))
 
 
 def percentiles(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = (),
@@ -170,8 +171,8 @@ def weekday_pattern(df: DataFrame, measures: Sequence[str], ts: str = "datetime"
 def monthly_pattern(df: DataFrame, measures: Sequence[str], ts: str = "datetime", min_months: int = 4) -> DataFrame:
     """Mean by calendar month, only if at least ``min_months`` different months occur."""
     by_month = df.groupBy(calendar.month_name(ts).alias("month")).agg(*[F.avg(m).alias(m) for m in measures])
-    seen = by_month.agg(F.count("month").alias("_months"))  # at most 12 rows in
-    return (month_dim(by_month).crossJoin(F.broadcast(seen))
+    seen = F.count("month").over(Window.partitionBy())  # over at most 12 rows
+    return (month_dim(by_month).withColumn("_months", seen)
             .filter(F.col("_months") >= min_months).drop("_months"))
 
 
@@ -219,8 +220,7 @@ def quality_score(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...]
     consistent = clip(hundred - clip(F.col("cv_pct"), upper=hundred), lower=zero)
     scored = out.withColumn("completeness", complete).withColumn(
         "score", complete * 0.5 + few_outliers * 0.3 + consistent * 0.2)
-    overall = scored.groupBy(*keys).agg(F.avg(F.round("score", 1)).alias("overall_score"))
-    joined = scored.join(overall, list(keys)) if keys else scored.crossJoin(F.broadcast(overall))
+    joined = scored.withColumn("overall_score", F.avg(F.round("score", 1)).over(Window.partitionBy(*keys)))
     band = (F.when(F.col("overall_score") >= 90, "Excellent").when(F.col("overall_score") >= 75, "Good")
             .when(F.col("overall_score") >= 60, "Fair").otherwise("Poor"))
     return joined.withColumn("overall_band", band)

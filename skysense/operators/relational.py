@@ -50,9 +50,10 @@ def preview(df: DataFrame, s: Series, n: int = 10) -> DataFrame:
 def latest_reading(df: DataFrame, s: Series) -> DataFrame:
     """The last row of every series, as an aggregation with partial results per task."""
     rest = [c for c in df.columns if c not in s.keys]
-    last = F.max_by(F.struct(*rest), F.struct(*s.order)).alias("r")
-    agg = df.groupBy(*s.keys).agg(last)
-    return agg.select(*s.keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    # A single number as order keeps this a hash aggregation.
+    order = F.struct(*s.order) if s.tiebreak else s.axis(df)
+    last = df.groupBy(*s.keys).agg(*[F.max_by(c, order).alias(f"_{i}") for i, c in enumerate(rest)])
+    return last.select(*s.keys, *[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)])
 
 
 def tail_n(df: DataFrame, s: Series, n: int) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysense.constants import MISSING_CAUTION, QUALITY_ADVICE
 from skysense.operators import profile
 from skysense.operators.schema import missing_share
 
@@ -21,10 +22,9 @@ def _side(df: DataFrame, label: str, ts: str) -> DataFrame:
 
 def before_after(raw: DataFrame, clean: DataFrame, ts: str = "datetime") -> DataFrame:
     """One row per stage with size, missing values and time range, and the change in rows."""
-    before, after = _side(raw, "before", ts), _side(clean, "after", ts)
-    change = after.select(F.col("rows").alias("_after")).crossJoin(before.select(F.col("rows").alias("_before")))
-    return (before.unionByName(after).crossJoin(F.broadcast(change))
-            .withColumn("row_change", F.col("_after") - F.col("_before")).drop("_after", "_before"))
+    both = _side(raw, "before", ts).unionByName(_side(clean, "after", ts))
+    signed = F.when(F.col("stage") == "after", F.col("rows")).otherwise(-F.col("rows"))
+    return both.withColumn("row_change", F.sum(signed).over(Window.partitionBy()))  # two rows
 
 
 def _text(c: Column | str) -> Column:
@@ -74,10 +74,8 @@ def analysis_report(df: DataFrame, measures: Sequence[str], ts: str = "datetime"
     insights = _items(top, "insights", 4, {
         "highest_average": F.col("highest_measure"), "most_variable": F.col("most_variable")})
     complete = _items(overall, "insights", 4, {"avg_completeness": (100 - F.col("avg_missing")).cast("decimal(20,1)")})
-    advice = (F.when(F.col("data_quality") == "Good", "Data quality is excellent for predictive modeling")
-              .when(F.col("data_quality") == "Fair", "Data quality is acceptable with minor gaps")
-              .otherwise("Data quality concerns detected"))
-    caution = F.when(F.col("avg_missing") > 10, "Significant missing data detected - use interpolated values with caution")
+    advice = F.coalesce(*[F.when(F.col("data_quality") == label, text) for label, text in QUALITY_ADVICE.items()])
+    caution = F.when(F.col("avg_missing") > 10, MISSING_CAUTION)
     recommend = _items(overall, "recommendations", 5, {"quality": advice, "missing": caution}).filter(
         F.col("value").isNotNull())
     return overview.unionByName(stats).unionByName(quality).unionByName(insights).unionByName(complete).unionByName(recommend)

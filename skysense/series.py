@@ -151,13 +151,16 @@ def neighbours(df: DataFrame, s: Series, measures: Sequence[str], *, by: str = "
     def point(m: str) -> Column:
         return F.expr(f"CASE WHEN `{m}` IS NOT NULL THEN struct(_x AS x, CAST(`{m}` AS DOUBLE) AS v) END")
 
-    order = ", ".join(f"`{c}`" for c in s.order)
-
     def edge(m: str, side: str) -> Column:
-        # max_by and min_by skip rows whose ordering is NULL, that is, rows without a value.
-        pick = "max_by" if side == "prev" else "min_by"
-        return F.expr(f"{pick}(struct(_x AS x, CAST(`{m}` AS DOUBLE) AS v), "
-                      f"CASE WHEN `{m}` IS NOT NULL THEN struct({order}) END)").alias(f"_edge_{side}_{m}")
+        # Orderings that are NULL, from rows without a value, are skipped. With plain
+        # numbers as buffers this runs as a hash aggregation; only repeated times
+        # need the whole order as a struct.
+        ends, pick = ("max", "max_by") if side == "prev" else ("min", "min_by")
+        x, v = f"CASE WHEN `{m}` IS NOT NULL THEN _x END", f"CAST(`{m}` AS DOUBLE)"
+        if by == "time" and s.tiebreak:
+            order = f"CASE WHEN `{m}` IS NOT NULL THEN struct({', '.join(f'`{c}`' for c in s.order)}) END"
+            return F.expr(f"struct({pick}(_x, {order}) AS x, {pick}({v}, {order}) AS v)").alias(f"_edge_{side}_{m}")
+        return F.expr(f"struct({ends}({x}) AS x, {pick}({v}, {x}) AS v)").alias(f"_edge_{side}_{m}")
 
     summary = located.groupBy(*s.keys, CHUNK).agg(
         F.count(F.lit(1)).alias("_rows"), *[edge(m, side) for m in measures for side in sides])
@@ -165,7 +168,7 @@ def neighbours(df: DataFrame, s: Series, measures: Sequence[str], *, by: str = "
     summary = summary.withColumn("_offset", offset.cast("long"))
 
     def shifted(col: str) -> str:
-        return f"CASE WHEN `{col}` IS NOT NULL THEN struct(`{col}`.x + _offset AS x, `{col}`.v AS v) END"
+        return f"CASE WHEN `{col}`.x IS NOT NULL THEN struct(`{col}`.x + _offset AS x, `{col}`.v AS v) END"
 
     carrying = {side: s.summary_window(descending=side == "next") for side in sides}
 

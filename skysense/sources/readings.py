@@ -59,7 +59,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per event: station, hour, event id and the value under its measure's name."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events").withColumn("value", nan_to_null("value"))
     return e.select(
         (F.col("user_id") % STATIONS).alias("station"),
         F.window("ts", "1 hour")["start"].alias("datetime"),

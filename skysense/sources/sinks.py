@@ -17,11 +17,12 @@ def write_readings(df: DataFrame, path: str, *, fmt: str = "parquet", keys: Sequ
     """Write readings under ``path``; Parquet by series and day, so readers can skip folders.
 
     Rows are sent to tasks by series and day before writing, which keeps the number of
-    files low without collecting a series in one task.
+    files low; the rebalance hint lets adaptive execution split a day that is too big
+    for one task.
     """
     writer_input, by = df, []
     if partitioned:
-        writer_input = df.withColumn("date", F.to_date(ts)).repartition(*keys, "date")
+        writer_input = df.withColumn("date", F.to_date(ts)).hint("rebalance", *keys, "date")
         by = [*keys, "date"]
     writer = writer_input.write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     if by:
