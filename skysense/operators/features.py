@@ -131,13 +131,14 @@ def sequence_windows(df: DataFrame, s: Series, target: str, columns: Sequence[st
     the target ``horizon - 1`` rows ahead."""
     def exprs(w) -> list[Column]:
         past = F.collect_list(F.array(*[F.col(c).cast("double") for c in columns]))
-        return [past.over(w.rowsBetween(-lookback, -1)).alias("X"),
-                F.lead(target, horizon - 1).over(w).alias("y"),
+        return [past.over(w.rowsBetween(-lookback, -1)).alias("_X"),
+                F.lead(target, horizon - 1).over(w).alias("_y"),
                 F.lead(F.lit(1), horizon - 1).over(w).alias("_has_y")]
 
-    rows = along_rows(df, s, exprs, before=lookback, after=horizon - 1, step=step)
-    usable = (F.size("X") == lookback) & F.col("_has_y").isNotNull()
-    return rows.filter(usable).select(*s.keys, s.ts, "X", "y")
+    slim = df.select(*dict.fromkeys([*s.keys, *s.order, target, *columns]))
+    rows = along_rows(slim, s, exprs, before=lookback, after=horizon - 1, step=step)
+    usable = (F.size("_X") == lookback) & F.col("_has_y").isNotNull()
+    return rows.filter(usable).select(*s.keys, s.ts, F.col("_X").alias("X"), F.col("_y").alias("y"))
 
 
 def half_trend(df: DataFrame, s: Series, value: str) -> DataFrame:
