@@ -194,15 +194,18 @@ def clean_pipeline(spark, sf):
     return plans.clean(messy(spark, sf), HOURS, "event_id").data
 
 
-@query("clean_log", f"""WITH {MESSY_SQL}, fences AS (SELECT * FROM capped_q), {long_sql('filled')}, {long_sql('cleaned', name='done')}
-SELECT 1 AS step, 'parse_datetime' AS action, 'rows with a valid time' AS detail, count(*) AS n FROM event_rows
+CLEAN_LOG_CTES = f"fences AS (SELECT * FROM capped_q), {long_sql('filled')}, {long_sql('cleaned', name='done')}"
+CLEAN_LOG_SELECT = f"""SELECT 1 AS step, 'parse_datetime' AS action, 'rows with a valid time' AS detail, count(*) AS n FROM event_rows
 UNION ALL SELECT 2, 'dedupe', 'rows after duplicate removal', count(*) FROM uniq
 UNION ALL SELECT 3, 'impute_before', 'missing values', {each("count(*) FILTER (WHERE {m} IS NULL)", MS, " + ")} FROM uniq
 UNION ALL SELECT 4, 'impute_after', 'missing values', {each("count(*) FILTER (WHERE {m} IS NULL)", MS, " + ")} FROM filled
 {each("UNION ALL SELECT 5, 'cap_outliers', '{m}', count(*) FILTER (WHERE f.{m} < a_{m} - 3.0 * (b_{m} - a_{m}) OR f.{m} > b_{m} + 3.0 * (b_{m} - a_{m})) FROM filled f JOIN fences USING (station)", MS, " ")}
 UNION ALL SELECT 6, 'regularize', 'rows on the regular grid', count(*) FROM cleaned
 UNION ALL SELECT 7, 'range_check', measure, count(*) FILTER (WHERE value < low OR value > high) FROM done JOIN
- (VALUES ('pm2_5', 0, 500), ('pm10', 0, 1000), ('no2', 0, 500), ('so2', 0, 500), ('co', 0, 50)) t(measure, low, high) USING (measure) GROUP BY measure""")
+ (VALUES ('pm2_5', 0, 500), ('pm10', 0, 1000), ('no2', 0, 500), ('so2', 0, 500), ('co', 0, 50)) t(measure, low, high) USING (measure) GROUP BY measure"""
+
+
+@query("clean_log", f"WITH {MESSY_SQL}, {CLEAN_LOG_CTES} {CLEAN_LOG_SELECT}")
 def clean_log(spark, sf):
     return plans.clean(messy(spark, sf), HOURS, "event_id").log
 

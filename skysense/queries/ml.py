@@ -13,8 +13,8 @@ from skysense.forecasting.models import (
 from skysense.forecasting.recursive import forecast_recursive as forecast
 from skysense.operators import air, impute, relational as rel, scoring
 from skysense.plans import cleaning
-from skysense.queries.cleaning import messy
-from skysense.queries.common import HOURS, MS, hourly, query
+from skysense.queries.cleaning import MESSY_SQL, messy
+from skysense.queries.common import HOURLY_SQL, HOURS, MS, each, hourly, interp_sql, query
 from skysense.session import materialize, new_path
 from skysense.sources import sinks
 
@@ -134,7 +134,10 @@ def forecast_recursive(spark, sf):
     return forecast(filled(spark, sf), HOURS, one_model(spark, sf).load(TARGET))
 
 
-@query("export_tables")
+@query("export_tables", f"""WITH {MESSY_SQL}, {HOURLY_SQL}, {interp_sql('hourly', 'done')}
+SELECT 'cleaned' AS export, count(*) AS "rows" FROM cleaned UNION ALL SELECT 'processed', count(*) FROM hourly
+UNION ALL SELECT 'predictions', count(*) FROM hourly UNION ALL SELECT 'forecast', 24 * count(*) FROM (
+  SELECT unnest([{each('{m}')}]) AS v FROM (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY station ORDER BY datetime DESC) = 1)) WHERE v IS NOT NULL""")
 def export_tables(spark, sf):
     """The four CSV exports, and the number of rows that come back from each."""
     h = hourly(spark, sf)

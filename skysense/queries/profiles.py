@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skysense.operators import grid, outliers, profile
+from skysense.operators import features, grid, profile
 from skysense.plans import reports
-from skysense.queries.cleaning import MESSY_SQL, messy
+from skysense.queries.cleaning import CLEAN_LOG_CTES, CLEAN_LOG_SELECT, MESSY_SQL, messy
 from skysense.queries.common import (
-    DAILY_SQL, DAYS, DS, HOURLY_SQL, HOURS, MS, NUDGE, daily, each, hourly, long_sql, query, r, rounded, rr,
+    DAILY_SQL, DAYS, DS, HOURLY_SQL, HOURS, MS, NUDGE, daily, each, hourly, long_sql, query, r, rounded,
 )
+from skysense.queries.feature import rolling_sql
 from skysense.session import materialize, new_path
 from skysense.sources import readings, sinks
 
@@ -124,14 +125,17 @@ def corr_matrix(spark, sf):
     return profile.corr_matrix(readings.hourly(spark, sf), MS, ("station",))
 
 
-ORDER_LINES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+SMOOTHED = ("price", "price_rolling_mean_3", "price_rolling_mean_6", "price_rolling_mean_12")
 
 
-@query("strong_corr", f"""WITH {pairs_sql('lineitem', ORDER_LINES)} SELECT measure_1, measure_2, {r('corr')},
+@query("strong_corr", f"""WITH {DAILY_SQL}, smooth AS (SELECT *, {rolling_sql('price', (3, 6, 12), ('mean',))} FROM daily),
+{pairs_sql('smooth', SMOOTHED)} SELECT measure_1, measure_2, {r('corr')},
   CASE WHEN abs(corr) > 0.8 THEN 'Very Strong' WHEN abs(corr) > 0.6 THEN 'Strong' ELSE 'Moderate' END AS strength,
   CASE WHEN corr > 0 THEN 'Positive' ELSE 'Negative' END AS direction FROM pairs WHERE abs(corr) > 0.5""")
 def strong_corr(spark, sf):
-    return profile.strong_corr(readings.table(spark, sf, "lineitem"), ORDER_LINES)
+    """Between a measure and its rolling means: independent measures have no strong pairs here."""
+    smooth = features.rolling_features(daily(spark, sf), DAYS, ["price"], (3, 6, 12))
+    return profile.strong_corr(smooth, SMOOTHED)
 
 
 @query("weak_corr", f"""WITH {HOURLY_SQL}, {pairs_sql('hourly', MS, 'station')} SELECT station, measure_1, measure_2, {r('corr')},
@@ -267,6 +271,10 @@ RAW_CELLS = f"""raw AS (SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE date_t
   {", ".join(f"CASE WHEN event_type = '{t}' THEN value END AS {m}" for t, m in readings.EVENT_MEASURES.items())} FROM events)"""
 
 
+RAW_ROWS = f"""raw_rows AS (SELECT date_trunc('hour', ts) AS datetime, user_id % 4 AS station, event_id,
+  {", ".join(f"CASE WHEN event_type = '{t}' THEN value END AS {m}" for t, m in readings.EVENT_MEASURES.items())} FROM events)"""
+
+
 @query("before_after", f"""WITH {RAW_CELLS}, {MESSY_SQL},
 sides AS (SELECT 'before' AS stage, count(*) AS "rows", 7 AS columns, count(*) FILTER (WHERE datetime IS NULL) + {GONE} AS missing, min(datetime) AS start, max(datetime) AS "end" FROM raw
   UNION ALL SELECT 'after', count(*), 7, {GONE}, min(datetime), max(datetime) FROM cleaned)
@@ -280,7 +288,18 @@ def before_after(spark, sf):
     return reports.before_after(raw, clean(messy(spark, sf), HOURS, "event_id").data)
 
 
-@query("cleaning_report")
+def facts_sql(no: int, section: str, src: str, columns: int, missing: str) -> str:
+    items = {"total_rows": "count(*)::VARCHAR", "total_columns": f"max('{columns}')", "missing_values": f"({missing})::VARCHAR",
+             "missing_pct": f"round(({missing}) * 100.0::DOUBLE / (count(*) * {columns}), 2)::VARCHAR",
+             "start": "strftime(min(datetime), '%Y-%m-%d %H:%M:%S')", "end": "strftime(max(datetime), '%Y-%m-%d %H:%M:%S')"}
+    return " UNION ALL ".join(f"SELECT {no} AS section_no, '{section}' AS section, '{k}' AS item, {v} AS value FROM {src}" for k, v in items.items())
+
+
+@query("cleaning_report", f"""WITH {RAW_ROWS}, {MESSY_SQL}, {CLEAN_LOG_CTES}, log AS ({CLEAN_LOG_SELECT})
+{facts_sql(1, "original", "raw_rows", 8, GONE)} UNION ALL {facts_sql(2, "cleaned", "cleaned", 7, GONE)}
+UNION ALL SELECT 3, 'actions', step || '.' || action || '.' || detail, n::VARCHAR FROM log
+UNION ALL SELECT 4, 'summary', 'row_change', ((SELECT count(*) FROM cleaned) - (SELECT count(*) FROM raw_rows))::VARCHAR
+UNION ALL SELECT 4, 'summary', 'columns_retained', '7'""")
 def cleaning_report(spark, sf):
     from skysense.plans.cleaning import clean
 

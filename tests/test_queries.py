@@ -26,6 +26,6 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
 def test_query(spark, con, name):
-    # strong_corr reports pairs above a threshold that the order lines never reach.
     problem, n = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SMALL)
-    assert not problem and (n > 0 or name == "strong_corr")
+    # No row of the smallest table has all five measures.
+    assert not problem and (n > 0 or name == "dropna_any")
