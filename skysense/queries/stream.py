@@ -34,7 +34,7 @@ def stream_dedupe(spark, sf):
 
 @query("stream_sliding_mean", f"""WITH e AS (SELECT user_id % 4 AS station, event_type, ts, value FROM events),
 w AS (SELECT station, event_type, value, date_trunc('hour', ts) - to_hours(i) AS window_start FROM e, range(0, 24) t(i))
-SELECT station, event_type, window_start, window_start + INTERVAL 24 HOUR AS window_end, {r("round(avg(value), 6)", "mean")}, count(*) AS n FROM w
+SELECT station, event_type, window_start, window_start + INTERVAL 24 HOUR AS window_end, {r("avg(value)", "mean")}, count(*) AS n FROM w
 WHERE window_start + INTERVAL 24 HOUR <= {CLOSED} GROUP BY 1, 2, 3""")
 def stream_sliding_mean(spark, sf):
     return feeds.run_available(feeds.sliding_means(feeds.event_stream(spark, sf)), "sliding")

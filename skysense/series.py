@@ -119,13 +119,11 @@ def along_rows(df: DataFrame, s: Series, exprs, *, before: int = 0, after: int =
     numbered = grid_position(df, s, step) if step else number_rows(df, s)
     home = F.floor(F.col(POSITION) / F.lit(block)).cast("long")
     at = F.pmod(F.col(POSITION), F.lit(block))
-    homes = [home]
-    if before:
-        homes.append(F.when(at >= block - before, home + 1))
-    if after:
-        homes.append(F.when(at < after, home - 1))
-    spread = (numbered.withColumn("_home", home)
-              .withColumn(BLOCK, F.explode(F.array_compact(F.array(*homes)))))
+    # A row near the end of its block is also needed by the next one, and a row near
+    # the start by the one before.
+    first = home - (at < after).cast("long") if after else home
+    last = home + (at >= block - before).cast("long") if before else home
+    spread = numbered.withColumn("_home", home).withColumn(BLOCK, F.explode(F.sequence(first, last)))
     window = Window.partitionBy(*s.keys, BLOCK).orderBy(POSITION)
     return (spread.select("*", *exprs(window))
             .filter(F.col(BLOCK) == F.col("_home"))

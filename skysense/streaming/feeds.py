@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from skysense.constants import AQI_ALERT_THRESHOLD
 from skysense.functions.aqi import is_alert
@@ -55,11 +56,20 @@ def sliding_means(events: DataFrame, length: str = "24 hours", slide: str = "1 h
     not numbers of rows, and include incomplete ones at the start."""
     means = (events.withWatermark("ts", watermark)
              .groupBy("station", "event_type", F.window("ts", length, slide))
-             .agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n")))
+             .agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")))
     return means.select("station", "event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                         F.col("window.end").cast("timestamp_ntz").alias("window_end"), "mean", "n")
 
 
+def start(stream: DataFrame, name: str, path: str, state: str, trigger: str = "1 minute") -> StreamingQuery:
+    """Keep writing ``stream`` to Parquet files under ``path``; ``state`` holds its progress.
+
+    Started again with the same folders it goes on after the last finished batch.
+    """
+    return (stream.writeStream.queryName(name).format("parquet").outputMode("append")
+            .option("checkpointLocation", state).trigger(processingTime=trigger).start(path))
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process everything that is there now into Parquet files and return them as a table.
 
