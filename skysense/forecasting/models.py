@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -120,8 +121,11 @@ class ModelStore:
         t.metrics.coalesce(1).write.mode("overwrite").json(f"{base}/metrics")
 
     def has(self, measure: str) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{measure}/model")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        try:
+            self.spark.read.text(f"{self.path}/{measure}/model/metadata")
+        except AnalysisException:
+            return False
+        return True
 
     def presence(self, measures: Sequence[str]) -> DataFrame:
         return self.spark.createDataFrame([(m, self.has(m)) for m in measures], "measure string, has_model boolean")

@@ -15,15 +15,16 @@ from skysense.session import attach
 
 
 def fences(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = (), *, method: str = "iqr",
-           k: float = IQR_K_CAP, fit_on: Column | None = None) -> DataFrame:
+           k: float = IQR_K_CAP, fit_on: Column | None = None, exact: bool = True) -> DataFrame:
     """One row per series with struct ``_fence_{measure}`` (lo, hi).
 
-    ``fit_on`` restricts the rows the fences are learnt from.
+    ``fit_on`` restricts the rows the fences are learnt from; ``exact=False`` takes the
+    quartiles from a sketch.
     """
     if fit_on is not None:
         df = df.filter(fit_on)
     if method == "iqr":
-        q = quantiles_wide(df, measures, [0.25, 0.75], keys)
+        q = quantiles_wide(df, measures, [0.25, 0.75], keys, exact=exact)
 
         def bounds(m: str) -> tuple[Column, Column]:
             lo, hi = F.col(f"_q_{m}")[0], F.col(f"_q_{m}")[1]

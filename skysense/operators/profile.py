@@ -30,17 +30,17 @@ def missing_pct(m: str) -> Column:
 
 
 def _with_quantiles(stats: DataFrame, df: DataFrame, measures: Sequence[str], keys: tuple[str, ...],
-                    named: dict[str, float]) -> DataFrame:
-    q = quantiles(df, measures, list(named.values()), keys)
+                    named: dict[str, float], exact: bool = True) -> DataFrame:
+    q = quantiles(df, measures, list(named.values()), keys, exact=exact)
     cols = [F.col("q")[i].alias(n) for i, n in enumerate(named)]
     return stats.join(q.select(*keys, "measure", *cols), [*keys, "measure"], "left")
 
 
-def describe(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = ()) -> DataFrame:
+def describe(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = (), *, exact: bool = True) -> DataFrame:
     stats = per_measure(df, keys, measures, lambda m: {
         "count": F.count(m), "mean": F.avg(m), "std": F.stddev_samp(m),
         "min": F.min(m), "max": F.max(m), "missing_pct": missing_pct(m)})
-    return _with_quantiles(stats, df, measures, keys, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return _with_quantiles(stats, df, measures, keys, {"q25": 0.25, "median": 0.5, "q75": 0.75}, exact)
 
 
 def quality_label(avg_missing: Column) -> Column:
@@ -65,8 +65,8 @@ def upload_summary(df: DataFrame, measures: Sequence[str], ts: str = "datetime",
 
 
 def percentiles(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = (),
-                probs: Sequence[float] = PERCENTILES) -> DataFrame:
-    q = quantiles(df, measures, probs, keys)
+                probs: Sequence[float] = PERCENTILES, *, exact: bool = True) -> DataFrame:
+    q = quantiles(df, measures, probs, keys, exact=exact)
     labels = F.array(*[F.lit(round(p * 100)) for p in probs])
     pair = F.explode(F.arrays_zip(labels.alias("p"), F.col("q").alias("v"))).alias("r")
     return q.select(*keys, "measure", pair).select(

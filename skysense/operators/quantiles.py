@@ -27,12 +27,16 @@ MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
 
 def quantiles(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
               keys: tuple[str, ...] = (), *, accuracy: int = ACCURACY, small_group: int = SMALL_GROUP,
-              name: str = "measure") -> DataFrame:
+              name: str = "measure", exact: bool = True) -> DataFrame:
     """``(keys, name, n, q)``: ``q`` holds the interpolated quantile of each prob.
 
     Same definition as linear interpolation between order statistics at rank
     ``p * (n - 1)``. Measures without any value in a group have no row.
+    With ``exact=False`` one pass returns actual values whose rank is off by at most
+    ``n / accuracy``.
     """
+    if not exact:
+        return _sketched(df, measures, probs, keys, accuracy, name)
     counts = df.groupBy(*keys).agg(*[F.count(m).alias(f"_{i}") for i, m in enumerate(measures)])
     widest = F.greatest(*[F.col(f"_{i}") for i in range(len(measures))]) if len(measures) > 1 else F.col("_0")
     largest = counts.agg(F.max(widest)).first()[0]
@@ -91,17 +95,16 @@ def _bracketed(df: DataFrame, measures: Sequence[str], probs: Sequence[float], k
 
 
 def quantiles_wide(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
-                   keys: tuple[str, ...] = (), *, accuracy: int = ACCURACY) -> DataFrame:
+                   keys: tuple[str, ...] = (), *, exact: bool = True) -> DataFrame:
     """One row per key with an array column ``_q_{measure}`` per measure."""
-    long = quantiles(df, measures, probs, keys, accuracy=accuracy)
+    long = quantiles(df, measures, probs, keys, exact=exact)
     return long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(f"_q_{m}") for m in measures])
 
 
-def quantiles_approx(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
-                     keys: tuple[str, ...] = (), *, accuracy: int = ACCURACY) -> DataFrame:
-    """Opt-in one-pass variant: actual values whose rank is off by at most ``n / accuracy``."""
-    values = to_long(df, measures, keys).filter(F.col("value").isNotNull())
-    return values.groupBy(*keys, "measure").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", F.array(*[F.lit(float(p)) for p in probs]), F.lit(accuracy)).alias("q"))
+def _sketched(df: DataFrame, measures: Sequence[str], probs: Sequence[float], keys: tuple[str, ...],
+              accuracy: int, name: str) -> DataFrame:
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    found = per_measure(df, keys, measures, lambda m: {
+        "n": F.count(m), "q": F.percentile_approx(F.col(m).cast("double"), at, F.lit(accuracy))}, name=name)
+    return found.filter(F.col("n") > 0)

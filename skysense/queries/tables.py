@@ -94,7 +94,7 @@ def filter_valid_ts(spark, sf):
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(row_number() OVER (ORDER BY event_id) - 1) AS datetime FROM events""")
 def synth_datetime(spark, sf):
     e = readings.table(spark, sf, "events").select("event_id", "value")
-    order = Series(keys=(), ts="event_id", chunk=65_536)
+    order = Series(keys=(), ts="event_id", chunk=1_000_000)
     return grid.synth_datetime(e, order, "2024-01-01 00:00:00")
 
 

@@ -128,8 +128,36 @@ def test_quantiles_without_keys_or_rows(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 4.0)], "station int, m double")
     assert quantiles.quantiles(df, ["m"], [0.5]).first().q == [2.5]
     assert quantiles.quantiles(df, ["m"], [0.5], small_group=0).first().q == [2.5]
-    approx = quantiles.quantiles_approx(df, ["m"], [0.5]).first().q[0]
-    assert approx in (1.0, 4.0)
+
+
+def test_sketched_quantiles_stay_within_their_rank_error(spark):
+    from skysense.operators import profile
+
+    values = np.random.default_rng(1).permutation(20_000).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in values], "m double").repartition(5)
+    for r in profile.percentiles(df, ["m"], exact=False).collect():
+        assert abs(r.value - r.percentile / 100 * 20_000) <= 20_000 / quantiles.ACCURACY + 1
+    assert profile.describe(df, ["m"], exact=False).first().median in (9998.0, 9999.0, 10000.0, 10001.0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_filling_leaves_no_hole_between_valid_values(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(k, at(float(h)), None if rng.random() < 0.7 else float(rng.uniform(0, 9)))
+            for k in range(3) for h in np.cumsum(rng.integers(1, 9, 60))]
+    df = spark.createDataFrame(rows, "station int, datetime timestamp_ntz, m double")
+    filled = impute.interpolate(df, HOURS, ["m"])
+    assert filled.filter("m is null").count() == 0 and filled.count() == len(rows)
+    low, high = df.agg(F.min("m"), F.max("m")).first()
+    assert filled.filter((F.col("m") < low - 1e-9) | (F.col("m") > high + 1e-9)).count() == 0
+
+
+def test_capping_twice_with_the_same_fences_changes_nothing(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 5, 90, -70]], "m double")
+    limits = outliers.fences(df, ["m"], k=1.5).cache()
+    once = outliers.cap_outliers(df, ["m"], limits=limits)
+    twice = outliers.cap_outliers(once, ["m"], limits=limits)
+    assert sorted(r.m for r in once.collect()) == sorted(r.m for r in twice.collect()) != sorted(r.m for r in df.collect())
 
 
 def test_capping(spark):
