@@ -13,6 +13,7 @@ large group only the few values in the brackets are shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
 
 
 def quantiles(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
-              keys: tuple[str, ...] = (), *, accuracy: int = ACCURACY, small_group: int = SMALL_GROUP,
+              keys: tuple[str, ...] = (), *, accuracy: int | None = None, small_group: int = SMALL_GROUP,
               name: str = "measure", exact: bool = True) -> DataFrame:
     """``(keys, name, n, q)``: ``q`` holds the interpolated quantile of each prob.
 
@@ -36,7 +37,7 @@ def quantiles(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
     ``n / accuracy``.
     """
     if not exact:
-        return _sketched(df, measures, probs, keys, accuracy, name)
+        return _sketched(df, measures, probs, keys, accuracy or ACCURACY, name)
     counts = df.groupBy(*keys).agg(*[F.count(m).alias(f"_{i}") for i, m in enumerate(measures)])
     widest = F.greatest(*[F.col(f"_{i}") for i in range(len(measures))]) if len(measures) > 1 else F.col("_0")
     largest = counts.agg(F.max(widest)).first()[0]
@@ -45,7 +46,8 @@ def quantiles(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
         found = per_measure(df, keys, measures, lambda m: {
             "n": F.count(m), "q": F.percentile(F.col(m).cast("double"), at)}, name=name)
         return found.filter(F.col("n") > 0)
-    return _bracketed(df, measures, probs, keys, accuracy, name)
+    # Sketch and bracket both have a size near the square root of the largest group.
+    return _bracketed(df, measures, probs, keys, accuracy or max(ACCURACY, isqrt(largest)), name)
 
 
 def _bracketed(df: DataFrame, measures: Sequence[str], probs: Sequence[float], keys: tuple[str, ...],
