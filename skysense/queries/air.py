@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skysense.constants import AQI_CATEGORIES, HEALTH_ADVICE, PM25_BREAKPOINTS
 from skysense.functions import aqi as fn
 from skysense.operators import air, grid, impute
-from skysense.queries.common import FILLED_SQL, HOURLY_SQL, HOURS, MS, grid_sql, hourly, interp_sql, query, r
+from skysense.queries.common import HOURLY_SQL, HOURS, MS, grid_sql, interp_sql, query, r
 from skysense.queries.cleaning import FIRST_SQL
 from skysense.session import materialize
 from skysense.sources import readings

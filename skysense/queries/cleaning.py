@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from skysense.operators import grid, impute, outliers, scaling
 from skysense.plans import cleaning as plans
 from skysense.queries.common import (
-    DAILY_SQL, DAYS, DS, HOURLY_SQL, HOURS, MS, cap_sql, daily, each, grid_sql, hourly, interp_sql, long_sql, plain,
-    query, r, rounded,
+    DAILY_SQL, DAYS, DS, HOURLY_SQL, HOURS, MS, cap_sql, daily, each, grid_sql, hourly, interp_sql, long_sql, query, r, rounded,
 )
-from skysense.queries.tables import ALL, RAW_SQL
+from skysense.queries.tables import ALL
 from skysense.series import Series
 from skysense.session import materialize
 from skysense.sources import readings

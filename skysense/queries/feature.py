@@ -8,7 +8,7 @@ from skysense.functions import calendar
 from skysense.operators import features, impute
 from skysense.constants import LAGS, ROLLING_WINDOWS
 from skysense.queries.common import (
-    DAILY_SQL, DAYS, DS, FILLED_SQL, HOURLY_SQL, HOURS, MS, PREDICTIONS_SQL, daily, each, hourly, query, r, rounded, rr,
+    DAILY_SQL, DAYS, DS, FILLED_SQL, HOURLY_SQL, HOURS, MS, PREDICTIONS_SQL, daily, each, hourly, query, r, rounded,
 )
 from skysense.queries.tables import ALL, predictions
 from skysense.session import materialize

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skysense.operators import impute, profile, scoring
 from skysense.queries.air import CAT, aqi_sql
-from skysense.functions import aqi as fn
 from skysense.operators import air
 from skysense.queries.common import (
     DAILY_SQL, DAYS, DS, FILLED_SQL, HOURS, MS, PREDICTIONS_SQL, daily, hourly, long_sql, query, r, rounded,

@@ -9,7 +9,7 @@ from skysense.operators.impute import interpolate
 from skysense.operators.outliers import range_validate
 from skysense.operators.shapes import to_long
 from skysense.queries.common import (
-    DAILY_SQL, DAYS, DS, FILLED_SQL, HOURLY_SQL, HOURS, MS, PREDICTIONS_SQL, daily, each, grid_sql, hourly,
+    DAILY_SQL, DAYS, DS, FILLED_SQL, HOURLY_SQL, HOURS, MS, PREDICTIONS_SQL, each, grid_sql, hourly,
     long_sql, query, r, rounded, rr,
 )
 from skysense.series import Series

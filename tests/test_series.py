@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skysense.operators import features, impute, quantiles, scaling
+from skysense.operators import features, impute, scaling
 from skysense.series import Series, along_rows, neighbours, number_rows
 from skysense.session import attach, materialize
 from tests.conftest import at
