@@ -1,0 +1,99 @@
+"""Registered queries against plain versions, on the smallest tables."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from skysense.llm import queries, secret_scan
+from skysense.llm.encode import tokenizer_path
+from tests.oracle_check import compare, connect
+
+
+@pytest.fixture(scope="module")
+def documents(sf):
+    rows = duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()
+    return {d: t or "" for d, t in rows}
+
+
+@pytest.fixture(scope="module")
+def word_ids(documents):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    return {d: t.encode(x, add_special_tokens=False).ids for d, x in documents.items()}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, sf, name):
+    problem, n = compare(spark, connect(sf), name, queries.QUERIES[name], queries.ORACLES[name], sf)
+    assert not problem and n
+
+
+def test_token_files(spark, sf, word_ids):
+    got = {r.doc_id: r for r in queries.op6_token_files(spark, sf).collect()}
+    start = 0
+    for d, ids in word_ids.items():
+        ids = [*ids, 2]
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), crc(ids))
+        start += len(ids)
+    assert len(got) == len(word_ids)
+
+
+def test_bin_packing(spark, sf, word_ids):
+    rows = queries.op5_bin_packing(spark, sf).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for d, ids in word_ids.items():
+        ids = [*ids, 0]
+        own = sorted(by_doc[d], key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(-(-len(ids) // 2048)))
+        for r in own:
+            part = ids[r.piece * 2048 : (r.piece + 1) * 2048]
+            assert (r.start, r.length, r.ids_crc32) == (r.piece * 2048, len(part), crc(part))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    least = sum(len(i) + 1 for i in word_ids.values()) / 2048
+    assert len(by_sequence) <= least * 1.02 + 1
+
+
+def test_token_counts(spark, sf, documents):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in queries.op9_token_counts(spark, sf).collect()}
+    for d, t in documents.items():
+        n = len(model.encode(t))
+        assert (got[d].n_bytes, got[d].n_tokens, got[d].over_limit) == (len(t.encode()), n, n > 4096)
+
+
+def test_secret_scan(spark, sf, documents):
+    got = {r.doc_id: r for r in queries.op10_secret_scan(spark, sf).collect()}
+    for d, t in documents.items():
+        r = got[d]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == secret_scan.plain_findings(t)
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got.values())
+
+
+def test_toxicity_on_labelled_rows(spark, sf):
+    """Held-out accuracy: most labelled rows of the larger table aren't in the training sample."""
+    from skysense.llm import toxicity
+
+    folder = sf.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.categories(docs, labels, train_rows=300).join(labels, "doc_id").collect()
+    hits = Counter((r.toxic, r.is_toxic) for r in got)
+    assert hits[1, True] >= 0.8 * (hits[1, True] + hits[1, False])
+    assert hits[0, True] <= 0.02 * (hits[0, True] + hits[0, False])
