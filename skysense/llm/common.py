@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A stored side of a join is broadcast up to this many bytes, and shuffled beyond.
 BROADCAST_BYTES = 48 << 20
 #: Texts are handed to vectorised code in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Where a row lies: the file and the row's number in it.
 FILE, ROW = "__file", "__row"

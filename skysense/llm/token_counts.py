@@ -24,9 +24,9 @@ from skysense.llm.common import slices, stored
 TABLE_ROWS = 50_000
 TABLE_CHARS = 32
 #: Candidates for the table that a task hands on.
-TASK_ROWS = 20_000
+TASK_ROWS = 10_000
 #: Lengths that a worker keeps; then it starts anew.
-CACHE_ROWS = 300_000
+CACHE_ROWS = 100_000
 
 _MARK = "▁"
 
@@ -76,8 +76,8 @@ class PieceLengths:
         if len(known) > CACHE_ROWS:
             known.clear()
         missing = [t for t in rest if t not in known]
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
+        for i in range(0, len(missing), 5_000):
+            part = missing[i : i + 5_000]
             known.update(zip(part, self.encode(part)))
         out[~hit] = list(map(known.__getitem__, rest))
         for t in missing:
