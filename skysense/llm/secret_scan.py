@@ -93,7 +93,8 @@ def scan(versions: DataFrame, *, key: str = "doc_id", text: str = "text", rules:
     # A blob that two scans wrote at the same time has the same findings twice.
     found = (spark.read.schema(LEDGER).parquet(folder).filter(F.col("rules") == rules.version)
              .groupBy(F.col("blob").alias("__blob")).agg(F.first("findings").alias("findings")))
-    return paths.join(found, "__blob", "left").select(
+    # Stored, so that the join's hot contents can be split.
+    return paths.join(stored(found, "findings"), "__blob", "left").select(
         F.col("__id").alias("doc_id"), F.lower(F.hex("__blob")).alias("blob"), "findings")
 
 
