@@ -64,12 +64,20 @@ def steps(rated: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("k", "at_most"))), lambda x: x.at_most).alias("cdf"))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with further underscores in front while it is taken."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, *, column: str = "source",
               key: str = "doc_id", temperature: float = 0.5, size: float = 1.0, seed: int = 7) -> DataFrame:
     """Copies of the rows of ``docs`` so that sources reach their weights, shuffled globally.
 
     Adds ``__copy`` (from 1) and ``__order``, the hash that orders the output: partitions
-    get rows by it and are sorted by it. A NULL source is a source of its own; a NULL key
+    get rows by it and are sorted by it. If ``docs`` has such columns, the added ones have
+    more underscores. A NULL source is a source of its own; a NULL key
     counts as the text ``null``. Rows with the same key draw the same number. A document
     of rate r comes r times on average and may get no copy: that is the operator. Empty
     tables give empty tables.
@@ -77,17 +85,18 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, *
     table = stored(steps(rates(docs, weights, column=column, temperature=temperature, size=size))
                    .select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf")), "rates")
     widest = table.agg(F.max(F.size("__cdf"))).first()[0] or 1
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    drawn = uniform(F.lit(str(seed)), name)
+    names = docs.columns
+    copy, order = fresh(names, "__copy"), fresh(names, "__order")
+    # The row as one value: its columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    name = F.coalesce(F.col("row")[key].cast("string"), F.lit("null"))
     # The number of steps that lie below the uniform number is the inverse.
-    copies = F.size(F.filter("__cdf", lambda step: step < F.col("__u")))
-    joined = docs.withColumn("__u", drawn).join(
-        hinted(table, widest * STEP_BYTES), docs[column].eqNullSafe(F.col("__source")), "left")
-    times = joined.withColumn("__n", copies).filter(F.col("__n") > 0)
-    spread = times.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), name, F.col("__copy").cast("string")))
-    return (spread.withColumn("__order", order).select(*docs.columns, "__copy", "__order")
-            .repartition("__order").sortWithinPartitions("__order"))
+    times = F.size(F.filter("__cdf", lambda step: step < F.col("u")))
+    joined = rows.withColumn("u", uniform(F.lit(str(seed)), name)).join(
+        hinted(table, widest * STEP_BYTES), F.col("row")[column].eqNullSafe(F.col("__source")), "left")
+    spread = joined.withColumn("n", times).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias(copy))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), name, F.col(copy).cast("string")))
+    return spread.withColumn(order, place).repartition(order).sortWithinPartitions(order).select("row.*", copy, order)
 
 
 def sql(temperature: float = 0.5, seed: int = 7) -> str:
