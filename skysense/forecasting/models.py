@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 from skysense.constants import (
     GBT_DEPTH, GBT_FEATURE_SHARE, GBT_SEED, GBT_STEP, GBT_SUBSAMPLE, GBT_TREES, LOOKBACK,
 )
-from skysense.operators.features import supervised_features
+from skysense.operators.features import features_of, supervised_features, wide_features
 from skysense.operators.relational import align_features
 from skysense.operators.scoring import prediction_errors, regression_metrics
 from skysense.series import Series
 from skysense.session import materialize, shared_dir
 
 
+TRAIN_ROWS_PER_TASK = 100_000
+
+
 @dataclass(frozen=True)
 class BoostingParams:
     trees: int = GBT_TREES
@@ -44,7 +47,7 @@ class Trained:
     measure: str
     model: PipelineModel
     features: list[str]
-    metrics: DataFrame
+    metrics: DataFrame | None
 
 
 def feature_columns(df: DataFrame, s: Series, target: str) -> list[str]:
@@ -52,38 +55,55 @@ def feature_columns(df: DataFrame, s: Series, target: str) -> list[str]:
 
 
 def train_measure(split: DataFrame, s: Series, target: str, params: BoostingParams = BoostingParams(), *,
-                  leak_free: bool = False) -> Trained:
+                  leak_free: bool = False, step: int | None = None) -> Trained:
     """Fit on the training part of ``split`` and measure on its test part.
 
     Features are made within each part, so the first ``lookback`` rows of every part
-    are lost and none of them sees across a border.
+    are lost and none of them sees across a border. ``step`` says that rows are on a grid.
     """
-    shared_dir(split.sparkSession)
     parts = s.within("split")
-    rows = materialize(supervised_features(split, parts, target, lookback=params.lookback, leak_free=leak_free))
+    return train_on(materialize(supervised_features(
+        split, parts, target, lookback=params.lookback, leak_free=leak_free, step=step)), s, target, params)
+
+
+def by_rows(df: DataFrame, rows: int = TRAIN_ROWS_PER_TASK) -> DataFrame:
+    """``df`` (stored) in as many tasks as its rows need. Boosting runs several jobs per
+    tree, whose fixed cost per task is all there is to a small table."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
+def train_on(rows: DataFrame, s: Series, target: str, params: BoostingParams) -> Trained:
+    """Fit and measure on stored features with a ``split`` column."""
+    shared_dir(rows.sparkSession)
     names = feature_columns(rows, s, target)
     labelled = rows.withColumn("label", F.col(target))
     stages = [VectorAssembler(inputCols=names, outputCol="features"), params.regressor()]
-    model = Pipeline(stages=stages).fit(labelled.filter(F.col("split") == "train"))
+    model = Pipeline(stages=stages).fit(by_rows(labelled.filter(F.col("split") == "train")))
     test = labelled.filter(F.col("split") == "test")
     scored = model.transform(test).select(F.lit(target).alias("measure"), F.col("label").alias("actual"), "predicted")
     return Trained(target, model, names, regression_metrics(scored))
 
 
 def train_all(split: DataFrame, s: Series, measures: Sequence[str], params: BoostingParams = BoostingParams(), *,
-              parallel: int = 4) -> tuple[dict[str, Trained], DataFrame]:
-    """One model per measure; the fits run side by side as separate Spark jobs.
+              parallel: int = 4, step: int | None = None) -> tuple[dict[str, Trained], DataFrame]:
+    """One model per measure, from one pass that makes the features of all; the fits run
+    side by side as separate Spark jobs.
 
     Returns the models and a table (measure, status, samples, mae, rmse, mape, r2); a
     measure whose training fails has its error there and does not stop the others.
     """
     spark = split.sparkSession
+    parts = s.within("split")
+    known = [m for m in measures if m in split.columns]
+    wide = materialize(wide_features(split, parts, known, lookback=params.lookback, step=step)) if known else split
 
     def one(m: str) -> tuple[str, Trained | None, str]:
         try:
-            return m, train_measure(split, s, m, params), "ok"
+            if m not in split.columns:
+                raise ValueError(f"the table has no column {m}")
+            return m, train_on(features_of(wide, split, parts, m, params.lookback), s, m, params), "ok"
         except Exception as error:  # reported per measure
-            return m, None, f"failed: {error}"[:500]
+            return m, None, f"failed: {error}"
 
     with ThreadPool(parallel) as pool:
         results = pool.map(one, measures)
@@ -143,20 +163,33 @@ class ModelStore:
         return Trained(measure, model, names, self.metrics([measure]))
 
 
-def predict_measure(df: DataFrame, s: Series, trained: Trained, *, lookback: int = LOOKBACK) -> DataFrame:
+def predict_measure(df: DataFrame, s: Series, trained: Trained, *, lookback: int = LOOKBACK,
+                    step: int | None = None) -> DataFrame:
     """Long predictions with errors for every row that has a full history."""
+    return _scored(supervised_features(df, s, trained.measure, lookback=lookback, step=step), s, trained)
+
+
+def _scored(rows: DataFrame, s: Series, trained: Trained) -> DataFrame:
     m = trained.measure
-    rows = supervised_features(df, s, m, lookback=lookback)
-    aligned = align_features(rows, trained.features, keep=[*s.keys, s.ts, m])
+    aligned = align_features(rows, trained.features, keep=[*s.keys, s.ts, F.col(m).alias("_actual")])
     scored = trained.model.transform(aligned)
-    out = scored.select(*s.keys, s.ts, F.lit(m).alias("measure"), F.col(m).alias("actual"), "predicted")
+    out = scored.select(*s.keys, s.ts, F.lit(m).alias("measure"), F.col("_actual").alias("actual"), "predicted")
     return prediction_errors(out)
 
 
-def predict_all(df: DataFrame, s: Series, models: dict[str, Trained]) -> DataFrame:
-    """Predictions of every measure that the table holds and a model exists for."""
-    parts = [predict_measure(df, s, t) for m, t in models.items() if m in df.columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def predict_all(df: DataFrame, s: Series, models: dict[str, Trained], *, lookback: int = LOOKBACK,
+                step: int | None = None) -> DataFrame:
+    """Predictions of every measure that the table holds and a model exists for.
+
+    The features of all measures are made along the rows once and stored; each model then
+    reads the columns it needs.
+    """
+    known = {m: t for m, t in models.items() if m in df.columns}
+    if not known:
+        raise ValueError("the table has no measure with a model")
+    wide = materialize(wide_features(df, s, list(known), lookback=lookback, step=step))
+    out = None
+    for m, t in known.items():
+        part = _scored(features_of(wide, df, s, m, lookback), s, t)
+        out = part if out is None else out.unionByName(part)
     return out

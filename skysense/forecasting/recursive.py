@@ -2,16 +2,18 @@
 
 The state of a series is one row: its last values as an array. A step computes the
 features from the array with column expressions, applies the model and appends the
-prediction. Steps are projections, so rows never move; the plan is cut by a
-checkpoint every few steps.
+prediction. Steps are projections, so rows never move; the plan is cut by a stored
+table every few steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysense.constants import FORECAST_HOURS, FORECAST_MAX_HOURS, LOOKBACK, ROLLING_WINDOWS
+from skysense.constants import FORECAST_HOURS, LOOKBACK, ROLLING_WINDOWS
 from skysense.forecasting.models import Trained
 from skysense.functions.timeaxis import from_seconds, seconds
 from skysense.operators.features import TIME_FEATURES, time_columns
@@ -20,74 +22,116 @@ from skysense.operators.relational import tail_n
 from skysense.series import Series
 from skysense.session import materialize
 
-STEPS_PER_CHECKPOINT = 8
+#: The plan of a step holds that of the step before it several times.
+STEPS_PER_STAGE = 2
 
 
 def _last(values: Column, n: int) -> Column:
     return F.slice(values, -n, n)
 
 
-def _mean(values: Column, n: int) -> Column:
-    return F.aggregate(_last(values, n), F.lit(0.0), lambda a, x: a + x) / n
-
-
-def _std(values: Column, n: int) -> Column:
-    mean = _mean(values, n)
-    squares = F.aggregate(F.transform(_last(values, n), lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(squares / (n - 1))
-
-
 def _history_columns(target: str, lookback: int) -> dict[str, Column]:
-    ctx = F.col("_ctx")
-    cols = {f"{target}_lag_{k}": F.element_at(ctx, -(k + 1)) for k in range(1, lookback + 1)}
+    """Features of the row at place ``_place`` of the context."""
+    cols = {f"{target}_lag_{k}": F.expr(f"element_at(_ctx, _place - {k})") for k in range(1, lookback + 1)}
     for w in ROLLING_WINDOWS:
         if w <= lookback:
-            cols[f"{target}_rolling_mean_{w}"] = _mean(ctx, w)
-            cols[f"{target}_rolling_std_{w}"] = _std(ctx, w)
+            frame = f"slice(_ctx, _place - {w - 1}, {w})"
+            mean = f"aggregate({frame}, 0D, (a, x) -> a + x) / {w}"
+            cols[f"{target}_rolling_mean_{w}"] = F.expr(mean)
+            cols[f"{target}_rolling_std_{w}"] = F.expr(
+                f"sqrt(aggregate({frame}, named_struct('s', 0D, 'm', {mean}), "
+                f"(a, x) -> named_struct('s', a.s + (x - a.m) * (x - a.m), 'm', a.m), a -> a.s) / {w - 1})")
     return cols
 
 
+def _full(values: Column) -> Column:
+    return F.forall(values, lambda x: x.isNotNull())
+
+
 def forecast_recursive(df: DataFrame, s: Series, trained: Trained, hours: int = FORECAST_HOURS, *,
                        lookback: int = LOOKBACK, aligned: bool = False) -> DataFrame:
-    """``(keys, measure, step, ts, forecast)`` for the next ``hours`` of every series.
+    """``(keys, measure, step, ts, forecast, reason)`` for the next ``hours`` of every series.
 
-    Each step predicts from the last row of the context and labels the result one
-    hour later; ``aligned`` labels it with that row's own time. The other measures
-    keep their last value. Series need ``lookback + 1`` rows without gaps in the
-    target; others have no forecast.
+    The context is the last ``2 * lookback`` rows. Each step predicts from the last row
+    with a full history (``lookback`` values before its own, and the other measures) and
+    labels the result one hour later than the step before; ``aligned`` labels it an hour
+    earlier. The prediction is appended with the other measures of the last row. A series
+    without such a row has one row with a ``reason`` and no forecast; the others go on.
     """
-    if not 1 <= hours <= FORECAST_MAX_HOURS:
-        raise ValueError(f"hours must be between 1 and {FORECAST_MAX_HOURS}")
+    if hours < 1:
+        raise ValueError("hours must be at least 1")
     m, size = trained.measure, 2 * lookback
     others = [c for c in trained.features if c in df.columns and c not in TIME_FEATURES and c != m]
     recent = tail_n(df.select(*s.keys, *s.order, m, *others), s, size)
     # At most ``size`` rows per series are gathered here.
-    rows = F.array_sort(F.collect_list(F.struct(*s.order, F.col(m).cast("double").alias("v"),
-                                                *[F.col(o).cast("double").alias(o) for o in others])))
-    state = recent.groupBy(*s.keys).agg(rows.alias("_rows"))
+    rows = F.array_sort(F.collect_list(F.struct(*s.order, F.col(m).cast("double").alias("v"), F.struct(
+        F.lit(1).alias("_"), *[F.col(o).cast("double").alias(o) for o in others]).alias("o"))))
+    gathered = recent.groupBy(*s.keys).agg(rows.alias("_rows"))
+
+    def known(o: Column) -> Column:
+        out = F.lit(True)
+        for name in others:
+            out = out & o[name].isNotNull()
+        return out
+
+    ctx, n = F.transform("_rows", lambda r: r["v"]), F.size("_rows")
+    places = F.when(n > lookback, F.filter(F.sequence(F.lit(lookback + 1), n), lambda i: _full(
+        F.slice(ctx, i - lookback, lookback + 1)) & known(F.element_at("_rows", i)["o"])))
     last = F.element_at("_rows", -1)
-    state = state.select(
-        *s.keys, last[s.ts].alias("_t0"), F.transform("_rows", lambda r: r["v"]).alias("_ctx"),
-        F.array().cast("array<double>").alias("_preds"), *[last[o].alias(o) for o in others])
-    ready = (F.size("_ctx") > lookback) & ~F.exists("_ctx", lambda x: x.isNull())
-    state = materialize(state.filter(ready))
-
-    carried = [*s.keys, "_t0", "_ctx", "_preds", *others]
-    made = {**_history_columns(m, lookback), **dict(zip(TIME_FEATURES, time_columns("_now")))}
-    # The other measures are both carried state and features; the rest is made here.
-    features = [made.get(n, F.lit(0.0)).cast("double").alias(n) for n in trained.features if n not in others]
+    state = gathered.withColumn("_place", F.array_max(places))
+    at = F.when(F.col("_place").isNotNull(), F.element_at("_rows", F.coalesce("_place", F.lit(1))))
+    state = materialize(state.select(
+        *s.keys, last[s.ts].alias("_t0"), ctx.alias("_ctx"), F.array().cast("array<double>").alias("_preds"),
+        last["o"].alias("_last"), "_place", at[s.ts].alias("_now"), at["o"].alias("_others")))
+    without = state.filter(F.col("_place").isNull())
+    state = state.filter(F.col("_place").isNotNull())
+
+    own = ["_t0", "_ctx", "_preds", "_last", "_place", "_now", "_others"]
+    made = {**_history_columns(m, lookback), **dict(zip(TIME_FEATURES, time_columns("_now"))),
+            **{o: F.col("_others")[o] for o in others}}
+    features = [made.get(name, F.lit(0.0)).cast("double").alias(name) for name in trained.features]
     for i in range(hours):
-        now = from_seconds(seconds("_t0") + F.lit(i * HOUR))
-        inputs = state.withColumn("_now", now).select(*carried, *features)
-        scored = trained.model.transform(inputs).withColumn("_grown", F.array_append("_ctx", F.col("predicted")))
-        grown = F.col("_grown")
-        state = scored.select(
-            *s.keys, "_t0", F.when(F.size(grown) > size, _last(grown, size)).otherwise(grown).alias("_ctx"),
-            F.array_append("_preds", F.col("predicted")).alias("_preds"), *others)
-        if (i + 1) % STEPS_PER_CHECKPOINT == 0:
+        scored = trained.model.transform(state.select(*s.keys, *own, *features))
+        grown = F.array_append("_ctx", F.col("predicted").cast("double"))
+        moved = scored.select(*s.keys, "_t0", grown.alias("_ctx"), F.array_append("_preds", F.col("predicted").cast("double")).alias("_preds"),
+                              "_last", "_place", "_now", "_others")
+        # The appended row is the next one to predict from if its own history is full.
+        usable = _full(_last(F.col("_ctx"), lookback + 1)) & known(F.col("_last"))
+        state = moved.select(
+            *s.keys, "_t0", "_ctx", "_preds", "_last", F.when(usable, F.size("_ctx")).otherwise(F.col("_place")).alias("_place"),
+            F.when(usable, from_seconds(seconds("_t0") + F.lit((i + 1) * HOUR))).otherwise(F.col("_now")).alias("_now"),
+            F.when(usable, F.col("_last")).otherwise(F.col("_others")).alias("_others"))
+        if (i + 1) % STEPS_PER_STAGE == 0 and i + 1 < hours:
             state = materialize(state)
 
     shift = 0 if aligned else 1
     steps = state.select(*s.keys, "_t0", F.posexplode("_preds").alias("_i", "forecast"))
-    return steps.select(*s.keys, F.lit(m).alias("measure"), (F.col("_i") + 1).alias("step"),
-                        from_seconds(seconds("_t0") + (F.col("_i") + F.lit(shift)) * HOUR).alias(s.ts), "forecast")
+    made_rows = steps.select(
+        *s.keys, F.lit(m).alias("measure"), (F.col("_i") + 1).alias("step"),
+        from_seconds(seconds("_t0") + (F.col("_i") + F.lit(shift)) * HOUR).alias(s.ts), "forecast",
+        F.lit(None).cast("string").alias("reason"))
+    return made_rows.unionByName(without.select(
+        *s.keys, F.lit(m).alias("measure"), F.lit(None).cast("int").alias("step"), F.lit(None).cast("timestamp_ntz").alias(s.ts),
+        F.lit(None).cast("double").alias("forecast"),
+        F.concat(F.lit(f"none of the last {size} rows has {lookback + 1} values and all other measures; rows there: "),
+                 F.size("_ctx").cast("string")).alias("reason")))
+
+
+def forecast_all(df: DataFrame, s: Series, models: Mapping[str, Trained], hours: int = FORECAST_HOURS, **options) -> DataFrame:
+    """Forecasts of every measure that has a model. A measure whose forecast fails has one
+    row with the error as ``reason``, and the others go on."""
+    spark = df.sparkSession
+    out = None
+    for m, trained in models.items():
+        try:
+            # Stored here, because errors come up when rows are made.
+            made = materialize(forecast_recursive(df, s, trained, hours, **options))
+        except Exception as error:  # reported per measure
+            fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in s.keys)
+            made = spark.createDataFrame(
+                [(*[None] * len(s.keys), m, None, None, None, str(error))],
+                f"{fields + ', ' if fields else ''}measure string, step int, `{s.ts}` timestamp_ntz, forecast double, reason string")
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        raise ValueError("there is no model")
+    return out

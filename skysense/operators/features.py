@@ -125,6 +125,30 @@ def supervised_features(df: DataFrame, s: Series, target: str, *, lookback: int
     return rows.select(*s.keys, s.ts, target, *names).na.drop()
 
 
+def other_measures(df: DataFrame, s: Series, target: str) -> list[str]:
+    return [c for c in numeric_only(df, drop=[*s.keys, s.ts, *s.tiebreak, target]).columns if c not in TIME_FEATURES]
+
+
+def wide_features(df: DataFrame, s: Series, targets: Sequence[str], *, lookback: int = LOOKBACK,
+                  step: int | None = None) -> DataFrame:
+    """``df`` with the features of all ``targets``, made along the rows once; incomplete rows stay."""
+    windows = [w for w in ROLLING_WINDOWS if w <= lookback]
+    slim = df.select(*dict.fromkeys([*s.keys, *s.order, *targets, *other_measures(df, s, "")]))
+
+    def exprs(w) -> list[Column]:
+        own = [c for m in targets for c in (*lag_exprs(m, range(1, lookback + 1), w),
+                                            *rolling_exprs(m, windows, ("mean", "std"), w))]
+        return [*own, *time_columns(s.ts)]
+
+    return along_rows(slim, s, exprs, before=max([lookback, *windows]), step=step)
+
+
+def features_of(wide: DataFrame, df: DataFrame, s: Series, target: str, lookback: int = LOOKBACK) -> DataFrame:
+    """What ``supervised_features`` of ``df`` gives for ``target``, from its ``wide_features``."""
+    names = feature_names(target, other_measures(df, s, target), lookback)
+    return wide.select(*s.keys, s.ts, target, *names).na.drop()
+
+
 def sequence_windows(df: DataFrame, s: Series, target: str, columns: Sequence[str], *, lookback: int = LOOKBACK,
                      horizon: int = 1, step: int | None = None) -> DataFrame:
     """Per usable row: ``X``, the ``lookback`` preceding rows of ``columns``, and ``y``,

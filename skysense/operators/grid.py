@@ -4,28 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skysense.functions.timeaxis import floor_to, from_seconds, micros, seconds
-from skysense.operators.quantiles import quantiles
 from skysense.series import Series, along_rows, neighbours
-from skysense.session import materialize
+from skysense.session import join_rows, materialize
 
 HOUR = 3600
 DAY = 24 * HOUR
 SPAN = 1024  # grid points made from one row of the intermediate spine
 
 
+def never_null(df: DataFrame, column: str) -> Column:
+    """An order by ``column`` with missing values last; a plain number where it is one."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(F.col(column).cast("long"), F.lit(2**63 - 1))
+    return F.struct(F.col(column).isNull(), F.col(column))
+
+
 def dedupe_first(df: DataFrame, s: Series, seq: str | Sequence[str]) -> DataFrame:
     """Keep the row with the smallest ``seq`` per series and time.
 
     An aggregation instead of a numbering: copies fold before the shuffle, however
-    many rows share one time.
+    many rows share one time. Rows without ``seq`` come after all others.
     """
     by = [*s.keys, s.ts]
     rest = [c for c in df.columns if c not in by]
-    order = F.col(seq) if isinstance(seq, str) else F.struct(*seq)
+    order = never_null(df, seq) if isinstance(seq, str) else F.struct(*seq)
     first = df.groupBy(*by).agg(*[F.min_by(c, order).alias(f"_{i}") for i, c in enumerate(rest)])
     place = {c: F.col(f"_{i}") for i, c in enumerate(rest)}
     return first.select(*[place[c].alias(c) if c in place else F.col(c) for c in df.columns])
@@ -69,7 +77,7 @@ def grid_left_join(df: DataFrame, s: Series, step: int = HOUR, *, aligned: bool
     """
     if aligned:
         df = df.withColumn(s.ts, floor_to(s.ts, step))
-    return time_spine(df, s, step, aligned=aligned).join(df, [*s.keys, s.ts], "left")
+    return join_rows(time_spine(df, s, step, aligned=aligned), df, [*s.keys, s.ts])
 
 
 def regularize(df: DataFrame, s: Series, measures: Sequence[str], step: int = HOUR, *,
@@ -99,13 +107,13 @@ def resample_mean(df: DataFrame, s: Series, measures: Sequence[str], step: int,
         return df
     means = (df.groupBy(*s.keys, floor_to(s.ts, step).alias(s.ts))
              .agg(*[F.avg(m).alias(m) for m in measures]))
-    return time_spine(df, s, step, aligned=True).join(means, [*s.keys, s.ts], "left")
+    return join_rows(time_spine(df, s, step, aligned=True), means, [*s.keys, s.ts])
 
 
 def daily_counts(df: DataFrame, s: Series) -> DataFrame:
     """Readings per day, including days without any."""
     per_day = df.groupBy(*s.keys, floor_to(s.ts, DAY).alias(s.ts)).agg(F.count(F.lit(1)).alias("n"))
-    full = time_spine(df, s, DAY, aligned=True).join(per_day, [*s.keys, s.ts], "left")
+    full = join_rows(time_spine(df, s, DAY, aligned=True), per_day, [*s.keys, s.ts])
     return full.select(*s.keys, F.col(s.ts).alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -117,13 +125,29 @@ def gaps(df: DataFrame, s: Series) -> DataFrame:
 
 
 def cadence_profile(df: DataFrame, s: Series) -> DataFrame:
-    """Per series: number of intervals, their median, smallest and largest, in seconds."""
-    g = gaps(df, s).select(*s.keys, "gap_seconds")
-    median = quantiles(g, ["gap_seconds"], [0.5], s.keys).select(*s.keys, F.col("q")[0].alias("median_seconds"))
-    span = g.groupBy(*s.keys).agg(F.count("gap_seconds").alias("intervals"),
-                                  F.min("gap_seconds").alias("min_seconds"),
-                                  F.max("gap_seconds").alias("max_seconds"))
-    return span.join(median, list(s.keys), "left") if s.keys else span.crossJoin(F.broadcast(median))
+    """Per series: number of intervals, their median, smallest and largest, in seconds.
+
+    Intervals are counted by length first, so a hot series comes down to its few different
+    lengths; the median is read off the running counts.
+    """
+    counted = (gaps(df, s).filter(F.col("gap_seconds").isNotNull())
+               .groupBy(*s.keys, "gap_seconds").agg(F.count(F.lit(1)).alias("_n")))
+    ordered = Window.partitionBy(*s.keys).orderBy("gap_seconds").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_to", F.sum("_n").over(ordered)).withColumn(
+        "_all", F.sum("_n").over(Window.partitionBy(*s.keys)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_to") - F.col("_n") <= rank) & (rank < F.col("_to")), F.col("gap_seconds")))
+
+    middle = (F.col("_all") - 1) / 2
+    found = ranked.groupBy(*s.keys).agg(
+        F.sum("_n").alias("intervals"), ((at(F.floor(middle)) + at(F.ceil(middle))) / 2.0).alias("median_seconds"),
+        F.min("gap_seconds").alias("min_seconds"), F.max("gap_seconds").alias("max_seconds"))
+    # Series with a single row have no interval.
+    every = df.select(*s.keys).distinct() if s.keys else None
+    if every is not None:
+        found = join_rows(every, found, s.keys)
+    return found.select(*s.keys, F.coalesce("intervals", F.lit(0)).alias("intervals"), "min_seconds", "max_seconds", "median_seconds")
 
 
 def synth_datetime(df: DataFrame, order: Series, start: str, ts: str = "datetime") -> DataFrame:

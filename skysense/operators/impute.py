@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skysense.operators.quantiles import quantiles_wide
 from skysense.series import Series, neighbours
-from skysense.session import attach
+from skysense.session import attach, join_rows
 
 
 def linear_value(m: str, *, leading: bool = True, trailing: bool = True) -> Column:
@@ -42,10 +42,21 @@ def forward_fill(df: DataFrame, s: Series, measures: Sequence[str]) -> DataFrame
     return _replace(near, df, {m: F.coalesce(F.col(m).cast("double"), F.col(f"_prev_{m}")["v"]) for m in measures})
 
 
+def median_fill(df: DataFrame, s: Series, measures: Sequence[str]) -> DataFrame:
+    """The median of its series for every missing value."""
+    medians = quantiles_wide(df, measures, [0.5], s.keys)
+    value = {m: F.coalesce(F.col(m).cast("double"), F.col(f"_q_{m}")[0]) for m in measures}
+    return _replace(attach(df, medians, s.keys), df, value)
+
+
+FILLS = {"interpolate": interpolate, "forward_fill": forward_fill, "median": median_fill}
+
+
 def fill_missing(df: DataFrame, s: Series, measures: Sequence[str], method: str = "interpolate") -> DataFrame:
-    """Fill by ``"interpolate"`` (time) or ``"forward_fill"``, then drop rows that still miss a measure."""
-    filled = interpolate(df, s, measures) if method == "interpolate" else forward_fill(df, s, measures)
-    return filled.na.drop(subset=list(measures))
+    """Fill by ``"interpolate"`` (time), ``"forward_fill"`` or ``"median"``, then drop rows that still miss a measure."""
+    if method not in FILLS:
+        raise ValueError(f"unknown fill method {method!r}; there are {', '.join(FILLS)}")
+    return FILLS[method](df, s, measures).na.drop(subset=list(measures))
 
 
 def impute_smart(df: DataFrame, s: Series, measures: Sequence[str], *, high_missing: float = 0.5) -> DataFrame:
@@ -57,7 +68,7 @@ def impute_smart(df: DataFrame, s: Series, measures: Sequence[str], *, high_miss
         *[(F.avg(F.col(m).isNull().cast("int")) > high_missing).alias(f"_sparse_{m}") for m in measures])
     medians = quantiles_wide(df, measures, [0.5], s.keys)
     # The medians have no row for a series without any value; its rates must survive.
-    params = rows.join(medians, list(s.keys), "left") if s.keys else rows.crossJoin(F.broadcast(medians))
+    params = join_rows(rows, medians, s.keys) if s.keys else rows.crossJoin(F.broadcast(medians))
     near = attach(neighbours(df, s, measures, by="row"), params, s.keys)
 
     def value(m: str) -> Column:

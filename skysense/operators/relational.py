@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from skysense.constants import MONTHS, WEEKDAYS
 from skysense.series import Series
+from skysense.session import join_rows
 
 
 def filter_valid_ts(df: DataFrame, ts: str = "datetime") -> DataFrame:
@@ -74,12 +75,12 @@ def combine_predictions(df: DataFrame, predictions: DataFrame, s: Series, measur
     on = [*s.keys, s.ts]
     wide = predictions.groupBy(*on).agg(
         *[F.max(F.when(F.col("measure") == m, F.col("predicted"))).alias(f"{m}_predicted") for m in measures])
-    return df.join(wide, on, "left")
+    return join_rows(df, wide, on)
 
 
 def actual_lookup(predictions: DataFrame, long: DataFrame, s: Series) -> DataFrame:
     """Observed values for predicted rows, joined on series, time and measure."""
-    return predictions.join(long, [*s.keys, s.ts, "measure"], "inner")
+    return join_rows(predictions, long, [*s.keys, s.ts, "measure"], "inner")
 
 
 def append_rows(df: DataFrame, more: DataFrame) -> DataFrame:

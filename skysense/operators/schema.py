@@ -42,21 +42,41 @@ def detect_datetime_col(df: DataFrame, parts: Sequence[str] = DATETIME_NAME_PART
     return found.select(column.alias("column"), rule.alias("rule"), "parsed_share")
 
 
+def _tries(raw: Column, formats: Sequence[str]) -> list[Column]:
+    return [as_iso(raw), *[F.try_to_timestamp(raw, F.lit(f)).cast("timestamp_ntz") for f in formats]]
+
+
+def readable_format(df: DataFrame, column: str, formats: Sequence[str] = DATETIME_FORMATS) -> int | None:
+    """Which format reads every value there is (0 is ISO-8601, then ``formats``), if one does. One aggregation."""
+    raw = _quoted(column).cast("string")
+    counts = df.agg(F.count(raw).alias("n"), *[F.count(t).alias(f"_{i}") for i, t in enumerate(_tries(raw, formats))]).first()
+    return next((i for i in range(len(formats) + 1) if counts[f"_{i}"] == counts.n), None)
+
+
+def parse_with(df: DataFrame, column: str, which: int, out: str = "datetime",
+               formats: Sequence[str] = DATETIME_FORMATS) -> DataFrame:
+    parsed = _tries(_quoted(column).cast("string"), formats)[which]
+    return df.select(*[_quoted(c) for c in df.columns if c != out], parsed.alias(out))
+
+
 def parse_datetime(df: DataFrame, column: str, out: str = "datetime",
-                   formats: Sequence[str] = DATETIME_FORMATS) -> DataFrame:
+                   formats: Sequence[str] = DATETIME_FORMATS, *, strict: bool = False) -> DataFrame:
     """Parse text times by the first format that reads more than 80 % of the rows.
 
     ISO-8601 is tried first, then ``formats`` in order. All success shares come from
     one aggregate row, which is broadcast; values the chosen format cannot read
-    become NULL, and all of them do if no format is good enough.
+    become NULL. If no format is good enough, all of them do, or with ``strict`` the
+    query fails.
     """
     raw = _quoted(column).cast("string")
-    tries = [as_iso(raw), *[F.try_to_timestamp(raw, F.lit(f)).cast("timestamp_ntz") for f in formats]]
+    tries = _tries(raw, formats)
     shares = df.agg(*[F.avg(t.isNotNull().cast("int")).alias(f"_share{i}") for i, t in enumerate(tries)])
     choice = None
     for i, t in enumerate(tries):
         good = F.col(f"_share{i}") > DATETIME_MIN_SHARE
         choice = F.when(good, t) if choice is None else choice.when(good, t)
+    if strict:
+        choice = choice.otherwise(F.raise_error(F.lit(f"no known time format reads column {column}")).cast("timestamp_ntz"))
     joined = df.crossJoin(F.broadcast(shares))
     return joined.select(*[_quoted(c) for c in df.columns if c != out], choice.alias(out))
 

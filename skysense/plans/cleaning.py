@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skysense.constants import IQR_K_CAP, MEASURES
+from skysense.constants import DATETIME_NAME_PARTS_UPLOAD, IQR_K_CAP, MEASURES
 from skysense.operators import schema
-from skysense.operators.grid import HOUR, dedupe_first, regularize, resample_mean
+from skysense.operators.grid import HOUR, dedupe_first, regularize, resample_mean, synth_datetime
 from skysense.operators.impute import fill_missing, impute_smart, interpolate
 from skysense.operators.outliers import cap_outliers, count_outliers, fences, range_validate
 from skysense.operators.relational import filter_valid_ts
@@ -26,10 +28,14 @@ class Cleaned(NamedTuple):
 
 
 def _with_time(df: DataFrame, ts: str) -> DataFrame:
-    """Parse the time column found by name; without one the first column is tried."""
+    """Parse the time column found by name; without one the first column is tried. Fails if
+    no format reads most of it: a table without times can't be cleaned along them."""
     column = schema.column_named_like_time(df.columns) or df.columns[0]
-    if dict(df.dtypes)[column] == "string":
-        parsed = schema.parse_datetime(df, column, ts)
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.NumericType):
+        raise ValueError(f"there is no time column among {', '.join(df.columns)}")
+    if isinstance(kind, T.StringType):
+        parsed = schema.parse_datetime(df, column, ts, strict=True)
     else:
         parsed = normalise(df, column).withColumnRenamed(column, ts)
     return parsed.drop(column) if column != ts else parsed
@@ -40,7 +46,7 @@ def clean(df: DataFrame, s: Series, seq: str, *, missing: str = "smart", step: i
     """Parse times, name the measures, remove duplicates, fill, cap and put on a regular grid.
 
     ``seq`` is the column that gives the order of the input rows. ``missing`` is
-    ``"smart"``, ``"interpolate"`` or ``"forward_fill"``; ``outlier`` ``"iqr"``,
+    ``"smart"``, ``"interpolate"``, ``"forward_fill"`` or ``"median"``; ``outlier`` ``"iqr"``,
     ``"zscore"`` or None; ``step`` the grid in seconds or None. The stages are
     stored where the next one reads them more than once.
     """
@@ -58,9 +64,10 @@ def clean(df: DataFrame, s: Series, seq: str, *, missing: str = "smart", step: i
     filled = materialize(filled)
     capped = filled
     if outlier:
+        # Capping is a projection over the stored rows; it isn't worth a copy of its own.
         limits = settle(fences(filled, present, s.keys, method=outlier, k=k))
-        capped = materialize(cap_outliers(filled, present, s.keys, limits=limits))
-    regular = materialize(regularize(capped, s, present, step)) if step else capped
+        capped = cap_outliers(filled, present, s.keys, limits=limits)
+    regular = regularize(capped, s, present, step) if step else capped
 
     def count(d: DataFrame, order: int, action: str, detail: str) -> DataFrame:
         return d.agg(F.count(F.lit(1)).alias("n")).select(
@@ -88,9 +95,33 @@ def clean(df: DataFrame, s: Series, seq: str, *, missing: str = "smart", step: i
     return Cleaned(regular, log)
 
 
-def prepare_upload(df: DataFrame, s: Series, *, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Parse times, keep known columns, interpolate by position and cap at three quartile ranges."""
-    timed = filter_valid_ts(_with_time(df, s.ts), s.ts)
+def _upload_time(df: DataFrame, s: Series, seq: str | None, start: str) -> DataFrame:
+    """The column named like a date or time. Where there is none, or a value in it can't be
+    read, rows get hours from ``start`` on in their order."""
+    column = schema.column_named_like_time(df.columns, DATETIME_NAME_PARTS_UPLOAD)
+    if column:
+        if not isinstance(df.schema[column].dataType, (T.StringType, T.NumericType)):
+            timed = normalise(df, column).withColumnRenamed(column, s.ts)
+            return filter_valid_ts(timed, s.ts)
+        which = schema.readable_format(df, column)
+        if which is not None:
+            timed = schema.parse_with(df, column, which, s.ts)
+            return filter_valid_ts(timed.drop(column) if column != s.ts else timed, s.ts)
+        df = df.drop(column)
+    # The order of the files stands in for a column that numbers the rows.
+    rows = df if seq else df.withColumn("_row", F.monotonically_increasing_id())
+    order = Series(keys=s.keys, ts=seq or "_row", chunk=1_000_000, block=s.block)
+    return synth_datetime(rows, order, start, s.ts).drop("_row")
+
+
+def prepare_upload(df: DataFrame, s: Series, *, measures: Sequence[str] = MEASURES, seq: str | None = None,
+                   start: str | None = None) -> DataFrame:
+    """Parse times, keep known columns, interpolate by position and cap at three quartile ranges.
+
+    Tables without readable times get an hourly axis from ``start`` (by default now) in the
+    order of ``seq``, or of the files; no row goes.
+    """
+    timed = _upload_time(df, s, seq, start or datetime.now().strftime("%Y-%m-%d %H:00:00"))
     present = [m for m in measures if m in timed.columns]
     keep = project_measures(timed, s.ts, present).columns
     rows = materialize(timed.select(*keep, *[c for c in (*s.keys, *s.tiebreak) if c not in keep]))

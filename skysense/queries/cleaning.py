@@ -216,6 +216,37 @@ def upload_pipeline(spark, sf):
     return plans.prepare_upload(upload, HOURS)
 
 
+@query("upload_without_times", f"""WITH {HOURLY_SQL}, numbered AS (SELECT * REPLACE (
+  TIMESTAMP '2024-01-01' + to_hours(row_number() OVER (PARTITION BY station ORDER BY datetime) - 1) AS datetime) FROM hourly),
+{interp_sql('numbered', 'f', by='row')}, {cap_sql('f', 'c')} SELECT {ALL} FROM c""")
+def upload_without_times(spark, sf):
+    """Times that can't be read: all rows stay and get an hourly axis in their order."""
+    h = hourly(spark, sf)
+    upload = h.select(F.concat(F.lit("about "), F.col("datetime").cast("string")).alias("Date"), "station", *MS,
+                      F.unix_timestamp(F.col("datetime").cast("timestamp")).alias("row"), F.lit("w").alias("width"))
+    return plans.prepare_upload(upload, HOURS, seq="row", start="2024-01-01 00:00:00")
+
+
+MEDIAN_SQL = f"""med AS (SELECT station, {each("median({m}) AS q_{m}")} FROM uniq GROUP BY 1),
+filled AS (SELECT station, datetime, {each("coalesce({m}, q_{m}) AS {m}")} FROM uniq JOIN med USING (station)),
+whole AS (SELECT * FROM filled WHERE {NOT_NULL})"""
+
+
+@query("clean_median", f"""WITH {FIRST_SQL}, {MEDIAN_SQL}, {cap_sql('whole', 'capped')}, {grid_sql('capped', 'g')},
+{interp_sql('g', 'cleaned', leading=False)} SELECT {ALL} FROM cleaned""")
+def clean_median(spark, sf):
+    return plans.clean(readings.event_rows(spark, sf), HOURS, "event_id", missing="median").data
+
+
+@query("clean_daily_zscore", f"""WITH {FIRST_SQL}, {smart_sql('uniq', 'filled')}, z AS (SELECT station,
+  {each("avg({m}) - 3 * stddev_samp({m}) AS a_{m}, avg({m}) + 3 * stddev_samp({m}) AS b_{m}")} FROM filled GROUP BY 1),
+capped AS (SELECT station, datetime, {each("CASE WHEN {m} < a_{m} THEN a_{m} WHEN {m} > b_{m} THEN b_{m} ELSE {m} END AS {m}")}
+  FROM filled JOIN z USING (station)), {grid_sql('capped', 'g', 'INTERVAL 1 DAY')}, {interp_sql('g', 'cleaned', leading=False)}
+SELECT {ALL} FROM cleaned""")
+def clean_daily_zscore(spark, sf):
+    return plans.clean(readings.event_rows(spark, sf), HOURS, "event_id", outlier="zscore", step=grid.DAY).data
+
+
 TRAIN_SQL = f"""{HOURLY_SQL}, {interp_sql('hourly', 'f')}, nn AS (SELECT * FROM f WHERE {NOT_NULL}),
 {cap_sql('nn', 'c')}, {split_sql('c', 'parts')}"""
 
@@ -223,3 +254,16 @@ TRAIN_SQL = f"""{HOURLY_SQL}, {interp_sql('hourly', 'f')}, nn AS (SELECT * FROM
 @query("train_prep_pipeline", f"WITH {TRAIN_SQL}, {TRAIN_SCALE_SQL} SELECT {ALL}, split FROM scaled")
 def train_prep_pipeline(spark, sf):
     return plans.prepare_training(hourly(spark, sf), HOURS, MS).data
+
+
+RESAMPLED_SQL = f"""{HOURLY_SQL}, {interp_sql('hourly', 'f')}, nn AS (SELECT * FROM f WHERE {NOT_NULL}), {cap_sql('nn', 'c')},
+bins AS (SELECT station, time_bucket(INTERVAL 6 HOUR, datetime, TIMESTAMP '1970-01-01') AS datetime, {each("avg({m}) AS {m}")} FROM c GROUP BY 1, 2),
+{grid_sql('bins', 'g', 'INTERVAL 6 HOUR')}, {split_sql('g', 'parts')},
+p AS (SELECT station, {each("avg({m}) AS s_{m}, stddev_samp({m}) AS w_{m}")} FROM parts WHERE split = 'train' GROUP BY 1),
+scaled AS (SELECT station, datetime, split, {each("({m} - s_{m}) / nullif(w_{m}, 0) AS {m}")} FROM parts LEFT JOIN p USING (station))"""
+
+
+@query("train_prep_resampled", f"WITH {RESAMPLED_SQL} SELECT {ALL}, split FROM scaled")
+def train_prep_resampled(spark, sf):
+    """Six-hour means and standard scaling."""
+    return plans.prepare_training(hourly(spark, sf), HOURS, MS, step=6 * grid.HOUR, scale="standard").data

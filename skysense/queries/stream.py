@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from skysense.queries.air import CAT, COLOR, aqi_sql
 from skysense.queries.common import HOURLY_SQL, query, r, rounded
 from skysense.queries.tables import MS
@@ -22,14 +24,15 @@ def stream_hourly_aqi(spark, sf):
     return feeds.run_available(feeds.hourly_aqi_alerts(feeds.event_stream(spark, sf)), "hourly-aqi")
 
 
-@query("stream_dedupe", "SELECT DISTINCT user_id % 4 AS station, event_type, date_trunc('hour', ts) AS ts FROM events")
+@query("stream_dedupe", "SELECT DISTINCT user_id % 4 AS station, event_type, date_trunc('hour', ts) AS ts, true AS of_that_hour FROM events")
 def stream_dedupe(spark, sf):
-    """First arrival per station, type and hour. Which event that is depends on arrival,
-    so the result keeps the keys only."""
-    events = feeds.event_stream(spark, sf)
+    """First arrival per station, type and hour. Which event that is depends on arrival, so
+    the result says only whether the event that stayed is one of that hour."""
+    events = feeds.event_stream(spark, sf).withColumn("at", F.col("ts"))
     by_hour = events.withColumn("ts", feeds.hour_of("ts"))
-    first = feeds.dedupe(by_hour, ("station", "event_type", "ts"))
-    return feeds.run_available(first.select("station", "event_type", "ts"), "dedupe")
+    first = feeds.run_available(feeds.dedupe(by_hour, ("station", "event_type", "ts")), "dedupe")
+    kept = F.col("event_id").isNotNull() & F.col("value").isNotNull() & (feeds.hour_of("at") == F.col("ts"))
+    return first.select("station", "event_type", "ts", kept.alias("of_that_hour"))
 
 
 @query("stream_sliding_mean", f"""WITH e AS (SELECT user_id % 4 AS station, event_type, ts, value FROM events),

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +40,9 @@ class Series:
     ``chunk`` is a length in seconds, or in units of ``ts`` if that is a number.
     Choose it so that a chunk has some thousand rows. With None the rows are range
     partitioned in order and stored first, which gives chunks of equal size even if
-    many rows share one time. Key and time columns must not be NULL; ``tiebreak``
-    must make the order total where times repeat.
+    many rows share one time. A NULL key or time raises an error when rows are ordered:
+    such rows have no place in a series (``filter_valid_ts`` drops those without time).
+    ``tiebreak`` must make the order total where times repeat.
     """
 
     keys: tuple[str, ...] = ("station",)
@@ -68,14 +70,20 @@ class Series:
         """Exact integer coordinate of a row on the time axis."""
         return F.col(self.ts).cast("long") if self.is_numeric(df) else micros(df, self.ts)
 
+    def checked(self, place: Column) -> Column:
+        """``place``, or an error for rows that have none."""
+        gone = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*self.keys, self.ts)])
+        text = f"a row has no value in {', '.join((*self.keys, self.ts))}, so it has no place in a series"
+        return F.when(gone, F.raise_error(F.lit(text)).cast("long")).otherwise(place)
+
     def with_chunk(self, df: DataFrame) -> DataFrame:
         if self.chunk is None:
             n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             ranged = df.repartitionByRange(n, *self.keys, *self.order)
             # Stored, because the ids must be the same wherever they are used.
-            return materialize(ranged.withColumn(CHUNK, F.spark_partition_id().cast("long")))
+            return materialize(ranged.withColumn(CHUNK, self.checked(F.spark_partition_id().cast("long"))))
         unit = F.col(self.ts) if self.is_numeric(df) else seconds(self.ts)
-        return df.withColumn(CHUNK, F.floor(unit / F.lit(self.chunk)).cast("long"))
+        return df.withColumn(CHUNK, self.checked(F.floor(unit / F.lit(self.chunk)).cast("long")))
 
     def chunk_window(self, descending: bool = False):
         cols = [F.desc(c) if descending else F.asc(c) for c in self.order]
@@ -104,7 +112,7 @@ def number_rows(df: DataFrame, s: Series, position: str = POSITION, total: str |
 
 def grid_position(df: DataFrame, s: Series, step: int, position: str = POSITION) -> DataFrame:
     """Position by arithmetic, for series that have a row at every ``step`` seconds."""
-    return df.withColumn(position, F.floor(seconds(s.ts) / F.lit(step)).cast("long"))
+    return df.withColumn(position, s.checked(F.floor(seconds(s.ts) / F.lit(step)).cast("long")))
 
 
 def along_rows(df: DataFrame, s: Series, exprs, *, before: int = 0, after: int = 0,

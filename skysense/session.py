@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_MAX_ROWS = 100_000
-HOT_KEY_SPREAD = 32
+BROADCAST_MAX_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster such a
-    folder would be lost together with its machine.
+    Where it isn't set, a folder on the session's default file system is taken, next to
+    the user's other files there. A cluster whose default file system is each machine's
+    own must set it.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        files = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
+        home = files.getHomeDirectory()
+        if files.getScheme() == "file" and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="skysense-")
+        folder = f"{home.toString().rstrip('/')}/.skysense/{sc.applicationId}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -53,23 +57,42 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_rows(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal columns where NULL equals NULL, so that rows with a NULL key find their partners.
+
+    The columns of ``left`` come first, then the others of ``right``.
+    """
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_right_{c}`")) for c in on])
+    return left.join(named, same, how).drop(*[f"_right_{c}" for c in on])
+
+
 def attach(df: DataFrame, params: DataFrame, keys: tuple[str, ...], *,
-           max_rows: int = BROADCAST_MAX_ROWS, settled: bool = False) -> DataFrame:
-    """Join per-series parameters onto the rows of each series (left join).
-
-    Without keys ``params`` is a single aggregate row and is broadcast. With keys it
-    is stored and counted: up to ``max_rows`` rows are broadcast, so that the big
-    side does not move. Beyond that both sides are shuffled, with every series cut
-    into ``HOT_KEY_SPREAD`` parts so that no part of a hot series fills one task.
-    ``settled`` says that ``params`` is stored already.
+           max_bytes: int = BROADCAST_MAX_BYTES, settled: bool = False) -> DataFrame:
+    """Join per-series parameters onto the rows of each series (left join; NULL keys match).
+
+    Without keys ``params`` is a single aggregate row and is broadcast. With keys it is
+    stored and its size is taken from its row count and its columns: up to ``max_bytes``
+    it is broadcast, so that the big side does not move. Beyond that both sides are
+    shuffled by a plain join, whose hot keys adaptive execution splits by their actual
+    sizes. ``settled`` says that ``params`` is stored already.
     """
     if not keys:
         return df.crossJoin(F.broadcast(params))
     if not settled:
         params = settle(params)
-    if params.limit(max_rows + 1).count() <= max_rows:
-        return df.join(F.broadcast(params), list(keys), "left")
-    rest = [c for c in df.columns if c not in keys]
-    part = F.pmod(F.xxhash64(*rest), F.lit(HOT_KEY_SPREAD)).cast("int")
-    spread = params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(HOT_KEY_SPREAD - 1))))
-    return df.withColumn("_part", part).join(spread, [*keys, "_part"], "left").drop("_part")
+    if params.count() * row_bytes(params) <= max_bytes:
+        params = F.broadcast(params)
+    return join_rows(df, params, keys)
+
+
+def row_bytes(df: DataFrame) -> int:
+    """About how many bytes a row takes, by the types of its columns."""
+    def width(kind: T.DataType) -> int:
+        if isinstance(kind, T.StructType):
+            return sum(width(f.dataType) for f in kind.fields)
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return 64
+        return 64 + 8 * width(kind.elementType) if isinstance(kind, T.ArrayType) else 16
+
+    return width(df.schema)

@@ -18,9 +18,10 @@ WATERMARK = "2 hours"
 def event_stream(spark: SparkSession, folder: str, *, files_per_batch: int = 1000) -> DataFrame:
     """Events as a stream. Times are cast to TIMESTAMP because a watermark needs it;
     with the session time zone set to UTC the values do not change."""
+    # Reading the schema fails where the table is missing. As a pattern the same path may be
+    # one file or a folder of part files; a plain one must be a folder.
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-           .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/events.{{parquet}}")
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
                       (F.col("user_id") % STATIONS).alias("station"), "event_type", "value")
 
@@ -46,19 +47,24 @@ def hourly_aqi_alerts(events: DataFrame, threshold: int = AQI_ALERT_THRESHOLD, w
 
 
 def dedupe(events: DataFrame, keys: tuple[str, ...] = ("station", "ts"), watermark: str = WATERMARK) -> DataFrame:
-    """First arrival per key; state older than the watermark is dropped."""
+    """First arrival per key, with all its columns; state older than the watermark is dropped."""
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
 def sliding_means(events: DataFrame, length: str = "24 hours", slide: str = "1 hour",
                   watermark: str = WATERMARK) -> DataFrame:
     """Rolling mean over time per station and event type. Frames are stretches of time,
-    not numbers of rows, and include incomplete ones at the start."""
-    means = (events.withWatermark("ts", watermark)
-             .groupBy("station", "event_type", F.window("ts", length, slide))
-             .agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")))
-    return means.select("station", "event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                        F.col("window.end").cast("timestamp_ntz").alias("window_end"), "mean", "n")
+    not numbers of rows, and include incomplete ones at the start.
+
+    Events are summed per ``slide`` first; only these few sums enter the overlapping frames.
+    """
+    steps = (events.withWatermark("ts", watermark)
+             .groupBy("station", "event_type", F.window("ts", slide).alias("step"))
+             .agg(F.sum("value").alias("total"), F.count("value").alias("values"), F.count(F.lit(1)).alias("n")))
+    frames = (steps.groupBy("station", "event_type", F.window(F.window_time("step"), length, slide))
+              .agg(F.try_divide(F.sum("total"), F.sum("values")).alias("mean"), F.sum("n").alias("n")))
+    return frames.select("station", "event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                         F.col("window.end").cast("timestamp_ntz").alias("window_end"), "mean", "n")
 
 
 def start(stream: DataFrame, name: str, path: str, state: str, trigger: str = "1 minute") -> StreamingQuery:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 import traceback
 
@@ -20,7 +21,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session(cpus: int = 8) -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("checks")
              .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "10g")
+             .config("spark.ui.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checks-")).config("spark.driver.memory", "10g")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

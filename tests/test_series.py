@@ -102,7 +102,7 @@ def test_partitioning_does_not_matter(uneven):
 def test_attach_beyond_the_broadcast_limit(spark, uneven):
     params = uneven.groupBy("station").agg(F.max("m").alias("top"))
     near = attach(uneven, params, ("station",))
-    far = attach(uneven, params, ("station",), max_rows=0)
+    far = attach(uneven, params, ("station",), max_bytes=0)
     assert rows(near) == rows(far.select(*near.columns))
     far.collect()
     assert far.count() == uneven.count()
