@@ -5,12 +5,15 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from skysense.forecasting.models import (
-    BoostingParams, ModelStore, feature_importance, predict_all, predict_measure, train_all, train_measure,
+    BoostingParams, ModelStore, Trained, feature_importance, predict_all, predict_measure, train_all, train_measure,
 )
-from skysense.forecasting.recursive import forecast_recursive
+from skysense.forecasting.recursive import forecast_all, forecast_recursive
+from skysense.operators.features import features_of, supervised_features, wide_features
 from skysense.operators.scaling import split_time
 from skysense.series import Series
 from skysense.session import materialize, new_path
@@ -69,7 +72,7 @@ def test_failures_are_reported_per_measure(split):
     assert not models and table.first().status.startswith("failed")
     models, table = train_all(split, HOURS, ["pm2_5", "pm10"], FEW)
     assert {r.measure: r.status for r in table.collect()} == {"pm2_5": "ok", "pm10": "ok"}
-    both = predict_all(split.drop("split"), HOURS, models)
+    both = predict_all(split.drop("split"), HOURS, models, lookback=6)
     assert both.select("measure").distinct().count() == 2
 
 
@@ -108,8 +111,57 @@ def test_forecast_equals_a_loop(spark, waves, trained):
     assert early == at(299)
 
 
-def test_short_series_have_no_forecast(spark, waves, trained):
+def test_short_series_have_a_reason(waves, trained):
     few = waves.filter(F.col("datetime") < F.lit(at(6)).cast("timestamp_ntz"))
-    assert forecast_recursive(few, HOURS, trained, 1, lookback=6).count() == 0
+    rows = forecast_recursive(few, HOURS, trained, 1, lookback=6).collect()
+    assert len(rows) == 2 and all(r.reason and r.forecast is None for r in rows)
     with pytest.raises(ValueError):
-        forecast_recursive(waves, HOURS, trained, 169)
+        forecast_recursive(waves, HOURS, trained, 0)
+
+
+def hole(df, hour, column):
+    gone = (F.col("station") == 1) & (F.col("datetime") == F.lit(at(hour)).cast("timestamp_ntz"))
+    return df.withColumn(column, F.when(~gone, F.col(column)))
+
+
+def test_a_gap_doesnt_end_the_forecast(waves, trained):
+    """Ten hours back: the last six rows are full, so nothing changes. Two hours back: the row
+    before the gap is the last full one until enough predictions follow."""
+    plain = forecast_recursive(waves, HOURS, trained, 3, lookback=6).filter("station = 1").orderBy("step").collect()
+    far = forecast_recursive(hole(waves, 290, "pm2_5"), HOURS, trained, 3, lookback=6).filter("station = 1").orderBy("step").collect()
+    assert [r.forecast for r in far] == [r.forecast for r in plain]
+    near = forecast_recursive(hole(waves, 297, "pm2_5"), HOURS, trained, 7, lookback=6).filter("station = 1").orderBy("step").collect()
+    before = waves.filter(F.col("datetime") <= F.lit(at(296)).cast("timestamp_ntz"))
+    first = forecast_recursive(before, HOURS, trained, 1, lookback=6).filter("station = 1").first().forecast
+    assert [r.forecast for r in near[:4]] == [first] * 4 and near[0].datetime == at(300) and near[6].forecast != first
+
+
+def test_a_measure_that_is_missing_stops_nobody(waves, trained):
+    gone = waves.withColumn("pm10", F.when(F.col("station") == 0, F.col("pm10")))
+    rows = forecast_recursive(gone, HOURS, trained, 2, lookback=6).collect()
+    assert [(r.station, r.reason is None) for r in sorted(rows, key=lambda r: (r.station, r.step or 0))] == [(0, True), (0, True), (1, False)]
+
+
+def test_long_forecasts(waves, trained):
+    fixed = Trained("pm2_5", PipelineModel([SQLTransformer(statement="SELECT *, 0.9 * pm2_5_lag_1 + 1 AS predicted FROM __THIS__")]), trained.features, None)
+    rows = forecast_recursive(waves, HOURS, fixed, 170, lookback=6).filter("station = 0").orderBy("step").collect()
+    values = [r.pm2_5 for r in waves.filter("station = 0").orderBy("datetime").collect()]
+    for r in rows:
+        values.append(0.9 * values[-2] + 1)
+        assert close(r.forecast, values[-1], 1e-9)
+    assert len(rows) == 170
+
+
+def test_all_measures_are_forecast_and_one_may_fail(waves, trained):
+    broken = Trained("pm10", PipelineModel([SQLTransformer(statement="SELECT *, raise_error('broken') AS predicted FROM __THIS__")]),
+                     [n.replace("pm2_5", "pm10") if n != "pm10" else "pm2_5" for n in trained.features], None)
+    rows = forecast_all(waves, HOURS, {"pm2_5": trained, "pm10": broken}, 2, lookback=6).collect()
+    assert sorted((r.measure, r.reason is None) for r in rows) == [("pm10", False), *[("pm2_5", True)] * 4]
+
+
+def test_one_numbering_for_all_measures(waves, trained):
+    text = wide_features(waves, HOURS, ["pm2_5", "pm10"], lookback=6)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("row_number()") <= 2 and text.count("FileScan") == 2
+    one = features_of(wide_features(waves, HOURS, ["pm2_5", "pm10"], lookback=6), waves, HOURS, "pm10", 6)
+    other = supervised_features(waves, HOURS, "pm10", lookback=6)
+    assert one.columns == other.columns and sorted(one.collect()) == sorted(other.collect())
