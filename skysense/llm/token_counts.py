@@ -33,7 +33,8 @@ _MARK = "▁"
 
 def usual(texts: pa.Array) -> np.ndarray:
     """Which texts the cutting below holds for; others are encoded whole."""
-    odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, _MARK))
+    # A leading space forms a run with the mark that every text begins with.
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, _MARK)), pc.starts_with(texts, " "))
     return ~odd.to_numpy(zero_copy_only=False).astype(bool)
 
 

@@ -60,9 +60,9 @@ def quantised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows."""
-    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of length ``dim`` as rows."""
+    return column.flatten().to_numpy().reshape(len(column), dim)
 
 
 def choose_pivots(rows: DataFrame, count: int, sample: int) -> dict[int, np.ndarray]:
@@ -70,7 +70,8 @@ def choose_pivots(rows: DataFrame, count: int, sample: int) -> dict[int, np.ndar
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     out = {}
     for dim in {len(r.v) for r in chosen}:
-        own = np.array([r.v for r in chosen if len(r.v) == dim], np.float64).reshape(-1, dim)
+        own = [r.v for r in chosen if len(r.v) == dim]
+        own = np.array(own, np.float64).reshape(len(own), dim)
         pivots = [np.zeros(dim)]
         far = np.linalg.norm(own, axis=1)
         while len(pivots) < count and len(far) and far.max() > 0:
@@ -107,7 +108,7 @@ def pack(rows: DataFrame, pivots: dict[int, np.ndarray], size: int) -> DataFrame
             lengths = lists.value_lengths().to_numpy()
             for dim in np.unique(lengths).tolist():
                 mine = lengths == dim
-                waiting.setdefault(dim, []).append((ids[mine], matrix(lists.filter(pa.array(mine))).reshape(mine.sum(), dim)))
+                waiting.setdefault(dim, []).append((ids[mine], matrix(lists.filter(pa.array(mine)), dim)))
                 if sum(len(i) for i, _ in waiting[dim]) >= size:
                     every, v = (np.concatenate(x) for x in zip(*waiting.pop(dim)))
                     whole = len(every) // size * size
