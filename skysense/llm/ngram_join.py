@@ -9,11 +9,13 @@
 3. Classes that share such an n-gram, directly or over others, form a cluster. A cluster
    of usual size is joined by one task. A larger one is cut into blocks, each joined with
    the next one; then only classes that still share an n-gram with a class of another
-   component go on, and all pairs of their blocks are joined.
+   component go on. These meet by the sizes of their sets, of which only neighbouring
+   bands can be similar; where a band still has many, by all pairs of its blocks.
 4. A join puts the ordered sets into a compressed prefix tree. A set walks down it: the
    overlap with a shared beginning is counted once for all sets below, and a subtree is
    left as soon as what remains can't reach the overlap that is needed, or holds no set
-   that shares an n-gram of the prefix and isn't in the same component yet.
+   that shares an n-gram of the prefix, may be similar by the parities of its n-grams in
+   1024 classes, and isn't in the same component yet.
 5. Components of the links are found by alternating stars.
 
 A document's own n-grams are told apart by 63 bits; two different ones of the same or of a
@@ -39,11 +41,13 @@ from skysense.llm.common import FILE, ROW, hinted, located, rows_at, slices, sto
 from skysense.llm.components import components
 
 #: The part of the hash space whose document counts are known, against the prefix's part of a set.
-COUNTED = 5 / 3
+COUNTED = 2
 #: Classes and n-grams of a block, and classes of a task, about.
 BLOCK_SETS, BLOCK_GRAMS, TASK_SETS = 512, 1 << 20, 1_000
 #: N-grams compared at a time on the way down.
 STRIDE = 64
+#: Bits of a set that tell most dissimilar ones apart before the tree is entered.
+MARKS = 1024
 
 
 @dataclass(frozen=True)
@@ -63,6 +67,10 @@ class Similar:
         """Hashes below this are counted."""
         return min(2**63 - 1, int(2**63 * COUNTED * (1 - self.num / self.den)))
 
+    def needed(self, total):
+        """The least overlap that links two sets of together ``total`` n-grams."""
+        return -(-self.num * total // (self.num + self.den))
+
     def enough(self, overlap, total):
         """Whether ``overlap`` of two sets of together ``total`` n-grams links them."""
         return (self.num + self.den) * overlap >= self.num * total
@@ -141,7 +149,8 @@ def sets_of(docs: DataFrame, how: Similar) -> DataFrame:
 
 
 def prefixes(grams: DataFrame, how: Similar) -> DataFrame:
-    """N-grams of the prefix of each class that other classes have as well: ``id``, ``n``, ``gram``.
+    """N-grams of the prefix of each class that other classes have as well: ``id``, ``n``,
+    ``own`` (how many of its counted n-grams no other class has), ``gram``.
 
     ``grams`` has ``id``, ``n`` and the array ``grams`` of classes."""
     each = grams.select("id", F.explode("grams").alias("gram"))
@@ -157,8 +166,11 @@ def prefixes(grams: DataFrame, how: Similar) -> DataFrame:
     # Counted n-grams without a second class come first. Where the prefix reaches beyond the
     # counted ones, it is all that was handed on.
     budget = F.when(F.col("low") >= size, size - (F.col("low") - shared_low)).otherwise(F.size("own"))
-    return (joined.withColumn("budget", budget.cast("int")).filter("budget > 0")
-            .select("id", "n", F.explode(F.slice("own", F.lit(1), F.col("budget"))).alias("g")).select("id", "n", "g.gram"))
+    # Only what each n-gram needs goes along when the array is spread out.
+    picked = joined.withColumn("budget", budget.cast("int")).filter("budget > 0").select(
+        "id", "n", (F.col("low") - shared_low).cast("long").alias("alone"),
+        F.transform(F.slice("own", F.lit(1), F.greatest(F.col("budget"), F.lit(0))), lambda g: g.gram).alias("picked"))
+    return picked.select("id", "n", "alone", F.explode("picked").alias("gram"))
 
 
 def stars(postings: DataFrame, value: str) -> DataFrame:
@@ -236,14 +248,24 @@ class Tree:
                 stack += [(c, overlap, at) for c in children]
 
 
-def link_sets(ids: list[int], labels: list[int], sets: list[np.ndarray], heads: list[np.ndarray], how: Similar) -> list[tuple[int, int]]:
+def marks_of(s: np.ndarray) -> np.ndarray:
+    """For each of ``MARKS`` classes of hashes, whether an odd number of n-grams is in it, as bits."""
+    odd = np.bincount((s & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def link_sets(ids: list[int], labels: list[int], alone: list[int], sets: list[np.ndarray], heads: list[np.ndarray],
+              how: Similar) -> list[tuple[int, int]]:
     """Links that join the components of these classes, as far as sets that share an n-gram of ``heads`` are similar.
 
-    ``labels`` are components known already. Sets of one component aren't compared again."""
+    ``labels`` are components known already. Sets of one component aren't compared again.
+    ``alone`` n-grams of a set are in no other set at all, so they can't be in an overlap."""
     order = sorted(range(len(ids)), key=lambda i: sets[i].astype(">u8").tobytes())
     tree = Tree([sets[i] for i in order])
     label = np.array([labels[i] for i in order], np.int64)
     sizes = np.array([len(sets[i]) for i in order], np.int64)
+    reach = sizes - np.array([alone[i] for i in order], np.int64)
+    marks = np.array([marks_of(sets[i]) for i in order])
     having: dict[int, list[int]] = {}
     links = []
     for i, k in enumerate(order):
@@ -254,7 +276,11 @@ def link_sets(ids: list[int], labels: list[int], sets: list[np.ndarray], heads:
             near[own] = True
             own.append(i)
         n = len(sets[k])
-        near &= how.enough(np.minimum(sizes, n), sizes + n) & (label != label[i])
+        near &= how.enough(np.minimum(reach, reach[i]), sizes + n) & (label != label[i])
+        some = np.flatnonzero(near)
+        # Marks that differ are at most as many as n-grams that only one of two sets has.
+        most = sizes[some] + n - 2 * how.needed(sizes[some] + n)
+        near[some[np.bitwise_count(marks[some] ^ marks[i]).sum(axis=1) > most]] = False
         if not near.any():
             continue
 
@@ -277,10 +303,10 @@ class Texts:
 
 
 def join_groups(members: DataFrame, texts: Texts, how: Similar) -> DataFrame:
-    """Links (a, b) within groups. ``members`` has ``id``, ``label``, ``heads`` and ``groups``, the names of its groups.
+    """Links (a, b) within groups. ``members`` has ``id``, ``label``, ``alone``, ``heads`` and ``groups``, the names of its groups.
 
     The sets are made anew from the texts of these classes only."""
-    wanted = stored(members.select("id", "label", "heads", "groups").join(texts.classes, "id"), "members")
+    wanted = stored(members.select("id", "label", "alone", "heads", "groups").join(texts.classes, "id"), "members")
     total = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
     tasks = max(1, -(-int(total) // TASK_SETS))
     rows = texts.docs.withColumnRenamed("id", "doc").join(hinted(wanted, 1000), "doc")
@@ -294,12 +320,12 @@ def join_groups(members: DataFrame, texts: Texts, how: Similar) -> DataFrame:
                 # Of rows that repeat an identifier, only those with this set.
                 own = pa.array([digest_of(x) == d.as_py() for x, d in zip(raw, part.column("digest"))], pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in ("id", "label", "heads", "groups")], pa.array(raw, pa.binary())],
-                    names=["id", "label", "heads", "groups", "grams"]).filter(own)
+                    [*[part.column(c) for c in ("id", "label", "alone", "heads", "groups")], pa.array(raw, pa.binary())],
+                    names=["id", "label", "alone", "heads", "groups", "grams"]).filter(own)
 
-    made = rows.select("id", "label", "heads", "groups", "digest", "__text").mapInArrow(
-        make, "id long, label long, heads array<long>, groups array<string>, grams binary")
-    spread = made.select("id", "label", "heads", "grams", F.explode("groups").alias("name")).withColumn(
+    made = rows.select("id", "label", "alone", "heads", "groups", "digest", "__text").mapInArrow(
+        make, "id long, label long, alone long, heads array<long>, groups array<string>, grams binary")
+    spread = made.select("id", "label", "alone", "heads", "grams", F.explode("groups").alias("name")).withColumn(
         "task", F.pmod(F.xxhash64("name"), F.lit(tasks)))
 
     def link(group: pa.Table) -> pa.Table:
@@ -314,7 +340,7 @@ def join_groups(members: DataFrame, texts: Texts, how: Similar) -> DataFrame:
                 stop += 1
             part = group.slice(start, stop - start)
             links += link_sets(
-                part.column("id").to_pylist(), part.column("label").to_pylist(),
+                part.column("id").to_pylist(), part.column("label").to_pylist(), part.column("alone").to_pylist(),
                 [np.frombuffer(x.as_buffer(), np.uint64) for c in part.column("grams").chunks for x in c],
                 [np.array(x, np.int64) for x in part.column("heads").to_pylist()], how)
             start = stop
@@ -325,9 +351,9 @@ def join_groups(members: DataFrame, texts: Texts, how: Similar) -> DataFrame:
 
 def sized(postings: DataFrame, clusters: DataFrame) -> DataFrame:
     """Classes with the n-grams of their prefixes, their cluster, and into how many blocks it is cut."""
-    classes = postings.groupBy("id", "n").agg(F.sort_array(F.collect_set("gram")).alias("heads"))
+    classes = postings.groupBy("id", "n", "alone").agg(F.sort_array(F.collect_set("gram")).alias("heads"))
     named = (classes.join(clusters, classes["id"] == clusters["node"], "left")
-             .select("id", "n", "heads", F.coalesce("component", "id").alias("cluster")))
+             .select("id", "n", "alone", "heads", F.coalesce("component", "id").alias("cluster")))
     size = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS))
     return (named.join(size.filter("sets > 1").select("cluster", blocks.cast("long").alias("blocks")), "cluster")
@@ -338,33 +364,42 @@ def links_of(classes: DataFrame, texts: Texts, how: Similar) -> DataFrame:
     """Links whose components are those of all pairs of similar classes."""
     postings = stored(prefixes(classes, how), "postings")
     members = stored(sized(postings, components(stars(postings, "id"))), "clusters")
-    cluster = F.col("cluster").cast("string")
+    cluster = F.concat(F.lit("c"), F.col("cluster"))
     before = F.pmod(F.col("block") - 1, F.col("blocks"))
     groups = F.when(F.col("blocks") == 1, F.array(cluster)).otherwise(F.array_distinct(F.array(
         F.concat_ws(":", cluster, F.col("block")), F.concat_ws(":", cluster, before))))
-    first = join_groups(members.select("id", F.col("id").alias("label"), "heads", groups.alias("groups")), texts, how)
+    first = join_groups(members.select("id", F.col("id").alias("label"), "alone", "heads", groups.alias("groups")), texts, how)
     large = members.filter("blocks > 1")
     if large.isEmpty():
         return first
     # In large clusters: classes with an n-gram that classes of several components share.
     found = components(first)
     labelled = stored(large.join(found, F.col("id") == F.col("node"), "left").select(
-        "id", "n", "cluster", "heads", F.coalesce("component", "id").alias("label")), "labelled")
+        "id", "n", "alone", "cluster", "heads", F.coalesce("component", "id").alias("label")), "labelled")
     each = labelled.select("id", "label", F.explode("heads").alias("gram"))
     split = each.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("gram")
     left = stored(each.join(split, "gram").select("id", "gram"), "open")
     if left.isEmpty():
         return first
-    still = left.groupBy("id").agg(F.sort_array(F.collect_set("gram")).alias("heads"))
-    opened = still.join(labelled.drop("heads"), "id")
-    again = sized(opened.select("id", "n", F.explode("heads").alias("gram")), opened.select(
-        F.col("id").alias("node"), F.col("cluster").alias("component"))).join(labelled.select("id", "label"), "id")
+    opened = stored(left.groupBy("id").agg(F.sort_array(F.collect_set("gram")).alias("heads")).join(labelled.drop("heads"), "id"), "opened")
+    return first.unionAll(join_groups(opened.join(meetings(opened, how), "id"), texts, how))
+
+
+def meetings(classes: DataFrame, how: Similar) -> DataFrame:
+    """Per class ``groups``, the names of the places where it meets those of its cluster it may be similar to."""
+    ratio = float(np.log(how.den / how.num)) if how.num < how.den else 1.0
+    # The larger of two similar sets has at most den / num times the n-grams: the next band.
+    band = F.floor(F.log(F.col("n")) / F.lit(ratio) + 1e-9)
+    placed = classes.select("id", "n", "cluster", F.explode(F.array(band, band + 1)).alias("band")).select(
+        "id", "n", F.concat(F.lit("c"), F.col("cluster"), F.lit(":s"), F.col("band")).alias("place"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS))
+    size = placed.groupBy("place").agg(blocks.alias("blocks"))
+    cut = placed.join(size, "place").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # All pairs of blocks; a block meets itself in each of its pairs.
-    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    pairs = F.when(F.col("blocks") == 1, F.array(cluster)).otherwise(F.transform(
-        F.filter(other, lambda o: o != F.col("block")),
-        lambda o: F.concat_ws(":", cluster, F.least(o, F.col("block")), F.greatest(o, F.col("block")))))
-    return first.unionAll(join_groups(again.select("id", "label", "heads", pairs.alias("groups")), texts, how))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: o != F.col("block"))
+    names = F.when(F.col("blocks") == 1, F.array("place")).otherwise(F.transform(other, lambda o: F.concat_ws(
+        ":", "place", F.least(o, F.col("block")), F.greatest(o, F.col("block")))))
+    return cut.groupBy("id").agg(F.flatten(F.collect_list(names)).alias("groups"))
 
 
 def grouped(rows: DataFrame, how: Similar) -> DataFrame:
