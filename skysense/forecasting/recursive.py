@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from py4j.java_gateway import is_instance_of
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysense.constants import FORECAST_HOURS, LOOKBACK, ROLLING_WINDOWS
@@ -24,6 +27,12 @@ from skysense.session import materialize
 
 #: The plan of a step holds that of the step before it several times.
 STEPS_PER_STAGE = 2
+#: What a reason begins with, before a colon and the details.
+NO_HISTORY, FAILED = "no full history", "failed"
+#: Errors that a measure's values or its model raise, wherever they stand among the causes.
+OWN_ERRORS = (
+    "org.apache.spark.sql.AnalysisException", "org.apache.spark.SparkRuntimeException", "java.lang.IllegalArgumentException",
+    "java.lang.ArithmeticException", "java.lang.ArrayIndexOutOfBoundsException", "java.time.DateTimeException")
 
 
 def _last(values: Column, n: int) -> Column:
@@ -113,23 +122,40 @@ def forecast_recursive(df: DataFrame, s: Series, trained: Trained, hours: int =
     return made_rows.unionByName(without.select(
         *s.keys, F.lit(m).alias("measure"), F.lit(None).cast("int").alias("step"), F.lit(None).cast("timestamp_ntz").alias(s.ts),
         F.lit(None).cast("double").alias("forecast"),
-        F.concat(F.lit(f"none of the last {size} rows has {lookback + 1} values and all other measures; rows there: "),
+        F.concat(F.lit(f"{NO_HISTORY}: none of the last {size} rows has {lookback + 1} values and all other measures; rows there: "),
                  F.size("_ctx").cast("string")).alias("reason")))
 
 
-def forecast_all(df: DataFrame, s: Series, models: Mapping[str, Trained], hours: int = FORECAST_HOURS, **options) -> DataFrame:
-    """Forecasts of every measure that has a model. A measure whose forecast fails has one
-    row with the error as ``reason``, and the others go on."""
+def _own(spark: SparkSession, error: Exception) -> bool:
+    """Whether a measure's values or model raised ``error``; lost executors, memory and storage aren't its own."""
+    # The session raises known errors as its own and others as they come from the JVM.
+    e, own = getattr(error, "java_exception", None) or getattr(error, "_origin", None), False
+    gateway = spark.sparkContext._gateway
+    while e is not None:
+        if is_instance_of(gateway, e, "java.lang.Error"):
+            return False
+        own = own or any(is_instance_of(gateway, e, name) for name in OWN_ERRORS)
+        e = e.getCause()
+    return own
+
+
+def forecast_all(df: DataFrame, s: Series, models: Mapping[str, Trained], hours: int = FORECAST_HOURS, *,
+                 strict: bool = False, **options) -> DataFrame:
+    """Forecasts of every measure that has a model. A measure whose values or model raise an
+    error has one row with it as ``reason``, and the others go on; with ``strict`` the error
+    is raised. Other errors, such as lost tasks, always are."""
     spark = df.sparkSession
     out = None
     for m, trained in models.items():
         try:
             # Stored here, because errors come up when rows are made.
             made = materialize(forecast_recursive(df, s, trained, hours, **options))
-        except Exception as error:  # reported per measure
+        except (PySparkException, Py4JJavaError) as error:  # reported per measure
+            if strict or not _own(spark, error):
+                raise
             fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in s.keys)
             made = spark.createDataFrame(
-                [(*[None] * len(s.keys), m, None, None, None, str(error))],
+                [(*[None] * len(s.keys), m, None, None, None, f"{FAILED}: {error}")],
                 f"{fields + ', ' if fields else ''}measure string, step int, `{s.ts}` timestamp_ntz, forecast double, reason string")
         out = made if out is None else out.unionByName(made)
     if out is None:

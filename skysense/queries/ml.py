@@ -17,7 +17,7 @@ from skysense.forecasting.models import (
     BoostingParams, ModelStore, Trained, feature_importance, predict_all as score_all, predict_measure as score,
     train_all as fit_all, train_measure as fit,
 )
-from skysense.forecasting.recursive import forecast_all as forecasts, forecast_recursive as forecast
+from skysense.forecasting.recursive import NO_HISTORY, forecast_all as forecasts, forecast_recursive as forecast
 from skysense.operators import air, impute, relational as rel, scoring
 from skysense.operators.features import feature_names
 from skysense.plans import cleaning
@@ -241,18 +241,33 @@ AHEAD_SQL = f"""{LAST_SQL}, ahead AS (
 @query("forecast_recursive_fixed", f"""WITH RECURSIVE {AHEAD_SQL} SELECT station, measure, step::BIGINT AS step, t0 + to_hours(step) AS datetime, {r("forecast")}
 FROM ahead WHERE step > 0""")
 def forecast_recursive_fixed(spark, sf):
-    """Some hours ahead for every measure; series without a full history have a reason instead."""
-    made = forecasts(filled(spark, sf), HOURS, fixed_models(), FIXED_HOURS)
+    """Some hours ahead for every measure that has a full history; ``forecast_status_fixed`` has all
+    of them, and the reasons. An error of a whole measure is raised."""
+    made = forecasts(filled(spark, sf), HOURS, fixed_models(), FIXED_HOURS, strict=True)
     return made.filter(F.col("reason").isNull()).drop("reason")
 
 
+@query("forecast_status_fixed", f"""WITH {FULL_SQL}, {long_sql('filled')}, recent AS (
+  SELECT l.station, l.measure, l.datetime, l.value, w.station IS NOT NULL AS known
+  FROM long l LEFT JOIN whole w ON w.station = l.station AND w.datetime = l.datetime
+  QUALIFY row_number() OVER (PARTITION BY l.station, l.measure ORDER BY l.datetime DESC) <= 48),
+starts AS (SELECT station, measure, known AND count(value) OVER (PARTITION BY station, measure ORDER BY datetime ROWS 24 PRECEDING) = 25 AS fit FROM recent)
+SELECT station, measure, CASE WHEN bool_or(fit) THEN {FIXED_HOURS} ELSE 0 END::BIGINT AS hours,
+  CASE WHEN NOT bool_or(fit) THEN '{NO_HISTORY}' END AS reason FROM starts GROUP BY 1, 2""")
+def forecast_status_fixed(spark, sf):
+    """Every series and measure: how many hours are forecast, or the reason why there are none."""
+    made = forecasts(filled(spark, sf), HOURS, fixed_models(), FIXED_HOURS, strict=True)
+    return made.groupBy("station", "measure").agg(
+        F.count("step").alias("hours"), F.max(F.split_part("reason", F.lit(":"), F.lit(1))).alias("reason"))
+
+
 @query("history_plus_forecast_fixed", f"""WITH RECURSIVE {AHEAD_SQL}, ranked AS (
   SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY station, measure ORDER BY datetime DESC) <= 168)
 SELECT station, datetime, measure, {r("value")}, 'Historical' AS series FROM ranked
 UNION ALL SELECT station, t0 + to_hours(step), measure, {r("forecast", "value")}, 'Forecast' FROM ahead WHERE step > 0""")
 def history_plus_forecast_fixed(spark, sf):
     h = filled(spark, sf)
-    ahead = forecasts(h, HOURS, fixed_models(), FIXED_HOURS)
+    ahead = forecasts(h, HOURS, fixed_models(), FIXED_HOURS, strict=True)
     return rel.history_plus_forecast(h, ahead.filter(F.col("reason").isNull()), HOURS, MS, 168)
 
 
@@ -266,7 +281,7 @@ def export_tables(spark, sf):
     cleaned = cleaning.clean(readings.event_rows(spark, sf), HOURS, "event_id").data
     done = materialize(impute.interpolate(h, HOURS, MS))
     made = scoring.persistence(done, HOURS, MS)
-    ahead = forecasts(done, HOURS, fixed_models(), FIXED_HOURS)
+    ahead = forecasts(done, HOURS, fixed_models(), FIXED_HOURS, strict=True)
     tables = {"cleaned": cleaned, "processed": cleaning.prepare_upload(h, HOURS),
               "predictions": rel.combine_predictions(h, made, HOURS, MS),
               "forecast": ahead.filter(F.col("reason").isNull()).drop("reason")}

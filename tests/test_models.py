@@ -165,3 +165,70 @@ def test_one_numbering_for_all_measures(waves, trained):
     one = features_of(wide_features(waves, HOURS, ["pm2_5", "pm10"], lookback=6), waves, HOURS, "pm10", 6)
     other = supervised_features(waves, HOURS, "pm10", lookback=6)
     assert one.columns == other.columns and sorted(one.collect()) == sorted(other.collect())
+
+
+def test_lost_tasks_are_no_reason(spark, waves, trained):
+    """Only errors of a measure's values or model become its row; with ``strict`` not even those."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm = spark.sparkContext._jvm
+
+    class Raising:
+        def __init__(self, error):
+            self.error = error
+
+        def transform(self, df):
+            raise Py4JJavaError("An error occurred", self.error)
+
+    def forecasts_with(error, **options):
+        return forecast_all(waves, HOURS, {"pm2_5": Trained("pm2_5", Raising(error), trained.features, None)}, 1, lookback=6, **options)
+
+    aborted = "Job aborted due to stage failure: ExecutorLostFailure"
+    own = jvm.org.apache.spark.SparkException(aborted, jvm.java.lang.ArithmeticException("of the values"))
+    assert [r.reason.split(":")[0] for r in forecasts_with(own).collect()] == ["failed"]
+    for lost in (jvm.org.apache.spark.SparkException(aborted),
+                 jvm.org.apache.spark.SparkException(aborted, jvm.java.io.IOException("No space left on device")),
+                 jvm.org.apache.spark.SparkException(aborted, jvm.java.lang.OutOfMemoryError("Java heap space"))):
+        with pytest.raises(Py4JJavaError):
+            forecasts_with(lost)
+    with pytest.raises(Py4JJavaError):
+        forecasts_with(own, strict=True)
+
+
+def broken_models():
+    from skysense.queries import ml
+
+    m = ml.MS[-1]
+    model = PipelineModel([SQLTransformer(statement="SELECT *, raise_error('broken') AS predicted FROM __THIS__")])
+    return {**{k: Trained(k, PipelineModel([SQLTransformer(statement=f"SELECT *, {k}_lag_1 AS predicted FROM __THIS__")]), ml.NAMES[k], None)
+               for k in ml.MS[:1]}, m: Trained(m, model, ml.NAMES[m], None)}
+
+
+@pytest.mark.parametrize("name", ["forecast_recursive_fixed", "forecast_status_fixed", "history_plus_forecast_fixed", "export_tables"])
+def test_queries_fail_with_a_whole_measure(spark, sf, monkeypatch, name):
+    from skysense.queries import QUERIES, ml
+
+    monkeypatch.setattr(ml, "fixed_models", broken_models)
+    with pytest.raises(Exception, match="broken"):
+        QUERIES[name](spark, sf).collect()
+
+
+def test_status_has_series_that_cant_be_forecast(spark, sf, monkeypatch, tmp_path):
+    """One station short, one without a measure: the query and its SQL have a row with the reason for each."""
+    import pyarrow.parquet as pq
+
+    from skysense.queries import ORACLES, QUERIES
+    from tests.oracle_check import TABLES, compare, connect
+
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet") if t != "events" else None
+    events = pq.read_table(f"{sf}/events.parquet").to_pandas()
+    station = events.user_id % 4
+    day = events.ts.min() + pd.Timedelta(hours=20)
+    events = events[~((station == 0) & (events.ts >= day)) & ~((station == 1) & (events.event_type == "error"))]
+    events.to_parquet(tmp_path / "events.parquet", index=False)
+    folder = str(tmp_path)
+    problem, n = compare(spark, connect(folder), "forecast_status_fixed", QUERIES["forecast_status_fixed"], ORACLES["forecast_status_fixed"], folder)
+    assert not problem and n == 20
+    rows = QUERIES["forecast_status_fixed"](spark, folder).collect()
+    assert {r.station for r in rows if r.reason == "no full history" and r.hours == 0} == {0, 1} and {r.station for r in rows if r.hours == 6} == {2, 3}
