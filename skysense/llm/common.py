@@ -15,6 +15,9 @@ BROADCAST_BYTES = 48 << 20
 #: Texts are handed to vectorised code in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
 
+#: Steps of a plan that give at most one row for each of theirs, the same when run again.
+ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "View", "Sort", "Repartition", "RepartitionByExpression"}
+
 #: Where a row lies: the file and the row's number in it.
 FILE, ROW = "__file", "__row"
 
@@ -46,13 +49,21 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def straight(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is another row of files: nothing above the scan makes several of one."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ROW_BY_ROW:
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with the file and row number of each row, which stay the same when read again.
 
     A table that doesn't come straight from files is written first.
     """
     where = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
-    if "_metadata" not in docs.columns:
+    if "_metadata" not in docs.columns and straight(docs):
         try:
             return docs.select("*", *where)
         except AnalysisException:

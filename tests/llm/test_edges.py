@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skysense.llm import (
     bin_packing, exact_dedup, mixing, ngram_join, secret_scan, token_counts, token_files, topk_search, toxicity, warc,
 )
-from skysense.llm.common import new_folder
+from skysense.llm.common import FILE, ROW, located, new_folder
 from skysense.llm.encode import tokenizer_path
 
 WORDS, PIECES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -316,3 +316,28 @@ def test_out_of_fold_chain():
     assert ((p > 0.5) == first).all()
     second = toxicity.fit_link("second", toxicity.Bags(bags.words, bags.counts, np.zeros(50)), p[:, None], first.astype(float))
     assert second.earlier[0] > 1
+
+
+def test_copies_made_above_the_scan_are_rows_of_their_own(spark):
+    """Copies of one row of a file have its place; each must still be told from the others."""
+    folder = new_folder(spark, "exploded")
+    spark.createDataFrame([(i, f"text {i // 2} has some more words here", [0] * 3) for i in range(8)],
+                          "doc_id long, text string, many array<int>").write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    twice = docs.select("doc_id", "text", F.explode("many").alias("copy"))
+    want = [(i, f"text {i // 2} has some more words here", 0) for i in range(0, 8, 2)]
+    assert sorted(tuple(r) for r in exact_dedup.keep_first(twice).collect()) == want
+    assert sorted(tuple(r) for r in ngram_join.keep_one(twice).collect()) == want
+    kept = [r.kept for r in exact_dedup.dedup(twice).collect()]
+    assert len(kept) == 24 and sum(kept) == 4
+    # A plain table is still read where it lies.
+    for plain in (docs, docs.filter("doc_id > 1").select("doc_id"), docs.repartition(3).sort("doc_id")):
+        assert located(plain).inputFiles() == docs.inputFiles()
+    assert not set(located(twice).inputFiles()) & set(docs.inputFiles())
+
+
+def test_captures_of_copies_made_above_the_scan(spark):
+    folder = new_folder(spark, "pages")
+    spark.createDataFrame([(1, "http://a.b/c", "<p>x</p>", [0] * 3)], "page_id long, url string, html string, many array<int>").write.parquet(folder)
+    pages = spark.read.parquet(folder).select("page_id", "url", "html", F.explode("many").alias("copy"))
+    assert len({(r[FILE], r[ROW]) for r in located(pages).collect()}) == 3
