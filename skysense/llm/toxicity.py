@@ -227,9 +227,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, ke
               .filter(F.col("__key").isNotNull()).dropDuplicates(["__key"])
               .filter(F.coalesce(*[F.col(f"__y_{n}") for n in names]).isNotNull())
               .orderBy(F.xxhash64("__key"), "__key").limit(train_rows))
-    # Both are bounded by train_rows.
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    rows = stored(rows.join(F.broadcast(stored(chosen, "labels")), "__key"), "train")
+    # Documents that repeat an identifier fold before the shuffle; then both sides are bounded by train_rows.
+    rows = (rows.join(F.broadcast(stored(chosen, "labels")), "__key").groupBy("__key", *[f"__y_{n}" for n in names])
+            .agg(F.min(F.struct(F.xxhash64("__text").alias("hash"), F.col("__text").alias("text"))).alias("__first")))
+    rows = stored(rows.select("__key", *[f"__y_{n}" for n in names], F.col("__first.text").alias("__text")), "train")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, ke
                     part.column(f"__y_{n}") for n in names]], names=["__key", "bag", *[f"__y_{n}" for n in names]])
 
     made = rows.mapInArrow(bags, f"__key long, bag binary, {', '.join(f'__y_{n} double' for n in names)}").collect()
-    made = sorted({r["__key"]: r for r in made}.values(), key=lambda r: r["__key"])
+    made = sorted(made, key=lambda r: r["__key"])
     lists = [np.frombuffer(r.bag, "<i4") for r in made]
     every = Bags(np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64), np.array([len(x) for x in lists], np.int64), weight)
     fold = np.random.default_rng(7).permutation(len(made)) % folds

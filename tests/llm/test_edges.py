@@ -341,3 +341,18 @@ def test_captures_of_copies_made_above_the_scan(spark):
     spark.createDataFrame([(1, "http://a.b/c", "<p>x</p>", [0] * 3)], "page_id long, url string, html string, many array<int>").write.parquet(folder)
     pages = spark.read.parquet(folder).select("page_id", "url", "html", F.explode("many").alias("copy"))
     assert len({(r[FILE], r[ROW]) for r in located(pages).collect()}) == 3
+
+
+def test_repeated_documents_train_once(spark):
+    """A labelled identifier that many documents repeat counts as one row, the same in any order."""
+    texts = [(i, f"awful w{i % 7} bad" if i % 5 == 0 else f"fine w{i % 7} good") for i in range(100)]
+    labels = spark.createDataFrame([(i, 1 - int(i % 3 == 0), int(i % 5 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+
+    def chain(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        c = toxicity.corpus_chain(docs, labels)
+        return c.vocabulary, c.weight.tolist(), [(k.constant, k.threshold, k.words.tolist()) for k in c.links]
+
+    assert chain([*texts, *[texts[1]] * 400]) == chain(texts)
+    others = [(1, f"another text {i}") for i in range(50)]
+    assert chain([*others, *texts]) == chain([*texts, *others[::-1]])
