@@ -146,6 +146,19 @@ def importance_topk(spark, sf):
     return rows.select("measure", "feature", F.col("importance").between(0, 1).alias("sound"))
 
 
+@query("importance_ranks", f"""SELECT measure, row_number() OVER (PARTITION BY measure ORDER BY feature) AS rank, true AS sound FROM ({NAMES_SQL})""")
+def importance_ranks(spark, sf):
+    """The ranks in the order of ``importance_topk``, and whether importances don't rise with them."""
+    rows = []
+    for t in loaded(all_models(spark, sf)).values():
+        before = 1.0
+        # One row per feature name, in the order of the table.
+        for rank, x in enumerate(feature_importance(t).collect(), 1):
+            rows.append((x.measure, rank, 0 <= x.importance <= before))
+            before = x.importance
+    return spark.createDataFrame(rows, "measure string, rank long, sound boolean")
+
+
 @query("validate_history", f"""WITH {FULL_SQL} SELECT f.station, f.datetime, {each('round(f.{m} + 1e-9, 6) + 0.0 AS {m}, u.station IS NOT NULL AS {m}_scored')}, true AS sound
 FROM filled f LEFT JOIN usable u ON u.station = f.station AND u.datetime = f.datetime""")
 def validate_history(spark, sf):

@@ -232,3 +232,14 @@ def test_status_has_series_that_cant_be_forecast(spark, sf, monkeypatch, tmp_pat
     assert not problem and n == 20
     rows = QUERIES["forecast_status_fixed"](spark, folder).collect()
     assert {r.station for r in rows if r.reason == "no full history" and r.hours == 0} == {0, 1} and {r.station for r in rows if r.hours == 6} == {2, 3}
+
+
+def test_ranks_show_a_wrong_order(spark, trained, monkeypatch):
+    from skysense.queries import QUERIES, ml
+
+    monkeypatch.setattr(ml, "all_models", lambda spark, sf: None)
+    monkeypatch.setattr(ml, "loaded", lambda store: {"pm2_5": trained})
+    rows = QUERIES["importance_ranks"](spark, "").collect()
+    assert [r["rank"] for r in rows] == list(range(1, len(trained.features) + 1)) and all(r.sound for r in rows)
+    monkeypatch.setattr(ml, "feature_importance", lambda t: feature_importance(t).orderBy("importance"))
+    assert not all(r.sound for r in QUERIES["importance_ranks"](spark, "").collect())
