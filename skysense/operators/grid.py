@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skysense.functions.timeaxis import floor_to, from_seconds, micros, seconds
+from skysense.operators.quantiles import quantiles
 from skysense.series import Series, along_rows, neighbours
 from skysense.session import join_rows, materialize
 
@@ -124,25 +125,17 @@ def gaps(df: DataFrame, s: Series) -> DataFrame:
     return along_rows(df, s, diff, before=1)
 
 
-def cadence_profile(df: DataFrame, s: Series) -> DataFrame:
+def cadence_profile(df: DataFrame, s: Series, **options) -> DataFrame:
     """Per series: number of intervals, their median, smallest and largest, in seconds.
 
-    Intervals are counted by length first, so a hot series comes down to its few different
-    lengths; the median is read off the running counts.
+    ``options`` are those of ``quantiles``, which finds the median without bringing the
+    lengths of a hot series, however many differ, to one task.
     """
-    counted = (gaps(df, s).filter(F.col("gap_seconds").isNotNull())
-               .groupBy(*s.keys, "gap_seconds").agg(F.count(F.lit(1)).alias("_n")))
-    ordered = Window.partitionBy(*s.keys).orderBy("gap_seconds").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_to", F.sum("_n").over(ordered)).withColumn(
-        "_all", F.sum("_n").over(Window.partitionBy(*s.keys)))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_to") - F.col("_n") <= rank) & (rank < F.col("_to")), F.col("gap_seconds")))
-
-    middle = (F.col("_all") - 1) / 2
-    found = ranked.groupBy(*s.keys).agg(
-        F.sum("_n").alias("intervals"), ((at(F.floor(middle)) + at(F.ceil(middle))) / 2.0).alias("median_seconds"),
-        F.min("gap_seconds").alias("min_seconds"), F.max("gap_seconds").alias("max_seconds"))
+    made = materialize(gaps(df, s).select(*s.keys, "gap_seconds").filter(F.col("gap_seconds").isNotNull()))
+    ends = made.groupBy(*s.keys).agg(
+        F.count(F.lit(1)).alias("intervals"), F.min("gap_seconds").alias("min_seconds"), F.max("gap_seconds").alias("max_seconds"))
+    middle = quantiles(made, ["gap_seconds"], [0.5], s.keys, **options).select(*s.keys, F.col("q")[0].alias("median_seconds"))
+    found = join_rows(ends, middle, s.keys) if s.keys else ends.join(middle, F.lit(True), "left")
     # Series with a single row have no interval.
     every = df.select(*s.keys).distinct() if s.keys else None
     if every is not None:

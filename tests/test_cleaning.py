@@ -210,3 +210,20 @@ def test_prepare_training_fits_on_train(spark):
     done = cleaning.prepare_training(df, HOURS, ["m"], fit_on_train=True)
     assert done.data.filter("split = 'train'").agg(F.min("m"), F.max("m")).first()[:] == (0.0, 1.0)
     assert done.data.filter("split = 'test'").agg(F.max("m")).first()[0] > 1.0
+
+
+def test_cadence_of_many_different_gaps(spark):
+    """No window runs over a series' gap lengths, and small brackets give the same median."""
+    hours = np.concatenate([[0], np.cumsum(np.random.default_rng(4).permutation(np.arange(1, 1501)))])
+    rows = [(k, at(float(h) / 3600)) for k in (1, 3) for h in hours] + [(2, at(0))]
+    df = spark.createDataFrame(rows, "station int, datetime timestamp_ntz")
+    lengths = np.diff(hours)
+    want = (len(lengths), int(lengths.min()), int(lengths.max()), float(np.median(lengths)))
+    whole = grid.cadence_profile(df, HOURS)
+    assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+    for found in (whole, grid.cadence_profile(df, HOURS, small_group=10, accuracy=100)):
+        assert {r[0]: tuple(r)[1:] for r in found.collect()} == {1: want, 3: want, 2: (0, None, None, None)}
+    one = grid.cadence_profile(df.filter("station = 1"), Series(keys=(), chunk=6 * 3600), small_group=10, accuracy=100)
+    assert [tuple(r) for r in one.collect()] == [want]
+    alone = grid.cadence_profile(df.filter("station = 2"), Series(keys=(), chunk=6 * 3600))
+    assert [tuple(r) for r in alone.collect()] == [(0, None, None, None)]
