@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skysense.llm import (
     bin_packing,
+    chat_format,
+    conversation_repair,
     exact_dedup,
     mixing,
     ngram_join,
@@ -72,6 +74,17 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
 
 
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = chat_format.with_hostile(table(spark, folder, "conversations"))
+    return chat_format.digest(chat_format.formatted(turns))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    repaired = conversation_repair.repair(conversation_repair.damaged(turns))
+    return conversation_repair.digest(turns, repaired)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +96,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
+    "op12_chat_format": op12_chat_format,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: Tokenizers and fitted models (2, 5, 6, 9) and positions of all matches (10) aren't SQL.
@@ -92,4 +107,6 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op7_warc": warc.SQL,
     "op8_mixing": mixing.sql(),
+    "op12_chat_format": chat_format.SQL,
+    "op13_conversation_repair": conversation_repair.SQL,
 }
