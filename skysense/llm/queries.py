@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skysense.llm import (
     bin_packing,
     chat_format,
+    collocations,
     conversation_repair,
     exact_dedup,
     mixing,
@@ -74,6 +75,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = chat_format.with_hostile(table(spark, folder, "conversations"))
     return chat_format.digest(chat_format.formatted(turns))
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
+    "op11_collocations": op11_collocations,
     "op12_chat_format": op12_chat_format,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -107,6 +113,7 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op7_warc": warc.SQL,
     "op8_mixing": mixing.sql(),
+    "op11_collocations": collocations.SQL,
     "op12_chat_format": chat_format.SQL,
     "op13_conversation_repair": conversation_repair.SQL,
 }

@@ -120,7 +120,7 @@ def test_repair_of_odd_rows(spark):
         2: [(None, "user", "first?"), (3, "assistant", "cut off"), (3, "user", "first?"), (9, None, "x.")],
         3: [(5, "user", None), (6, "user", " \t\r\n")],
         4: [(0, "assistant", "a."), (0, "assistant", "b."), (0, "user", "c.\u00a0"), (0, "", "d.")],
-        5: [(None, "user", "only."), (None, "assistant", "nulls.")],
+        5: [(None, "assistant", "only."), (None, "user", "nulls.")],
         6: [(0, "usage", "role by initial."), (1, "assistant", "yes." + " " * 50_000), (2, "user", "x" * 300_000 + ".")],
         None: [(1, "user", "no conversation."), (2, "assistant", "none.")],
     }
