@@ -42,11 +42,26 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that this package wrote."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    fs, hadoop = _hadoop(spark, path)
+    fs.delete(hadoop, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _hadoop(spark, path)
+    return fs.exists(hadoop)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a mark that something is done."""
+    fs, hadoop = _hadoop(spark, path)
+    fs.create(hadoop, True).close()
 
 
 def straight(docs: DataFrame) -> bool:

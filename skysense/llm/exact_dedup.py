@@ -10,17 +10,20 @@ texts that share a digest without being equal are told apart there.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skysense.llm.common import FILE, ROW, drop_folder, located, new_folder, rows_at, stored
+from skysense.llm.common import FILE, ROW, drop_folder, exists, located, new_folder, rows_at, stored, touch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+#: RocksDB shares one memory bound, and doesn't reserve disk for its log files ahead of their use.
+ROCKSDB_OPTIONS = {"spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+                   "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 #: Rows order by known identifiers first, then by identifier, then by place.
 _PLACE = "struct(`__id` IS NULL AS unknown, `__id` AS id, `__file` AS file, `__row` AS row)"
@@ -42,36 +45,53 @@ def sha256(text: Column) -> Column:
 class Deduplicator:
     """State of all runs so far below ``folder``: intake, checkpoint and ledger.
 
-    ``add`` takes a further table, ``verdicts`` tells of all rows so far. An interrupted
-    run is finished by the next one, because the checkpoint knows what was taken in.
+    ``add`` takes a further table, ``verdicts`` tells of all rows so far. Each table is a
+    batch with a name, by default a hash of its files and of the plan over them. A batch
+    that was taken in before is not taken again, so an ``add`` that failed on the way, or
+    was repeated, does no harm: the checkpoint knows what the state has seen. Hits are
+    checked on full texts, so an object that goes on from another's folder needs the
+    tables of earlier batches too: ``add`` them again or ``attach`` them.
     """
 
     def __init__(self, spark: SparkSession, folder: str, *, digest: Callable[[Column], Column] = sha256,
                  normal: Callable[[Column], Column] = normalised, files_per_batch: int = 100_000):
         self.spark, self.folder = spark, folder
         self.digest, self.normal, self.files_per_batch = digest, normal, files_per_batch
-        self.docs: list[DataFrame] = []
+        self.docs: dict[str, DataFrame] = {}
 
-    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+    def attach(self, docs: DataFrame, key: str = "doc_id", text: str = "text", batch: str | None = None) -> str:
+        """Make the texts of a table readable without taking it in; returns the batch's name."""
         rows = located(docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")))
-        self.docs.append(rows)
-        (rows.select("__id", self.digest(self.normal(F.col("__text"))).alias("__digest"), FILE, ROW)
-         .write.mode("append").parquet(f"{self.folder}/intake"))
+        if batch is None:
+            plan = rows._jdf.queryExecution().analyzed().canonicalized().treeString()
+            batch = hashlib.sha256("\n".join([plan, *sorted(rows.inputFiles())]).encode()).hexdigest()[:32]
+        self.docs[batch] = rows
+        return batch
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", batch: str | None = None) -> None:
+        batch = self.attach(docs, key, text, batch)
+        done = f"{self.folder}/taken/{batch}"
+        if not exists(self.spark, done):
+            (self.docs[batch].select("__id", self.digest(self.normal(F.col("__text"))).alias("__digest"), FILE, ROW)
+             .write.mode("overwrite").parquet(f"{self.folder}/intake/{batch}"))
+            # The stream runs only after this, so it never sees half an intake.
+            touch(self.spark, done)
         self._run()
 
     def _run(self) -> None:
         spark = self.spark
         state = (spark.readStream.schema(INTAKE).option("maxFilesPerTrigger", self.files_per_batch)
-                 .parquet(f"{self.folder}/intake").groupBy("__digest")
+                 .parquet(f"{self.folder}/intake/*").groupBy("__digest")
                  .agg(F.expr(f"min({_PLACE})").alias("keep"), F.count(F.lit(1)).alias("rows")))
 
         def save(batch: DataFrame, number: int) -> None:
             # The same batch may come again after a failure; it then replaces itself.
             batch.write.mode("overwrite").parquet(f"{self.folder}/ledger/batch={number}")
 
-        before = {k: spark.conf.get(k, None) for k in (PROVIDER, BOUNDED)}
-        spark.conf.set(PROVIDER, ROCKSDB)
-        spark.conf.set(BOUNDED, "true")
+        options = {PROVIDER: ROCKSDB, **ROCKSDB_OPTIONS}
+        before = {k: spark.conf.get(k, None) for k in options}
+        for k, v in options.items():
+            spark.conf.set(k, v)
         try:
             query = (state.writeStream.outputMode("update").foreachBatch(save)
                      .option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start())
@@ -81,7 +101,7 @@ class Deduplicator:
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def intake(self) -> DataFrame:
-        return self.spark.read.schema(INTAKE).parquet(f"{self.folder}/intake")
+        return self.spark.read.schema(INTAKE).parquet(f"{self.folder}/intake/*")
 
     def ledger(self) -> DataFrame:
         """The newest entry of each digest: first rows only get smaller, counts only grow."""
@@ -104,7 +124,7 @@ class Deduplicator:
     def _texts(self, places: DataFrame, others: DataFrame) -> DataFrame:
         """Normalised texts at ``places``, read through the locators, with their digests."""
         parts = [rows_at(d, places, others).select(FILE, ROW, "__id", self.normal(F.col("__text")).alias("__text"))
-                 for d in self.docs]
+                 for d in self.docs.values()]
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
@@ -115,8 +135,11 @@ class Deduplicator:
         after map-side aggregation, so that a text travels once per task, however often it occurs."""
         others = judged.filter(F.col("rows") == 1).select(FILE, ROW)
         ends = self._texts(places, others).groupBy("__digest").agg(
-            F.min("__text").alias("a"), F.max("__text").alias("b"))
-        return stored(ends.filter(F.col("a") != F.col("b")).select("__digest"), "clashes")
+            F.min("__text").alias("a"), F.max("__text").alias("b"), F.count(F.lit(1)).alias("read"))
+        seen = stored(ends.select("__digest", (F.col("a") != F.col("b")).alias("differ"), "read"), "hits")
+        if (seen.agg(F.sum("read")).first()[0] or 0) < places.count():
+            raise ValueError("texts of an earlier batch can't be read: attach its table first")
+        return seen.filter("differ").select("__digest")
 
     def _settle(self, clashing: DataFrame, judged: DataFrame) -> DataFrame:
         """Rows with a clashing digest, grouped by their full texts."""

@@ -68,6 +68,47 @@ def test_state_lasts_from_run_to_run(spark):
     assert {(r["__id"], r.keep.id, r.rows) for r in runs.verdicts().collect()} == {(10 * i + k, k, 2) for i in range(2) for k in range(3)}
 
 
+def written(spark, rows, name="table"):
+    path = new_folder(spark, name)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_a_repeated_batch_counts_once(spark, monkeypatch):
+    docs, folder = written(spark, [(k, f"t{k % 3}") for k in range(6)]), new_folder(spark, "runs")
+    verdicts = lambda d: sorted((r["__id"], r.keep.id, r.rows) for r in d.verdicts().collect())
+    want = [(k, k % 3, 2) for k in range(6)]
+
+    def lost(self):
+        raise RuntimeError("executor lost")
+
+    # Fails after the intake was written, and is repeated by another object.
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup.Deduplicator, "_run", lost)
+        with pytest.raises(RuntimeError):
+            exact_dedup.Deduplicator(spark, folder).add(docs)
+    runs = exact_dedup.Deduplicator(spark, folder)
+    runs.add(docs)
+    assert verdicts(runs) == want
+    runs.add(docs)
+    assert verdicts(runs) == want
+    # Another part of the same files is another batch.
+    runs.add(docs.filter("doc_id = 1"))
+    assert sum(r.rows == 3 for r in runs.verdicts().collect()) == 3
+
+
+def test_bytes_are_checked_after_a_restart(spark):
+    weak = lambda t: F.unhex(F.lit("00"))
+    first, second, folder = written(spark, [(1, "one")]), written(spark, [(2, "other"), (3, "one")]), new_folder(spark, "runs")
+    exact_dedup.Deduplicator(spark, folder, digest=weak).add(first)
+    runs = exact_dedup.Deduplicator(spark, folder, digest=weak)
+    runs.add(second)
+    with pytest.raises(ValueError, match="attach"):
+        runs.verdicts()
+    runs.attach(first)
+    assert {(r["__id"], r.keep.id, r.rows) for r in runs.verdicts().collect()} == {(1, 1, 2), (2, 2, 1), (3, 1, 2)}
+
+
 def plain_components(texts, how):
     def grams(t):
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
