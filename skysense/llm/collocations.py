@@ -32,7 +32,7 @@ DEPTH = 4
 TASK_WORDS = 4_000_000
 #: A prefix with less than this share of a slice isn't told of; so few can be common.
 COMMON = 1 << 16
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 #: Words are looked up among the frequent ones in a table of so many bits, whatever their number;
 #: an infrequent word that shares a bit with a frequent one only costs time.
 BITS = 25
@@ -65,19 +65,26 @@ class Words:
         first = word.copy()
         first[1:] &= ~word[:-1]
         first[begins] = word[begins]
+        last = word.copy()
+        last[:-1] &= ~word[1:]
+        last[begins[1:] - 1] = word[begins[1:] - 1]
         starts = np.flatnonzero(first)
-        self.piece = np.cumsum(cut, dtype=np.int32)[starts]
+        offsets = np.append(0, np.cumsum(np.flatnonzero(last) - starts + 1))
+        self.piece = np.searchsorted(np.flatnonzero(cut), starts, side="right").astype(np.int32)
         # Only letters of words are kept, so a word ends where the next one begins.
-        before = np.cumsum(word, dtype=np.int64)
-        offsets = np.append(before[starts] - 1, before[-1] if len(before) else 0)
-        found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[word])])
+        found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])])
         found = found.dictionary_encode()
         self.codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         self.names = found.dictionary
         self.lang = lang
         # As Spark's xxhash64(lang, word).
         seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py().encode(), seed) for w in self.names), np.uint64, len(self.names))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.names.cast(pa.large_binary()).to_pylist()), np.uint64, len(self.names))
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Forget the other words; their places get the code -1."""
+        self.codes = np.where(wanted, np.cumsum(wanted) - 1, -1).astype(np.int32)[self.codes]
+        self.names, self.hashes = self.names.filter(pa.array(wanted)), self.hashes[wanted]
 
     def follows(self, codes: np.ndarray, k: int) -> np.ndarray:
         """The code ``k`` words on, or -1 where the piece ends before; -1 stays -1."""
@@ -117,13 +124,13 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(lang, word, size, hashes, n):
         k = len(n)
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * k, pa.string()), word, pa.array(np.full(k, size, np.int32)),
-             pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+            [pa.array([lang] * k, pa.string()), word, pa.array(np.full(k, size, np.int32)), hashes, pa.array(n.astype(np.int64))], names=names)
 
     for w in by_language(batches):
         if not len(w.codes):
             continue
-        yield rows(w.lang, w.names.cast(pa.string()), 1, w.hashes, np.bincount(w.codes, minlength=len(w.names)))
+        # The hash of a word is made again after the counts are added up.
+        yield rows(w.lang, w.names.cast(pa.string()), 1, pa.nulls(len(w.names), pa.int64()), np.bincount(w.codes, minlength=len(w.names)))
         least = max(2, len(w.codes) // COMMON)
         here = np.arange(len(w.codes))
         prefix = w.hashes[w.codes]
@@ -133,7 +140,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, n = np.unique(prefix, return_counts=True)
             many = n >= least
             if many.any():
-                yield rows(w.lang, pa.nulls(int(many.sum()), pa.string()), size, found[many], n[many])
+                yield rows(w.lang, pa.nulls(int(many.sum()), pa.string()), size, pa.array(found[many].view(np.int64)), n[many])
 
 
 class Routes:
@@ -159,7 +166,7 @@ class Routes:
         return lead, prefixes
 
 
-SUFFIXES = "task int, lang string, lead int, words array<string>, codes binary, counts binary"
+SUFFIXES = "task int, lang string, lead int, lengths binary, letters binary, codes binary, counts binary"
 
 
 def send_suffixes(routes) -> callable:
@@ -172,12 +179,11 @@ def send_suffixes(routes) -> callable:
         for w in by_language(batches):
             if not len(w.codes):
                 continue
-            kept = to.is_frequent(w.hashes)
-            codes = np.where(kept[w.codes], w.codes, -1).astype(np.int32)
-            columns = [codes]
+            w.keep(to.is_frequent(w.hashes))
+            columns = [w.codes]
             for k in range(1, DEPTH):
                 # A phrase ends before an infrequent word.
-                columns.append(np.where(columns[-1] >= 0, w.follows(codes, k), -1))
+                columns.append(np.where(columns[-1] >= 0, w.follows(w.codes, k), -1))
             some = np.flatnonzero(columns[1] >= 0)
             columns, counts = distinct([c[some] for c in columns], len(w.names))
             if not len(counts):
@@ -200,6 +206,13 @@ def distinct(columns: list[np.ndarray], size: int, weights: np.ndarray | None =
     """The different suffixes in order, and how often each occurs."""
     if not len(columns[0]):
         return columns, np.zeros(0, np.int64)
+    if weights is None and size < 1 << 16:
+        # Four codes are one number, and so sorted without pointers.
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            key = (key << np.uint64(16)) | (c + 1).astype(np.uint64)
+        key, counts = np.unique(key, return_counts=True)
+        return [((key >> np.uint64(16 * d)) & np.uint64(0xFFFF)).astype(np.int32) - 1 for d in reversed(range(DEPTH))], counts
     key = columns[0].astype(np.int64)
     for c in columns[1:]:
         key = key * (size + 1) + (c + 1)
@@ -210,6 +223,19 @@ def distinct(columns: list[np.ndarray], size: int, weights: np.ndarray | None =
     return [c[at] for c in columns], counts
 
 
+def to_blob(press, numbers: np.ndarray) -> bytes:
+    """Numbers with their width, all lowest bytes first: the others are mostly zeros."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(numbers) or int(numbers.max()) < 1 << 8 * w)
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return press.compress(bytes([width]) + planes.tobytes())
+
+
+def from_blob(unpress, blob: bytes) -> np.ndarray:
+    raw = unpress.decompress(blob)
+    width = raw[0]
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
 def packed(w: Words, tasks: int, groups, press) -> Iterator[pa.RecordBatch]:
     out = []
     for columns, counts, lead, prefixes in groups:
@@ -226,13 +252,13 @@ def packed(w: Words, tasks: int, groups, press) -> Iterator[pa.RecordBatch]:
             table = np.stack([c[mine] for c in columns])
             used, local = np.unique(table, return_inverse=True)
             shift = 1 if used[0] >= 0 else 0  # code 0 is the end
-            local = (local.reshape(table.shape) + shift).astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-            small = counts[mine].max() < 256
-            out.append((int(task[mine[0]]), w.lang, int(lead[mine[0]]), w.names.take(pa.array(used[used >= 0])).to_pylist(),
-                        press.compress(bytes([local.itemsize]) + local.tobytes()),
-                        press.compress(bytes([1 if small else 8]) + counts[mine].astype(np.uint8 if small else np.int64).tobytes())))
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary()]
-    names = ["task", "lang", "lead", "words", "codes", "counts"]
+            local = local.reshape(table.shape) + shift
+            names = w.names.take(pa.array(used[used >= 0]))
+            letters, ends = names.buffers()[2], np.frombuffer(names.buffers()[1], np.int64)[: len(names) + 1]
+            out.append((int(task[mine[0]]), w.lang, int(lead[mine[0]]), to_blob(press, np.diff(ends)),
+                        press.compress(letters.to_pybytes()[: ends[-1]] if letters else b""), to_blob(press, local.ravel()), to_blob(press, counts[mine])))
+    kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 4]
+    names = ["task", "lang", "lead", "lengths", "letters", "codes", "counts"]
     for i in range(0, len(out), 256):
         cols = zip(*out[i : i + 256])
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
@@ -310,20 +336,25 @@ def sort_suffixes(least: int):
 
         unpress = zstandard.ZstdDecompressor()
 
-        def numbers(blob: bytes) -> np.ndarray:
-            raw = unpress.decompress(blob)
-            return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[raw[0]], offset=1)
+        def suffixes(lengths, letters, codes) -> pa.DictionaryArray:
+            """The words of suffixes, depth after depth; the empty word is the end."""
+            ends = np.append(np.zeros(2, np.int64), np.cumsum(from_blob(unpress, lengths).astype(np.int64)))
+            names = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(unpress.decompress(letters))])
+            return pa.DictionaryArray.from_arrays(pa.array(from_blob(unpress, codes).astype(np.int32)), names)
 
-        def finish(key, ids, parts):
+        def finish(key, parts, counts):
             if key is None:
                 return
             _, lang, lead = key
-            columns = [np.concatenate([p[0][d] for p in parts]) for d in range(DEPTH)]
-            counts = np.concatenate([p[1] for p in parts])
-            names = ["", *ids]
+            # The dictionaries become one; the empty word is the first of all.
+            parts = pa.chunked_array(parts).unify_dictionaries().chunks
+            names = parts[0].dictionary
+            tables = [p.indices.to_numpy().reshape(DEPTH, -1) for p in parts]
+            columns = [np.concatenate([t[d] for t in tables]) for d in range(DEPTH)]
+            del parts, tables
             phrases, sizes, ns = [], [], []
-            for phrase, n in multikey_quicksort(columns, counts, least, max(2, lead)):
-                phrases.append(" ".join([names[i] for i in phrase]))
+            for phrase, n in multikey_quicksort(columns, np.concatenate(counts), least, max(2, lead)):
+                phrases.append(" ".join([names[i].as_py() for i in phrase]))
                 sizes.append(len(phrase))
                 ns.append(n)
                 if len(ns) == 50_000:
@@ -332,16 +363,16 @@ def sort_suffixes(least: int):
             if ns:
                 yield phrase_rows(lang, phrases, sizes, ns)
 
-        key, ids, parts = None, {}, []
+        key, parts, counts = None, [], []
         for b in batches:
-            for task, lang, lead, words, codes, counts in zip(*[b.column(i) for i in range(6)]):
+            for task, lang, lead, *blobs, count in zip(*[b.column(i) for i in range(7)]):
                 now = (task.as_py(), lang.as_py(), lead.as_py())
                 if now != key:
-                    yield from finish(key, ids, parts)
-                    key, ids, parts = now, {}, []
-                own = np.fromiter((0, *(ids.setdefault(w, len(ids) + 1) for w in words.as_py())), np.int32)
-                parts.append((own[numbers(codes.as_py()).reshape(DEPTH, -1)], numbers(counts.as_py()).astype(np.int64)))
-        yield from finish(key, ids, parts)
+                    yield from finish(key, parts, counts)
+                    key, parts, counts = now, [], []
+                parts.append(suffixes(*[x.as_py() for x in blobs]))
+                counts.append(from_blob(unpress, count.as_py()).astype(np.int64))
+        yield from finish(key, parts, counts)
 
     return run
 
@@ -358,11 +389,12 @@ def counted(docs: DataFrame, least: int, lang: str = "lang", text: str = "text")
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("__lang"),
                         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     found = stored(texts.mapInArrow(count_words, COUNTS).groupBy("lang", "word", "size", "hash").agg(F.sum("n").alias("n")), "words")
-    words = found.filter("size = 1").select("lang", "word", "hash", "n")
+    words = found.filter("size = 1").select("lang", "word", F.xxhash64("lang", "word").alias("hash"), "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
     # Of each size at most COMMON prefixes are so common.
-    common = found.filter(F.col("n") > max(total // COMMON, total // (4 * tasks))).select("size", "hash").toArrow()
+    often = F.col("n") > max(total // COMMON, total // (16 * tasks))
+    common = found.filter(often).select("size", F.coalesce("hash", F.xxhash64("lang", "word")).alias("hash")).toArrow()
     sizes, hashes = (common.column(i).to_numpy() for i in range(2))
     bits = (words.filter(F.col("n") >= least)
             .select(F.shiftrightunsigned("hash", 64 - BITS + 6).cast("int").alias("slot"), F.expr("shiftleft(1L, int(hash & 63))").alias("bit"))
