@@ -2,13 +2,15 @@
 
 The state of a series is one row: its last values as an array. A step computes the
 features from the array with column expressions, applies the model and appends the
-prediction. Steps are projections, so rows never move; the plan is cut by a stored
-table every few steps.
+prediction. Steps are projections, so rows never move. With a tree model all steps are one
+expression, because the trees are data in it (see ``trees``). Any other model is applied
+step by step, and the plan is cut by a stored table every few steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from py4j.java_gateway import is_instance_of
 from py4j.protocol import Py4JJavaError
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skysense.constants import FORECAST_HOURS, LOOKBACK, ROLLING_WINDOWS
 from skysense.forecasting.models import Trained
+from skysense.forecasting.trees import Forest, forest_of
 from skysense.functions.timeaxis import from_seconds, seconds
 from skysense.operators.features import TIME_FEATURES, time_columns
 from skysense.operators.grid import HOUR
@@ -39,17 +42,17 @@ def _last(values: Column, n: int) -> Column:
     return F.slice(values, -n, n)
 
 
-def _history_columns(target: str, lookback: int) -> dict[str, Column]:
-    """Features of the row at place ``_place`` of the context."""
-    cols = {f"{target}_lag_{k}": F.expr(f"element_at(_ctx, _place - {k})") for k in range(1, lookback + 1)}
+def _history_columns(target: str, lookback: int, ctx: Column, place: Column) -> dict[str, Column]:
+    """Features of the row at ``place`` (from 1) of the context."""
+    cols = {f"{target}_lag_{k}": F.get(ctx, place - (k + 1)) for k in range(1, lookback + 1)}
     for w in ROLLING_WINDOWS:
         if w <= lookback:
-            frame = f"slice(_ctx, _place - {w - 1}, {w})"
-            mean = f"aggregate({frame}, 0D, (a, x) -> a + x) / {w}"
-            cols[f"{target}_rolling_mean_{w}"] = F.expr(mean)
-            cols[f"{target}_rolling_std_{w}"] = F.expr(
-                f"sqrt(aggregate({frame}, named_struct('s', 0D, 'm', {mean}), "
-                f"(a, x) -> named_struct('s', a.s + (x - a.m) * (x - a.m), 'm', a.m), a -> a.s) / {w - 1})")
+            frame = F.slice(ctx, place - (w - 1), w)
+            mean = F.aggregate(frame, F.lit(0.0), lambda a, x: a + x) / w
+            cols[f"{target}_rolling_mean_{w}"] = mean
+            start = F.struct(F.lit(0.0).alias("s"), mean.alias("m"))
+            cols[f"{target}_rolling_std_{w}"] = F.sqrt(F.aggregate(
+                frame, start, lambda a, x: F.struct((a.s + (x - a.m) * (x - a.m)).alias("s"), a.m.alias("m")), lambda a: a.s) / (w - 1))
     return cols
 
 
@@ -57,46 +60,49 @@ def _full(values: Column) -> Column:
     return F.forall(values, lambda x: x.isNotNull())
 
 
-def forecast_recursive(df: DataFrame, s: Series, trained: Trained, hours: int = FORECAST_HOURS, *,
-                       lookback: int = LOOKBACK, aligned: bool = False) -> DataFrame:
-    """``(keys, measure, step, ts, forecast, reason)`` for the next ``hours`` of every series.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    The context is the last ``2 * lookback`` rows. Each step predicts from the last row
-    with a full history (``lookback`` values before its own, and the other measures) and
-    labels the result one hour later than the step before; ``aligned`` labels it an hour
-    earlier. The prediction is appended with the other measures of the last row. A series
-    without such a row has one row with a ``reason`` and no forecast; the others go on.
-    """
-    if hours < 1:
-        raise ValueError("hours must be at least 1")
-    m, size = trained.measure, 2 * lookback
-    others = [c for c in trained.features if c in df.columns and c not in TIME_FEATURES and c != m]
-    recent = tail_n(df.select(*s.keys, *s.order, m, *others), s, size)
+
+def contexts(df: DataFrame, s: Series, columns: list[str], size: int) -> DataFrame:
+    """The last ``size`` rows of every series as the array ``_rows``, stored."""
+    recent = tail_n(df.select(*s.keys, *s.order, *columns), s, size)
     # At most ``size`` rows per series are gathered here.
-    rows = F.array_sort(F.collect_list(F.struct(*s.order, F.col(m).cast("double").alias("v"), F.struct(
-        F.lit(1).alias("_"), *[F.col(o).cast("double").alias(o) for o in others]).alias("o"))))
-    gathered = recent.groupBy(*s.keys).agg(rows.alias("_rows"))
+    rows = F.array_sort(F.collect_list(F.struct(*s.order, F.struct(
+        F.lit(1).alias("_"), *[F.col(c).cast("double").alias(c) for c in columns]).alias("o"))))
+    return materialize(recent.groupBy(*s.keys).agg(rows.alias("_rows")))
 
-    def known(o: Column) -> Column:
-        out = F.lit(True)
-        for name in others:
-            out = out & o[name].isNotNull()
-        return out
 
-    ctx, n = F.transform("_rows", lambda r: r["v"]), F.size("_rows")
+def _others(df: DataFrame, trained: Trained) -> list[str]:
+    return [c for c in trained.features if c in df.columns and c not in TIME_FEATURES and c != trained.measure]
+
+
+def _known(o: Column, others: list[str]) -> Column:
+    out = F.lit(True)
+    for name in others:
+        out = out & o[name].isNotNull()
+    return out
+
+
+def _starts(gathered: DataFrame, s: Series, m: str, others: list[str], lookback: int) -> DataFrame:
+    """Per series: time of the last row, values of ``m``, place and time of the last full row, other measures there."""
+    ctx, n = F.transform("_rows", lambda r: r["o"][m]), F.size("_rows")
     places = F.when(n > lookback, F.filter(F.sequence(F.lit(lookback + 1), n), lambda i: _full(
-        F.slice(ctx, i - lookback, lookback + 1)) & known(F.element_at("_rows", i)["o"])))
+        F.slice(ctx, i - lookback, lookback + 1)) & _known(F.element_at("_rows", i)["o"], others)))
     last = F.element_at("_rows", -1)
     state = gathered.withColumn("_place", F.array_max(places))
     at = F.when(F.col("_place").isNotNull(), F.element_at("_rows", F.coalesce("_place", F.lit(1))))
-    state = materialize(state.select(
+    return state.select(
         *s.keys, last[s.ts].alias("_t0"), ctx.alias("_ctx"), F.array().cast("array<double>").alias("_preds"),
-        last["o"].alias("_last"), "_place", at[s.ts].alias("_now"), at["o"].alias("_others")))
-    without = state.filter(F.col("_place").isNull())
-    state = state.filter(F.col("_place").isNotNull())
+        last["o"].alias("_last"), "_place", at[s.ts].alias("_now"), at["o"].alias("_others"))
 
+
+def _stepwise(state: DataFrame, s: Series, trained: Trained, others: list[str], hours: int, lookback: int) -> DataFrame:
+    """``_t0`` and ``_preds`` by applying the model to the states, hour by hour."""
+    state = materialize(state)
     own = ["_t0", "_ctx", "_preds", "_last", "_place", "_now", "_others"]
-    made = {**_history_columns(m, lookback), **dict(zip(TIME_FEATURES, time_columns("_now"))),
+    made = {**_history_columns(trained.measure, lookback, F.col("_ctx"), F.col("_place")), **dict(zip(TIME_FEATURES, time_columns("_now"))),
             **{o: F.col("_others")[o] for o in others}}
     features = [made.get(name, F.lit(0.0)).cast("double").alias(name) for name in trained.features]
     for i in range(hours):
@@ -105,14 +111,53 @@ def forecast_recursive(df: DataFrame, s: Series, trained: Trained, hours: int =
         moved = scored.select(*s.keys, "_t0", grown.alias("_ctx"), F.array_append("_preds", F.col("predicted").cast("double")).alias("_preds"),
                               "_last", "_place", "_now", "_others")
         # The appended row is the next one to predict from if its own history is full.
-        usable = _full(_last(F.col("_ctx"), lookback + 1)) & known(F.col("_last"))
+        usable = _full(_last(F.col("_ctx"), lookback + 1)) & _known(F.col("_last"), others)
         state = moved.select(
             *s.keys, "_t0", "_ctx", "_preds", "_last", F.when(usable, F.size("_ctx")).otherwise(F.col("_place")).alias("_place"),
             F.when(usable, from_seconds(seconds("_t0") + F.lit((i + 1) * HOUR))).otherwise(F.col("_now")).alias("_now"),
             F.when(usable, F.col("_last")).otherwise(F.col("_others")).alias("_others"))
         if (i + 1) % STEPS_PER_STAGE == 0 and i + 1 < hours:
             state = materialize(state)
-
+    return state
+
+
+def _in_one(state: DataFrame, s: Series, trained: Trained, forest: Forest, others: list[str], hours: int, lookback: int) -> DataFrame:
+    """``_t0`` and ``_preds`` as one expression per series; the trees are one broadcast row, as large as the model."""
+    begin = F.struct(F.col("_ctx").alias("ctx"), F.array().cast("array<double>").alias("preds"), F.col("_place").alias("place"),
+                     seconds("_now").alias("now"), F.lit(False).alias("moved"))
+
+    def step(st: Column, i: Column) -> Column:
+        made = {**_history_columns(trained.measure, lookback, st.ctx, st.place),
+                **dict(zip(TIME_FEATURES, time_columns(from_seconds(st.now)))),
+                **{o: F.when(st.moved, F.col("_last")[o]).otherwise(F.col("_others")[o]) for o in others}}
+        x = F.array(*[made.get(name, F.lit(0.0)).cast("double") for name in forest.inputs])
+
+        def after(p: Column) -> Column:
+            def grown(ctx: Column) -> Column:
+                # The appended row is the next one to predict from if its own history is full.
+                usable = _full(_last(ctx, lookback + 1)) & _known(F.col("_last"), others)
+                return F.struct(
+                    ctx.alias("ctx"), F.concat(st.preds, F.array(p)).alias("preds"), F.when(usable, F.size(ctx)).otherwise(st.place).alias("place"),
+                    F.when(usable, seconds("_t0") + i * HOUR).otherwise(st.now).alias("now"), (st.moved | usable).alias("moved"))
+
+            return _let(F.concat(st.ctx, F.array(p)), grown)
+
+        return _let(_let(x, lambda v: forest.score(v, F.col("_forest"))), after)
+
+    preds = F.aggregate(F.sequence(F.lit(1), F.lit(hours)), begin, step, lambda st: st.preds)
+    return state.crossJoin(F.broadcast(forest.row(state.sparkSession))).select(*s.keys, "_t0", preds.alias("_preds"))
+
+
+def _ahead(gathered: DataFrame, s: Series, trained: Trained, others: list[str], hours: int, *, lookback: int = LOOKBACK,
+           aligned: bool = False, walk: bool = True) -> DataFrame:
+    m = trained.measure
+    starts = _starts(gathered, s, m, others, lookback)
+    state, without = starts.filter(F.col("_place").isNotNull()), starts.filter(F.col("_place").isNull())
+    forest = forest_of(trained.model) if walk else None
+    if forest:
+        state = _in_one(state, s, trained, forest, others, hours, lookback)
+    else:
+        state = _stepwise(state, s, trained, others, hours, lookback)
     shift = 0 if aligned else 1
     steps = state.select(*s.keys, "_t0", F.posexplode("_preds").alias("_i", "forecast"))
     made_rows = steps.select(
@@ -122,10 +167,33 @@ def forecast_recursive(df: DataFrame, s: Series, trained: Trained, hours: int =
     return made_rows.unionByName(without.select(
         *s.keys, F.lit(m).alias("measure"), F.lit(None).cast("int").alias("step"), F.lit(None).cast("timestamp_ntz").alias(s.ts),
         F.lit(None).cast("double").alias("forecast"),
-        F.concat(F.lit(f"{NO_HISTORY}: none of the last {size} rows has {lookback + 1} values and all other measures; rows there: "),
+        F.concat(F.lit(f"{NO_HISTORY}: none of the last {2 * lookback} rows has {lookback + 1} values and all other measures; rows there: "),
                  F.size("_ctx").cast("string")).alias("reason")))
 
 
+def _hours(hours: int) -> int:
+    if hours < 1:
+        raise ValueError("hours must be at least 1")
+    return hours
+
+
+def forecast_recursive(df: DataFrame, s: Series, trained: Trained, hours: int = FORECAST_HOURS, *,
+                       lookback: int = LOOKBACK, aligned: bool = False, walk: bool = True) -> DataFrame:
+    """``(keys, measure, step, ts, forecast, reason)`` for the next ``hours`` of every series.
+
+    The context is the last ``2 * lookback`` rows. Each step predicts from the last row
+    with a full history (``lookback`` values before its own, and the other measures) and
+    labels the result one hour later than the step before; ``aligned`` labels it an hour
+    earlier. The prediction is appended with the other measures of the last row. A series
+    without such a row has one row with a ``reason`` and no forecast; the others go on.
+    ``walk=False`` applies tree models step by step too.
+    """
+    _hours(hours)
+    others = _others(df, trained)
+    gathered = contexts(df, s, [trained.measure, *others], 2 * lookback)
+    return _ahead(gathered, s, trained, others, hours, lookback=lookback, aligned=aligned, walk=walk)
+
+
 def _own(spark: SparkSession, error: Exception) -> bool:
     """Whether a measure's values or model raised ``error``; lost executors, memory and storage aren't its own."""
     # The session raises known errors as its own and others as they come from the JVM.
@@ -144,20 +212,34 @@ def forecast_all(df: DataFrame, s: Series, models: Mapping[str, Trained], hours:
     """Forecasts of every measure that has a model. A measure whose values or model raise an
     error has one row with it as ``reason``, and the others go on; with ``strict`` the error
     is raised. Other errors, such as lost tasks, always are."""
-    spark = df.sparkSession
-    out = None
-    for m, trained in models.items():
+    spark, lookback = df.sparkSession, options.get("lookback", LOOKBACK)
+    _hours(hours)
+    if not models:
+        raise ValueError("there is no model")
+    wanted = dict.fromkeys(c for t in models.values() for c in (t.measure, *_others(df, t)) if c in df.columns)
+    gathered = contexts(df, s, list(wanted), 2 * lookback)
+
+    def ahead(m: str, *, store: bool) -> DataFrame:
         try:
+            made = _ahead(gathered, s, models[m], _others(df, models[m]), hours, **options)
             # Stored here, because errors come up when rows are made.
-            made = materialize(forecast_recursive(df, s, trained, hours, **options))
+            return materialize(made) if store else made
         except (PySparkException, Py4JJavaError) as error:  # reported per measure
             if strict or not _own(spark, error):
                 raise
             fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in s.keys)
-            made = spark.createDataFrame(
+            return spark.createDataFrame(
                 [(*[None] * len(s.keys), m, None, None, None, f"{FAILED}: {error}")],
                 f"{fields + ', ' if fields else ''}measure string, step int, `{s.ts}` timestamp_ntz, forecast double, reason string")
-        out = made if out is None else out.unionByName(made)
-    if out is None:
-        raise ValueError("there is no model")
-    return out
+
+    # Measures with trees are made together; if one of them fails, each is made alone.
+    together = [m for m, t in models.items() if forest_of(t.model)]
+    parts = [ahead(m, store=True) for m in models if m not in together]
+    if together:
+        try:
+            parts.append(materialize(reduce(DataFrame.unionByName, [ahead(m, store=False) for m in together])))
+        except (PySparkException, Py4JJavaError) as error:
+            if strict or not _own(spark, error):
+                raise
+            parts += [ahead(m, store=True) for m in together]
+    return reduce(DataFrame.unionByName, parts)

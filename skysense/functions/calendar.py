@@ -8,22 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hour(ts: str) -> Column:
+def hour(ts: str | Column) -> Column:
     return F.hour(ts)
 
 
-def day_of_week(ts: str) -> Column:
+def day_of_week(ts: str | Column) -> Column:
     """Monday = 0."""
     return F.weekday(ts)
 
 
-def is_weekend(ts: str) -> Column:
+def is_weekend(ts: str | Column) -> Column:
     return (F.weekday(ts) >= 5).cast("int")
 
 
-def season(ts: str) -> Column:
+def season(ts: str | Column) -> Column:
     """1 = December-February … 4 = September-November."""
-    return F.expr(f"(month(`{ts}`) % 12 + 3) div 3").cast("int")
+    return F.floor((F.month(ts) % 12 + 3) / 3).cast("int")
 
 
 def cycle(value: Column, period: int) -> tuple[Column, Column]:
@@ -32,9 +32,9 @@ def cycle(value: Column, period: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def weekday_name(ts: str) -> Column:
+def weekday_name(ts: str | Column) -> Column:
     return F.date_format(ts, "EEEE")
 
 
-def month_name(ts: str) -> Column:
+def month_name(ts: str | Column) -> Column:
     return F.date_format(ts, "MMMM")

@@ -49,7 +49,7 @@ def rolling_features(df: DataFrame, s: Series, measures: Sequence[str],
         before=max(windows), step=step)
 
 
-def time_columns(ts: str) -> list[Column]:
+def time_columns(ts: str | Column) -> list[Column]:
     hour, dow, month = calendar.hour(ts), calendar.day_of_week(ts), F.month(ts)
     out = [hour.alias("hour")]
     out += [c.alias(f"hour_{n}") for n, c in zip(("sin", "cos"), calendar.cycle(hour, 24))]

@@ -111,6 +111,39 @@ def test_forecast_equals_a_loop(spark, waves, trained):
     assert early == at(299)
 
 
+def test_walking_trees_equals_the_model_step_by_step(spark, waves, trained, split):
+    """All kinds of tree models, with a gap that makes the row to predict from stay behind."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+
+    from skysense.forecasting.trees import forest_of
+
+    rows = supervised_features(waves, HOURS, "pm2_5", lookback=6).withColumn("label", F.col("pm2_5"))
+    assembler = VectorAssembler(inputCols=trained.features, outputCol="features")
+    models = [trained.model, *[Pipeline(stages=[assembler, r]).fit(rows) for r in (
+        RandomForestRegressor(numTrees=4, maxDepth=4, predictionCol="predicted", seed=1),
+        DecisionTreeRegressor(maxDepth=0, predictionCol="predicted"), DecisionTreeRegressor(maxDepth=6, predictionCol="predicted"))]]
+    for model in models:
+        t = Trained("pm2_5", model, trained.features, None)
+        assert len(forest_of(model).roots) == len(getattr(model.stages[-1], "treeWeights", [1]))
+        for df in (waves, hole(waves, 297, "pm2_5"), hole(waves, 299, "pm10")):
+            got, want = ([(r.station, r.step, r.datetime, r.forecast) for r in forecast_recursive(
+                df, HOURS, t, 9, lookback=6, walk=walk).orderBy("station", "step").collect()] for walk in (True, False))
+            assert len(got) == 18 and all(g[:3] == w[:3] and close(g[3], w[3], 1e-9) for g, w in zip(got, want))
+    assert forest_of(PipelineModel([SQLTransformer(statement="SELECT *, 1 AS predicted FROM __THIS__")])) is None
+
+
+def test_a_day_ahead_stores_two_tables(waves, trained, monkeypatch):
+    from skysense.forecasting import recursive
+
+    stored = []
+    monkeypatch.setattr(recursive, "materialize", lambda df: stored.append(1) or materialize(df))
+    other = Trained("pm10", trained.model, [n.replace("pm2_5", "pm10") if n != "pm10" else "pm2_5" for n in trained.features], None)
+    rows = forecast_all(waves, HOURS, {"pm2_5": trained, "pm10": other}, 24, lookback=6)
+    assert len(stored) == 2 and rows.count() == 2 * 2 * 24
+
+
 def test_short_series_have_a_reason(waves, trained):
     few = waves.filter(F.col("datetime") < F.lit(at(6)).cast("timestamp_ntz"))
     rows = forecast_recursive(few, HOURS, trained, 1, lookback=6).collect()
