@@ -4,7 +4,8 @@ The state of a series is one row: its last values as an array. A step computes t
 features from the array with column expressions, applies the model and appends the
 prediction. Steps are projections, so rows never move. With a tree model all steps are one
 expression, because the trees are data in it (see ``trees``). Any other model is applied
-step by step, and the plan is cut by a stored table every few steps.
+step by step, and the plan is cut by a stored table every few steps. Formulas are
+expressions too.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skysense.constants import FORECAST_HOURS, LOOKBACK, ROLLING_WINDOWS
 from skysense.forecasting.models import Trained
-from skysense.forecasting.trees import Forest, forest_of
+from skysense.forecasting.trees import Forest, Formula, expression_of
 from skysense.functions.timeaxis import from_seconds, seconds
 from skysense.operators.features import TIME_FEATURES, time_columns
 from skysense.operators.grid import HOUR
@@ -121,7 +122,7 @@ def _stepwise(state: DataFrame, s: Series, trained: Trained, others: list[str],
     return state
 
 
-def _in_one(state: DataFrame, s: Series, trained: Trained, forest: Forest, others: list[str], hours: int, lookback: int) -> DataFrame:
+def _in_one(state: DataFrame, s: Series, trained: Trained, forest: Forest | Formula, others: list[str], hours: int, lookback: int) -> DataFrame:
     """``_t0`` and ``_preds`` as one expression per series; the trees are one broadcast row, as large as the model."""
     begin = F.struct(F.col("_ctx").alias("ctx"), F.array().cast("array<double>").alias("preds"), F.col("_place").alias("place"),
                      seconds("_now").alias("now"), F.lit(False).alias("moved"))
@@ -153,7 +154,7 @@ def _ahead(gathered: DataFrame, s: Series, trained: Trained, others: list[str],
     m = trained.measure
     starts = _starts(gathered, s, m, others, lookback)
     state, without = starts.filter(F.col("_place").isNotNull()), starts.filter(F.col("_place").isNull())
-    forest = forest_of(trained.model) if walk else None
+    forest = expression_of(trained.model) if walk else None
     if forest:
         state = _in_one(state, s, trained, forest, others, hours, lookback)
     else:
@@ -186,7 +187,7 @@ def forecast_recursive(df: DataFrame, s: Series, trained: Trained, hours: int =
     labels the result one hour later than the step before; ``aligned`` labels it an hour
     earlier. The prediction is appended with the other measures of the last row. A series
     without such a row has one row with a ``reason`` and no forecast; the others go on.
-    ``walk=False`` applies tree models step by step too.
+    ``walk=False`` applies such models step by step too.
     """
     _hours(hours)
     others = _others(df, trained)
@@ -232,8 +233,8 @@ def forecast_all(df: DataFrame, s: Series, models: Mapping[str, Trained], hours:
                 [(*[None] * len(s.keys), m, None, None, None, f"{FAILED}: {error}")],
                 f"{fields + ', ' if fields else ''}measure string, step int, `{s.ts}` timestamp_ntz, forecast double, reason string")
 
-    # Measures with trees are made together; if one of them fails, each is made alone.
-    together = [m for m, t in models.items() if forest_of(t.model)]
+    # Measures whose models are expressions are made together; if one of them fails, each is made alone.
+    together = [m for m, t in models.items() if expression_of(t.model)]
     parts = [ahead(m, store=True) for m in models if m not in together]
     if together:
         try:

@@ -1,4 +1,4 @@
-"""Fitted trees as data: arrays of nodes that column expressions walk.
+"""Models as column expressions: fitted trees as arrays of nodes, and formulas.
 
 A tree model of Spark ML scores a table, so a forecast that feeds its own predictions back
 needs a table per step. As arrays the trees fit into the same projection as the features,
@@ -8,6 +8,7 @@ and all steps of a series are one expression over its row.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -63,6 +64,29 @@ class Forest:
         return F.aggregate(trees, F.lit(0.0), lambda sum_, t: sum_ + t.weight * F.get(forest.value, leaf(t.root)))
 
 
+@dataclass(frozen=True)
+class Formula:
+    """A model that is a formula of its features; ``text`` gets a function from a name to its column."""
+
+    inputs: list[str]
+    text: Callable[[Callable[[str], Column]], Column]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.select("*", self.text(F.col).alias("predicted"))
+
+    def score(self, x: Column, _: Column) -> Column:
+        return self.text(lambda name: F.get(x, self.inputs.index(name))).cast("double")
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        """A formula needs no data."""
+        return spark.range(1).select(F.lit(None).cast("int").alias("_forest"))
+
+
+def expression_of(model: PipelineModel | Formula) -> Forest | Formula | None:
+    """The model in a form that fits into an expression; None if there is none."""
+    return model if isinstance(model, Formula) else forest_of(model)
+
+
 def forest_of(model: PipelineModel) -> Forest | None:
     """The trees of a pipeline of a ``VectorAssembler`` and a tree model with continuous splits; None for others."""
     stages = getattr(model, "stages", None) or []

@@ -2,22 +2,23 @@
 
 What a fit gives isn't SQL. The queries over fitted models therefore return what is
 determined (keys, times, actual values, names, numbers of samples) and whether the fitted
-numbers are sound. The ``…_fixed`` queries run the same code with a fixed formula of the
-features as the model, so that every value has a reference.
+numbers are sound; ``feature_importance_values`` and ``validation_metrics`` return the
+numbers themselves. The ``…_fixed`` queries run the same code with a fixed formula of the
+features as the model, so that every value has a reference. All models have the default
+parameters; they are trained once per session and folder, by the first query that needs them.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysense.forecasting.models import (
-    BoostingParams, ModelStore, Trained, feature_importance, predict_all as score_all, predict_measure as score,
+    ModelStore, Trained, feature_importance, predict_all as score_all, predict_measure as score,
     train_all as fit_all, train_measure as fit,
 )
 from skysense.forecasting.recursive import NO_HISTORY, forecast_all as forecasts, forecast_recursive as forecast
+from skysense.forecasting.trees import Formula
 from skysense.operators import air, impute, relational as rel, scoring
 from skysense.operators.features import feature_names
 from skysense.plans import cleaning
@@ -28,9 +29,9 @@ from skysense.sources import readings, sinks
 
 TARGET = "pm2_5"
 #: Hours that the forecasts by formula go ahead.
-FIXED_HOURS = 6
-#: Small models, because several queries train one each.
-SMALL = BoostingParams(trees=5, depth=4)
+FIXED_HOURS = 24
+#: What this session has trained: by application, folder and what it is.
+_KEPT: dict[tuple[str, str, str], object] = {}
 
 
 def prepared(spark, sf):
@@ -41,16 +42,34 @@ def filled(spark, sf):
     return materialize(impute.interpolate(hourly(spark, sf), HOURS, MS))
 
 
+def kept(spark, sf, what: str, make):
+    """``make()`` once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def trained(spark, sf) -> tuple[dict[str, Trained], DataFrame]:
+    """A model per measure and the status table; the table has no ozone, which fails alone."""
+    return kept(spark, sf, "all", lambda: fit_all(prepared(spark, sf), HOURS, [*MS, "o3"], parallel=len(MS)))
+
+
 def one_model(spark, sf) -> Trained:
-    return fit(prepared(spark, sf), HOURS, TARGET, SMALL)
+    if (spark.sparkContext.applicationId, sf, "all") in _KEPT:
+        return trained(spark, sf)[0][TARGET]
+    return kept(spark, sf, TARGET, lambda: fit(prepared(spark, sf), HOURS, TARGET))
 
 
 def all_models(spark, sf) -> ModelStore:
-    """A new store with a small model per measure."""
-    store = ModelStore(spark, new_path(spark, "models"))
-    for t in fit_all(prepared(spark, sf), HOURS, MS, SMALL, parallel=len(MS))[0].values():
-        store.save(t)
-    return store
+    """A store with a model per measure."""
+    def make() -> ModelStore:
+        store = ModelStore(spark, new_path(spark, "models"))
+        for t in trained(spark, sf)[0].values():
+            store.save(t)
+        return store
+
+    return kept(spark, sf, "store", make)
 
 
 def loaded(store: ModelStore) -> dict[str, Trained]:
@@ -88,14 +107,16 @@ MEASURES_SQL = f"(SELECT unnest([{', '.join(repr(m) for m in MS)}]) AS measure)"
 @query("train_measure", f"WITH {FULL_SQL} SELECT '{TARGET}' AS measure, samples, true AS sound FROM tested")
 def train_measure(spark, sf):
     """Default parameters for one measure; whether the test metrics are sound."""
-    metrics = fit(prepared(spark, sf), HOURS, TARGET).metrics
+    model = fit(prepared(spark, sf), HOURS, TARGET)
+    kept(spark, sf, TARGET, lambda: model)
+    metrics = model.metrics
     return metrics.select("measure", "samples", sound(metrics).alias("sound"))
 
 
 @query("train_all", f"WITH {FULL_SQL} SELECT measure, 'ok' AS status, samples, true AS sound FROM {MEASURES_SQL}, tested UNION ALL SELECT 'o3', 'failed', NULL, NULL")
 def train_all(spark, sf):
-    """The status table of a training; the table has no ozone, which fails alone."""
-    _, status = fit_all(prepared(spark, sf), HOURS, [*MS, "o3"], SMALL, parallel=len(MS))
+    """The status table of a training."""
+    _, status = trained(spark, sf)
     return status.select("measure", F.split_part("status", F.lit(":"), F.lit(1)).alias("status"), "samples", sound(status).alias("sound")) \
         .withColumn("sound", F.when(F.col("status") == "ok", F.col("sound")))
 
@@ -146,6 +167,22 @@ def importance_topk(spark, sf):
     return rows.select("measure", "feature", F.col("importance").between(0, 1).alias("sound"))
 
 
+@query("feature_importance_values", None)
+def importance_values(spark, sf):
+    """The importances themselves: measure, rank, feature, importance."""
+    rows = [(x.measure, rank, x.feature, x.importance) for t in loaded(all_models(spark, sf)).values()
+            # One row per feature name, in the order of the table.
+            for rank, x in enumerate(feature_importance(t).collect(), 1)]
+    return spark.createDataFrame(rows, "measure string, rank long, feature string, importance double")
+
+
+@query("validation_metrics", None)
+def validation_metrics(spark, sf):
+    """Errors of every model over the whole history: measure, samples, mae, rmse, mape, r2."""
+    made = score_all(filled(spark, sf), HOURS, loaded(all_models(spark, sf)))
+    return scoring.regression_metrics(made)
+
+
 @query("importance_ranks", f"""SELECT measure, row_number() OVER (PARTITION BY measure ORDER BY feature) AS rank, true AS sound FROM ({NAMES_SQL})""")
 def importance_ranks(spark, sf):
     """The ranks in the order of ``importance_topk``, and whether importances don't rise with them."""
@@ -186,11 +223,24 @@ ready AS (SELECT t.*, w.* EXCLUDE (station, datetime) FROM tail t JOIN whole w O
   WHERE len(ctx) >= 25 AND len(list_filter(ctx, lambda x: x IS NULL)) = 0)"""
 
 
-@query("forecast_recursive", f"""WITH {LAST_SQL} SELECT station, measure, i::BIGINT AS step, t0 + to_hours(i) AS datetime, true AS sound
-FROM ready, range(1, 25) t(i) WHERE measure = '{TARGET}'""")
+# Whether any of a series' last 48 rows has a full history and all measures; else the reason.
+STATUS_SQL = f"""recent AS (
+  SELECT l.station, l.measure, l.datetime, l.value, w.station IS NOT NULL AS known
+  FROM long l LEFT JOIN whole w ON w.station = l.station AND w.datetime = l.datetime
+  QUALIFY row_number() OVER (PARTITION BY l.station, l.measure ORDER BY l.datetime DESC) <= 48),
+starts AS (SELECT station, measure, known AND count(value) OVER (PARTITION BY station, measure ORDER BY datetime ROWS 24 PRECEDING) = 25 AS fit FROM recent),
+status AS (SELECT station, measure, CASE WHEN NOT bool_or(fit) THEN '{NO_HISTORY}' END AS reason FROM starts GROUP BY 1, 2)"""
+
+
+@query("forecast_recursive", f"""WITH {LAST_SQL}, {STATUS_SQL}
+SELECT station, measure, i::BIGINT AS step, t0 + to_hours(i) AS datetime, true AS sound, NULL AS reason
+FROM ready, range(1, 25) t(i) WHERE measure = '{TARGET}'
+UNION ALL SELECT station, measure, NULL, NULL, NULL, reason FROM status WHERE measure = '{TARGET}' AND reason IS NOT NULL""")
 def forecast_recursive(spark, sf):
     made = forecast(filled(spark, sf), HOURS, one_model(spark, sf))
-    return made.filter(F.col("reason").isNull()).select("station", "measure", "step", "datetime", finite("forecast").alias("sound"))
+    reason = F.split_part("reason", F.lit(":"), F.lit(1))
+    return made.select("station", "measure", "step", "datetime", F.when(F.col("reason").isNull(), finite("forecast")).alias("sound"),
+                       reason.alias("reason"))
 
 
 # ---- the same with a fixed formula ----
@@ -199,14 +249,13 @@ def first_other(m: str) -> str:
     return next(o for o in MS if o != m)
 
 
-def fixed_formula(m: str) -> str:
-    return (f"0.5 * {m}_lag_1 + 0.3 * {m}_rolling_mean_6 + 0.1 * {m}_lag_24 + 0.01 * {m}_rolling_std_12 "
-            f"+ 0.05 * {first_other(m)} + 0.01 * hour")
+def fixed_formula(m: str):
+    return lambda c: (0.5 * c(f"{m}_lag_1") + 0.3 * c(f"{m}_rolling_mean_6") + 0.1 * c(f"{m}_lag_24")
+                      + 0.01 * c(f"{m}_rolling_std_12") + 0.05 * c(first_other(m)) + 0.01 * c("hour"))
 
 
 def fixed_models() -> dict[str, Trained]:
-    return {m: Trained(m, PipelineModel([SQLTransformer(statement=f"SELECT *, {fixed_formula(m)} AS predicted FROM __THIS__")]),
-                       NAMES[m], None) for m in MS}
+    return {m: Trained(m, Formula(NAMES[m], fixed_formula(m)), NAMES[m], None) for m in MS}
 
 
 BY = "PARTITION BY station ORDER BY datetime"
@@ -260,13 +309,8 @@ def forecast_recursive_fixed(spark, sf):
     return made.filter(F.col("reason").isNull()).drop("reason")
 
 
-@query("forecast_status_fixed", f"""WITH {FULL_SQL}, {long_sql('filled')}, recent AS (
-  SELECT l.station, l.measure, l.datetime, l.value, w.station IS NOT NULL AS known
-  FROM long l LEFT JOIN whole w ON w.station = l.station AND w.datetime = l.datetime
-  QUALIFY row_number() OVER (PARTITION BY l.station, l.measure ORDER BY l.datetime DESC) <= 48),
-starts AS (SELECT station, measure, known AND count(value) OVER (PARTITION BY station, measure ORDER BY datetime ROWS 24 PRECEDING) = 25 AS fit FROM recent)
-SELECT station, measure, CASE WHEN bool_or(fit) THEN {FIXED_HOURS} ELSE 0 END::BIGINT AS hours,
-  CASE WHEN NOT bool_or(fit) THEN '{NO_HISTORY}' END AS reason FROM starts GROUP BY 1, 2""")
+@query("forecast_status_fixed", f"""WITH {FULL_SQL}, {long_sql('filled')}, {STATUS_SQL}
+SELECT station, measure, CASE WHEN reason IS NULL THEN {FIXED_HOURS} ELSE 0 END::BIGINT AS hours, reason FROM status""")
 def forecast_status_fixed(spark, sf):
     """Every series and measure: how many hours are forecast, or the reason why there are none."""
     made = forecasts(filled(spark, sf), HOURS, fixed_models(), FIXED_HOURS, strict=True)

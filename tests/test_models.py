@@ -264,7 +264,7 @@ def test_status_has_series_that_cant_be_forecast(spark, sf, monkeypatch, tmp_pat
     problem, n = compare(spark, connect(folder), "forecast_status_fixed", QUERIES["forecast_status_fixed"], ORACLES["forecast_status_fixed"], folder)
     assert not problem and n == 20
     rows = QUERIES["forecast_status_fixed"](spark, folder).collect()
-    assert {r.station for r in rows if r.reason == "no full history" and r.hours == 0} == {0, 1} and {r.station for r in rows if r.hours == 6} == {2, 3}
+    assert {r.station for r in rows if r.reason == "no full history" and r.hours == 0} == {0, 1} and {r.station for r in rows if r.hours == 24} == {2, 3}
 
 
 def test_ranks_show_a_wrong_order(spark, trained, monkeypatch):
