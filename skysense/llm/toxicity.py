@@ -102,9 +102,10 @@ def minimise(value, x: np.ndarray, iterations: int, memory: int = 8) -> np.ndarr
             q = q * ((s @ y) / (y @ y))
         for (s, y), a in zip(steps, reversed(kept)):
             q = q + s * (a - (y @ q) / (s @ y))
-        length, slope = (1.0 if steps else min(1.0, 1 / np.linalg.norm(g))), g @ q
+        slope = g @ q
         if slope >= -1e-12:
             break
+        length = 1.0 if steps else min(1.0, 1 / np.linalg.norm(g))
         for _ in range(20):
             new = x + length * q
             f_new, g_new = value(new)
@@ -161,6 +162,27 @@ def fit_link(name: str, bags: Bags, earlier: np.ndarray, y: np.ndarray) -> Link:
     return Link(name, x[:v], x[v : v + e], float(x[-1]))
 
 
+def out_of_fold(name: str, bags: Bags, earlier: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Probability of every row by a link that was fitted without its fold; rows without label are NaN in ``y``."""
+    out, labelled = np.zeros(len(y)), ~np.isnan(y)
+    for k in np.unique(fold):
+        seen, held = labelled & (fold != k), fold == k
+        out[held] = fit_link(name, bags.take(seen), earlier[seen], y[seen]).predict(bags.take(held), earlier[held])
+    return out
+
+
+def fit_chain(names: list[str], bags: Bags, labels: list[np.ndarray], fold: np.ndarray) -> list[Link]:
+    """The links in their order; each is trained with out-of-fold probabilities of the earlier ones."""
+    links, earlier = [], np.zeros((len(fold), 0))
+    for name, y in zip(names, labels):
+        labelled = ~np.isnan(y)
+        out = out_of_fold(name, bags, earlier, y, fold)
+        link = fit_link(name, bags.take(labelled), earlier[labelled], y[labelled])
+        links.append(Link(name, link.words, link.earlier, link.constant, best_threshold(out[labelled], y[labelled])))
+        earlier = np.column_stack([earlier, out])
+    return links
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The cut with the best F1, halfway to the next lower probability; without positive rows none is reached."""
     if not y.sum():
@@ -219,12 +241,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, ke
 
     At most ``train_rows`` labelled rows are used: those with the smallest hashes of their
     identifiers, so the choice doesn't depend on order or size. Rows without identifier or
-    without any label are left out; NULL texts are empty; of repeated identifiers one row
-    of each table counts.
+    without any label are left out; NULL texts are empty. Of documents that repeat an
+    identifier one counts; of labels that disagree the larger, so 1 wins over 0.
     """
     names = list(categories)
     chosen = (labels.select(F.col(key).cast("long").alias("__key"), *[c.cast("double").alias(f"__y_{n}") for n, c in categories.items()])
-              .filter(F.col("__key").isNotNull()).dropDuplicates(["__key"])
+              .filter(F.col("__key").isNotNull()).groupBy("__key").agg(*[F.max(f"__y_{n}").alias(f"__y_{n}") for n in names])
               .filter(F.coalesce(*[F.col(f"__y_{n}") for n in names]).isNotNull())
               .orderBy(F.xxhash64("__key"), "__key").limit(train_rows))
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
@@ -265,16 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, ke
     lists = [np.frombuffer(r.bag, "<i4") for r in made]
     every = Bags(np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64), np.array([len(x) for x in lists], np.int64), weight)
     fold = np.random.default_rng(7).permutation(len(made)) % folds
-    links, earlier = [], np.zeros((len(made), 0))
-    for n in names:
-        y = np.array([np.nan if r[f"__y_{n}"] is None else r[f"__y_{n}"] for r in made], float)
-        labelled, out = ~np.isnan(y), np.zeros(len(made))
-        for k in range(folds):
-            seen, held = labelled & (fold != k), fold == k
-            out[held] = fit_link(n, every.take(seen), earlier[seen], y[seen]).predict(every.take(held), earlier[held])
-        link = fit_link(n, every.take(labelled), earlier[labelled], y[labelled])
-        links.append(Link(n, link.words, link.earlier, link.constant, best_threshold(out[labelled], y[labelled])))
-        earlier = np.column_stack([earlier, out])
+    labels = [np.array([np.nan if r[f"__y_{n}"] is None else r[f"__y_{n}"] for r in made], float) for n in names]
+    links = fit_chain(names, every, labels, fold)
     return Chain(vocabulary, weight, links)
 
 

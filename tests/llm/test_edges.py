@@ -359,6 +359,47 @@ def test_out_of_fold_chain():
     assert second.earlier[0] > 1
 
 
+def test_earlier_probabilities_come_from_models_without_the_row():
+    """What the second link is trained on for a row stays the same when that row's own first label is turned round."""
+    rng = np.random.default_rng(1)
+    n = 300
+    words = [np.unique(rng.integers(0, 40, 6)).astype(np.int64) for _ in range(n)]
+    bags = toxicity.Bags(np.concatenate(words), np.array([len(w) for w in words]), np.ones(40))
+    y, fold = (rng.random(n) < 0.4).astype(float), np.arange(n) % 3
+    p = toxicity.out_of_fold("first", bags, np.zeros((n, 0)), y, fold)
+    turned = y.copy()
+    turned[fold == 0] = 1 - y[fold == 0]
+    q = toxicity.out_of_fold("first", bags, np.zeros((n, 0)), turned, fold)
+    assert np.array_equal(p[fold == 0], q[fold == 0]) and not np.array_equal(p[fold == 1], q[fold == 1])
+    # fit_chain hands exactly these on.
+    seen = []
+    original = toxicity.fit_link
+
+    def spy(name, bags, earlier, y):
+        seen.append((name, earlier.copy(), len(y)))
+        return original(name, bags, earlier, y)
+
+    toxicity.fit_link = spy
+    try:
+        toxicity.fit_chain(["first", "second"], bags, [y, y], fold)
+    finally:
+        toxicity.fit_link = original
+    last = [e for name, e, k in seen if name == "second" and k == n][-1]
+    assert np.array_equal(last[:, 0], p)
+
+
+def test_labels_that_disagree(spark):
+    docs = spark.createDataFrame([(i, f"vile w{i % 7}" if i % 5 == 0 else f"nice w{i % 7}") for i in range(100)], "doc_id long, text string")
+    rows = [(i, 1, int(i % 5 == 0)) for i in range(100)]
+    more = [(i, 0, 0) for i in range(100)]
+
+    def chain(labels):
+        c = toxicity.corpus_chain(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(3))
+        return [(k.constant, k.words.tolist()) for k in c.links]
+
+    assert chain(rows + more) == chain(more[::-1] + rows)
+
+
 def test_copies_made_above_the_scan_are_rows_of_their_own(spark):
     """Copies of one row of a file have its place; each must still be told from the others."""
     folder = new_folder(spark, "exploded")
