@@ -1,19 +1,17 @@
-"""Exact quantiles without holding a large group's values in one task.
-
-The built-in ``percentile`` keeps a map of all distinct values of a group. That is
-the fastest way for small groups and is used when every group is small, which one
-counting pass finds out. Otherwise one hot group would decide the memory of a task,
-and two passes replace it. The first takes a mergeable sketch
-(``percentile_approx``), whose rank error is bounded, and brackets each wanted rank
-with two sketch values. The second counts the rows below each bracket and keeps only
-the values inside it; their running counts give the exact order statistics. Of a
-large group only the few values in the brackets are shuffled.
+"""Exact quantiles by radix selection, without holding a group's values in one task.
+
+The first pass counts rows by the leading bits of their values, which order as the values
+do: sign, exponent and 16 bits of the mantissa. Running counts per group tell which of
+these buckets hold the wanted ranks. The second pass takes only the values in those
+buckets, folds equal ones before it moves them, and counts on to the exact order
+statistics. Groups of one row and of any number of rows go the same way; of a large group
+only counters and about one in 100,000 values per wanted rank are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import isqrt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,13 +20,25 @@ from skysense.operators.shapes import per_measure, to_long
 from skysense.session import attach
 
 ACCURACY = 10_000
-SMALL_GROUP = 50_000
-MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
+#: Buckets between a power of two and the next one.
+BUCKETS = 1 << 16
+
+
+def leading_bits(value: Column) -> Column:
+    """A number that never falls where ``value`` (a double) rises: its sign, exponent and leading mantissa bits."""
+    size = F.abs(value)
+    finite = size < float("inf")
+    # The logarithm may be off by one beside a power of two; doubling and halving are exact.
+    guess = F.greatest(F.least(F.floor(F.log2(F.when(finite & (size > 0), size))), F.lit(1023)), F.lit(-1022))
+    scaled = size * F.pow(F.lit(2.0), -guess)
+    exponent = guess + F.when(scaled >= 2, 1).when((scaled < 1) & (guess > -1022), -1).otherwise(0)
+    place = (exponent + 1022) * BUCKETS + F.floor(size * F.pow(F.lit(2.0), -exponent) * BUCKETS)
+    bits = F.when(size == 0, 0).when(finite, place).otherwise(F.when(F.isnan(value), 2049).otherwise(2048) * BUCKETS)
+    return F.when(value < 0, -bits).otherwise(bits).cast("long")
 
 
 def quantiles(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
-              keys: tuple[str, ...] = (), *, accuracy: int | None = None, small_group: int = SMALL_GROUP,
-              name: str = "measure", exact: bool = True) -> DataFrame:
+              keys: tuple[str, ...] = (), *, accuracy: int | None = None, name: str = "measure", exact: bool = True) -> DataFrame:
     """``(keys, name, n, q)``: ``q`` holds the interpolated quantile of each prob.
 
     Same definition as linear interpolation between order statistics at rank
@@ -38,60 +48,29 @@ def quantiles(df: DataFrame, measures: Sequence[str], probs: Sequence[float],
     """
     if not exact:
         return _sketched(df, measures, probs, keys, accuracy or ACCURACY, name)
-    counts = df.groupBy(*keys).agg(*[F.count(m).alias(f"_{i}") for i, m in enumerate(measures)])
-    widest = F.greatest(*[F.col(f"_{i}") for i in range(len(measures))]) if len(measures) > 1 else F.col("_0")
-    largest = counts.agg(F.max(widest)).first()[0]
-    if largest is None or largest <= small_group:
-        at = F.array(*[F.lit(float(p)) for p in probs])
-        found = per_measure(df, keys, measures, lambda m: {
-            "n": F.count(m), "q": F.percentile(F.col(m).cast("double"), at)}, name=name)
-        return found.filter(F.col("n") > 0)
-    # Sketch and bracket both have a size near the square root of the largest group.
-    return _bracketed(df, measures, probs, keys, accuracy or max(ACCURACY, isqrt(largest)), name)
-
-
-def _bracketed(df: DataFrame, measures: Sequence[str], probs: Sequence[float], keys: tuple[str, ...],
-               accuracy: int, name: str) -> DataFrame:
     by = (*keys, name)
-    values = to_long(df, measures, keys, name=name).filter(F.col("value").isNotNull())
-    slack = MARGIN / accuracy
-    lows = [p - slack for p in probs]
-    highs = [p + slack for p in probs]
-    sketch = F.percentile_approx(
-        "value", F.array(*[F.lit(min(max(p, 0.0), 1.0)) for p in (*lows, *highs)]), F.lit(accuracy))
-    brackets = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_edges"))
-    located = attach(values, brackets, by)
-
-    # Groups too small for the sketch's error bound to matter keep all their values, once.
-    small = F.col("n") <= 2 * accuracy
-    hits: list[Column] = [F.when(small, F.struct(F.lit(-1).alias("bracket"), F.col("value").alias("value")))]
-    for i in range(len(probs)):
-        above = F.lit(True) if lows[i] <= 0 else F.col("value") >= F.col("_edges")[i]
-        below = F.lit(True) if highs[i] >= 1 else F.col("value") <= F.col("_edges")[len(probs) + i]
-        # A value under the bracket is only counted, as NULL, which sorts first below.
-        kept = F.when(above, F.col("value"))
-        hits.append(F.when(~small & below, F.struct(F.lit(i).alias("bracket"), kept.alias("value"))))
-    counted = (located.select(*by, "n", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-               .groupBy(*by, "n", F.col("h.bracket").alias("bracket"), F.col("h.value").alias("value"))
-               .agg(F.count(F.lit(1)).alias("rows")))
-    upto = F.sum("rows").over(Window.partitionBy(*by, "bracket").orderBy(F.asc_nulls_first("value"))
-                              .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("rows"))
-
-    def at(i: int, rank: Column) -> Column:
-        mine = F.col("bracket").isin(-1, i)
-        holds = mine & (F.col("_from") <= rank) & (rank < F.col("_to"))
-        return F.max(F.when(holds, F.col("value")))
-
+    values = to_long(df, measures, keys, name=name).filter(F.col("value").isNotNull()).withColumn("_bits", leading_bits(F.col("value")))
+    group = Window.partitionBy(*by)
     rank = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
-    picked = ranked.groupBy(*by, "n").agg(
-        *[at(i, F.floor(r)).alias(f"_lo{i}") for i, r in enumerate(rank)],
-        *[at(i, F.ceil(r)).alias(f"_hi{i}") for i, r in enumerate(rank)])
+    ends = [e for r in rank for e in (F.floor(r), F.ceil(r))]
+
+    def holds(r: Column) -> Column:
+        return (F.col("_from") <= r) & (r < F.col("_to"))
+
+    counters = values.groupBy(*by, "_bits").agg(F.count(F.lit(1)).alias("rows"))
+    placed = counters.select(*by, "_bits", F.sum("rows").over(group).alias("n"), "rows", F.sum("rows").over(
+        group.orderBy("_bits").rowsBetween(Window.unboundedPreceding, 0)).alias("_to")).withColumn("_from", F.col("_to") - F.col("rows"))
+    chosen = placed.filter(reduce(lambda a, b: a | b, [holds(r) for r in ends])).select(*by, "_bits", "n", F.col("_from").alias("_below"))
+    # Rows of other buckets have no partner and go.
+    inside = attach(values, chosen, (*by, "_bits")).filter(F.col("n").isNotNull())
+    counted = inside.groupBy(*by, "_bits", "n", "_below", "value").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*by, "_bits").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("_to", F.col("_below") + upto).withColumn("_from", F.col("_to") - F.col("rows"))
+    picked = ranked.groupBy(*by, "n").agg(*[F.max(F.when(holds(r), F.col("value"))).alias(f"_{i}") for i, r in enumerate(ends)])
 
     def interpolate(i: int) -> Column:
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        missed = F.raise_error(F.lit("a quantile bracket missed its rank")).cast("double")
-        return F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * (rank[i] - F.floor(rank[i])))
+        lo, hi = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}")
+        return lo + (hi - lo) * (rank[i] - F.floor(rank[i]))
 
     return picked.select(*by, "n", F.array(*[interpolate(i) for i in range(len(probs))]).alias("q"))
 

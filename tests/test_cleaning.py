@@ -102,24 +102,40 @@ def test_dedupe_keeps_the_first(spark):
     assert kept == {r.datetime: (r.seq, r.m) for r in grid.dedupe_first(df, HOURS, ["seq", "datetime"]).collect()}
 
 
-PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
-
-
-@pytest.mark.parametrize("accuracy,small_group", [(10_000, 50_000), (10_000, 0), (50, 0), (200, 10)])
-def test_quantiles(spark, accuracy, small_group):
-    """The bracketed path must give the same exact values as numpy, with ties and outliers."""
-    rng = np.random.default_rng(3)
-    data = {0: np.round(rng.lognormal(0, 3, 3000), 3), 1: np.array([5.0]), 2: np.repeat([1.0, 2.0], 700),
-            3: np.concatenate([rng.integers(0, 5, 2000).astype(float), [1e12]])}
-    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [(4, None), (0, None)]
-    df = spark.createDataFrame(rows, "station int, m double").repartition(7)
-    out = quantiles.quantiles(df, ["m"], PROBS, ("station",), accuracy=accuracy, small_group=small_group)
-    found = {r.station: (r.n, r.q) for r in out.collect()}
-    assert set(found) == {0, 1, 2, 3}
-    for k, vs in data.items():
+def test_quantiles(spark):
+    """Groups of 1 to 100,000 rows in one call: ties, heavy ties, tiny and huge and negative values, neighbours in the last bit."""
+    rng = np.random.default_rng(5)
+    near = np.nextafter(1.7e9, np.inf)
+    groups = {
+        0: rng.normal(0, 1, 100_000), 1: np.array([3.5]), 2: np.array([2.0, -2.0]), 3: np.repeat([1.0, 2.0, 7.0], [5, 4000, 1]),
+        4: 1.7e9 + rng.integers(0, 50, 3000).astype(float), 5: np.array([1.7e9, near, 1.7e9, near, np.nextafter(near, np.inf)]),
+        6: np.concatenate([[0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1e308, -1e308, 1.7976931348623157e308], 2.0 ** np.arange(-1074, 1024, 7.0)]),
+        7: np.round(rng.lognormal(2, 3, 2000), 1)}
+    frame = pd.DataFrame([(k, v) for k, vs in groups.items() for v in vs], columns=["station", "m"])
+    df = spark.createDataFrame(frame).repartition(3).unionByName(spark.createDataFrame([(1, None), (8, None)], "station long, m double"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    found = {r.station: (r.n, r.q) for r in quantiles.quantiles(df, ["m"], probs, ("station",)).collect()}
+    assert set(found) == set(groups)
+    for k, vs in groups.items():
         assert found[k][0] == len(vs)
-        for a, b in zip(found[k][1], np.quantile(vs, PROBS)):
-            assert close(a, b), (k, a, b)
+        for got, want in zip(found[k][1], np.quantile(vs, probs)):
+            assert close(got, want, 1e-12), k
+    # The same as the built-in where that holds all values of a group.
+    built_in = df.groupBy("station").agg(F.percentile("m", F.array(*[F.lit(p) for p in probs])).alias("q")).filter("station < 6").collect()
+    assert all(close(a, b, 1e-12) for r in built_in for a, b in zip(r.q, found[r.station][1]))
+
+
+def test_leading_bits_order_as_values_do(spark):
+    rng = np.random.default_rng(6)
+    powers = np.concatenate([2.0 ** np.arange(-1074, 1024), 2.0 ** np.arange(-1000, 1000) * (1 - 2.0**-53)])
+    values = np.unique(np.concatenate([powers, rng.random(2000), rng.lognormal(0, 200, 2000), [0.0, np.inf]]))
+    values = np.concatenate([-values[::-1], values])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, v double")
+    bits = [r.b for r in df.select("i", quantiles.leading_bits(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert all(a <= b for a, b in zip(bits, bits[1:]))
+    # Powers of two and their neighbours below fall into different buckets.
+    by_value = dict(zip(values, bits))
+    assert all(by_value[2.0**e] > by_value[2.0**e * (1 - 2.0**-53)] for e in range(-1000, 1000))
 
 
 def test_quantiles_without_keys_or_rows(spark):
@@ -127,7 +143,6 @@ def test_quantiles_without_keys_or_rows(spark):
     assert quantiles.quantiles(empty, ["m"], [0.5]).count() == 0
     df = spark.createDataFrame([(1, 1.0), (2, 4.0)], "station int, m double")
     assert quantiles.quantiles(df, ["m"], [0.5]).first().q == [2.5]
-    assert quantiles.quantiles(df, ["m"], [0.5], small_group=0).first().q == [2.5]
 
 
 def test_sketched_quantiles_stay_within_their_rank_error(spark):
@@ -213,17 +228,17 @@ def test_prepare_training_fits_on_train(spark):
 
 
 def test_cadence_of_many_different_gaps(spark):
-    """No window runs over a series' gap lengths, and small brackets give the same median."""
+    """No window runs over a series' gap lengths, only over folded values within a bucket of leading bits."""
     hours = np.concatenate([[0], np.cumsum(np.random.default_rng(4).permutation(np.arange(1, 1501)))])
     rows = [(k, at(float(h) / 3600)) for k in (1, 3) for h in hours] + [(2, at(0))]
     df = spark.createDataFrame(rows, "station int, datetime timestamp_ntz")
     lengths = np.diff(hours)
     want = (len(lengths), int(lengths.min()), int(lengths.max()), float(np.median(lengths)))
     whole = grid.cadence_profile(df, HOURS)
-    assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
-    for found in (whole, grid.cadence_profile(df, HOURS, small_group=10, accuracy=100)):
-        assert {r[0]: tuple(r)[1:] for r in found.collect()} == {1: want, 3: want, 2: (0, None, None, None)}
-    one = grid.cadence_profile(df.filter("station = 1"), Series(keys=(), chunk=6 * 3600), small_group=10, accuracy=100)
+    windows = [line for line in whole._jdf.queryExecution().executedPlan().toString().splitlines() if "- Window" in line]
+    assert windows and all("_bits" in line.split("specifiedwindowframe")[0] for line in windows)
+    assert {r[0]: tuple(r)[1:] for r in whole.collect()} == {1: want, 3: want, 2: (0, None, None, None)}
+    one = grid.cadence_profile(df.filter("station = 1"), Series(keys=(), chunk=6 * 3600))
     assert [tuple(r) for r in one.collect()] == [want]
     alone = grid.cadence_profile(df.filter("station = 2"), Series(keys=(), chunk=6 * 3600))
     assert [tuple(r) for r in alone.collect()] == [(0, None, None, None)]
