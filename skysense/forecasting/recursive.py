@@ -89,8 +89,10 @@ def _known(o: Column, others: list[str]) -> Column:
 def _starts(gathered: DataFrame, s: Series, m: str, others: list[str], lookback: int) -> DataFrame:
     """Per series: time of the last row, values of ``m``, place and time of the last full row, other measures there."""
     ctx, n = F.transform("_rows", lambda r: r["o"][m]), F.size("_rows")
-    places = F.when(n > lookback, F.filter(F.sequence(F.lit(lookback + 1), n), lambda i: _full(
-        F.slice(ctx, i - lookback, lookback + 1)) & _known(F.element_at("_rows", i)["o"], others)))
+    # The places are right for short series too, because a condition around them may be evaluated after them.
+    first = F.lit(lookback + 1)
+    places = F.filter(F.sequence(first, F.greatest(first, n)), lambda i: (i <= n) & _full(
+        F.slice(ctx, i - lookback, lookback + 1)) & _known(F.get("_rows", i - 1)["o"], others))
     last = F.element_at("_rows", -1)
     state = gathered.withColumn("_place", F.array_max(places))
     at = F.when(F.col("_place").isNotNull(), F.element_at("_rows", F.coalesce("_place", F.lit(1))))
@@ -136,7 +138,8 @@ def _in_one(state: DataFrame, s: Series, trained: Trained, forest: Forest | Form
         def after(p: Column) -> Column:
             def grown(ctx: Column) -> Column:
                 # The appended row is the next one to predict from if its own history is full.
-                usable = _full(_last(ctx, lookback + 1)) & _known(F.col("_last"), others)
+                # Short series are left out before, but Spark may evaluate this for them too.
+                usable = (F.size(ctx) > lookback) & _full(_last(ctx, lookback + 1)) & _known(F.col("_last"), others)
                 return F.struct(
                     ctx.alias("ctx"), F.concat(st.preds, F.array(p)).alias("preds"), F.when(usable, F.size(ctx)).otherwise(st.place).alias("place"),
                     F.when(usable, seconds("_t0") + i * HOUR).otherwise(st.now).alias("now"), (st.moved | usable).alias("moved"))
