@@ -3,9 +3,12 @@
 Documents are cut only where they are longer than a sequence; full pieces are sequences by
 themselves, so one piece per document is to be packed. These are dealt over shards of some
 thousand documents. A shard is solved by several islands, each a population of packings.
-Crossover puts whole well-filled sequences of one parent into the child, takes the other
-parent's sequences without the documents that came twice, and best-fits what was displaced.
-Between epochs every island hands its best packing to the next one, by a shuffle.
+Crossover puts whole well-filled sequences of one parent into the child and takes the other
+parent's sequences that share no document with them. What was displaced, and the documents of
+the worst-filled sequences, first replace up to two documents of a sequence wherever that
+fills it further (dominance); the rest is best-fitted.
+Between epochs every island hands its best packing to the next one, by a shuffle. Epochs end
+when no shard has gained for some of them; a shard at the lower bound does nothing more.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from skysense.llm.encode import encoder
 CAPACITY = 2048
 #: Documents of a shard, about; islands of a shard; packings of an island.
 SHARD_DOCS, ISLANDS, POPULATION = 4096, 2, 4
-#: Rounds with a migration between them, and generations in each.
-EPOCHS, GENERATIONS = 2, 4
-#: Bits of a sequence number for a document's place in its shard and for its pieces.
-PLACE_BITS, PIECE_BITS = 14, 22
+#: Generations of an epoch, and epochs without gain in any shard after which the search ends.
+GENERATIONS, PATIENCE = 12, 2
+#: Displaced documents that are tried for a place in a sequence, by different sizes.
+TRIED = 96
+#: Sequences with more than this part of their room left are packed again across shards.
+LOOSE = 1 / 8
 
 
 class Packing:
@@ -106,39 +111,91 @@ def start(sizes: list[int], capacity: int, noise: random.Random | None) -> Packi
     return p
 
 
-def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
-    child = Packing(a.sizes, a.capacity)
-    order = sorted(range(len(a.bins)), key=a.left.__getitem__)
-    well = order[: max(1, int(len(order) * rng.uniform(0.3, 0.8)))]
-    injected: set[int] = set()
-    for k in well:
-        child.add_bin(list(a.bins[k]), a.left[k])
-        injected.update(a.bins[k])
-    displaced: list[int] = []
-    for items, left in zip(b.bins, b.left):
-        if injected.isdisjoint(items):
-            child.add_bin(list(items), left)
-        else:
-            displaced += [i for i in items if i not in injected]
-    displaced.sort(key=lambda i: -child.sizes[i])
-    child.best_fit(displaced)
-    return child
-
+class Pool:
+    """Displaced items by size, with a bit per size that is present."""
 
-def mutate(p: Packing, rng: random.Random) -> Packing:
-    """Empty some of the worst-filled sequences and best-fit their items again."""
-    order = sorted(range(len(p.bins)), key=lambda k: -p.left[k])
-    empty = set(order[: rng.randint(2, max(2, len(order) // 20))])
-    child = Packing(p.sizes, p.capacity)
-    items: list[int] = []
+    def __init__(self, items: list[int], sizes: list[int]):
+        self.sizes, self.by_size, self.mask = sizes, {}, 0
+        for i in items:
+            self.add(i)
+
+    def add(self, item: int) -> None:
+        size = self.sizes[item]
+        self.by_size.setdefault(size, []).append(item)
+        self.mask |= 1 << size
+
+    def take(self, size: int) -> int:
+        items = self.by_size[size]
+        item = items.pop()
+        if not items:
+            del self.by_size[size]
+            self.mask &= ~(1 << size)
+        return item
+
+    def below(self, room: int) -> int:
+        """The largest size that fits, 0 if none does."""
+        return max(0, (self.mask & ((2 << room) - 1)).bit_length() - 1) if room > 0 else 0
+
+    def best(self, low: int, room: int) -> tuple[int, ...]:
+        """One or two sizes with the largest sum above ``low`` and up to ``room``."""
+        one = self.below(room)
+        top, found = (one, (one,)) if one > low else (low, ())
+        if top == room:
+            return found
+        for n, a in enumerate(self.by_size):
+            if n >= TRIED:
+                break
+            b = self.below(room - a)
+            if b and a + b > top and (a != b or len(self.by_size[a]) > 1):
+                top, found = a + b, (a, b)
+                if top == room:
+                    break
+        return found
+
+    def rest(self) -> list[int]:
+        return [i for size in sorted(self.by_size, reverse=True) for i in self.by_size[size]]
+
+
+def dominate(p: Packing, displaced: list[int]) -> list[int]:
+    """Fill sequences further by displaced items, for up to two of their own; returns what is displaced then."""
+    pool, sizes = Pool(displaced, p.sizes), p.sizes
     for k, own in enumerate(p.bins):
-        if k in empty:
-            items += own
-        else:
-            child.add_bin(list(own), p.left[k])
-    rng.shuffle(items)
-    items.sort(key=lambda i: -p.sizes[i] // 64)
-    child.best_fit(items)
+        if not p.left[k] or not pool.mask:
+            continue
+        few = sorted(own, key=sizes.__getitem__)[:6]
+        swaps = [(), *((i,) for i in few), *((i, j) for n, i in enumerate(few) for j in few[:n])]
+        gain, out, into = 0, (), ()
+        for swap in swaps:
+            low = sum(sizes[i] for i in swap)
+            found = pool.best(low + gain, low + p.left[k])
+            if found:
+                gain, out, into = sum(found) - low, swap, found
+                if gain == p.left[k]:
+                    break
+        if gain:
+            own[:] = [i for i in own if i not in out] + [pool.take(size) for size in into]
+            p.left[k] -= gain
+            for i in out:
+                pool.add(i)
+    return pool.rest()
+
+
+def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
+    """Well-filled sequences of ``a``, what fits of ``b``'s, dominance and best fit for the rest."""
+    order = sorted(range(len(a.bins)), key=lambda k: (a.left[k], rng.random()))
+    whole = [(list(a.bins[k]), a.left[k]) for k in order[: max(1, int(len(order) * rng.uniform(0.2, 0.7)))]]
+    injected = {i for own, _ in whole for i in own}
+    kept = [(list(own), left) for own, left in zip(b.bins, b.left) if injected.isdisjoint(own)]
+    displaced = [i for own in b.bins if not injected.isdisjoint(own) for i in own if i not in injected]
+    # The worst-filled sequences that are left dissolve, so that their documents can move.
+    kept.sort(key=lambda x: x[1])
+    gone = rng.randint(1, max(1, (len(whole) + len(kept)) // 12))
+    displaced += [i for own, _ in kept[max(0, len(kept) - gone):] for i in own]
+    child = Packing(a.sizes, a.capacity)
+    for own, left in whole + kept[: max(0, len(kept) - gone)]:
+        child.add_bin(own, left)
+    rng.shuffle(displaced)
+    child.best_fit(dominate(child, displaced))
     return child
 
 
@@ -146,27 +203,24 @@ def evolve(sizes: list[int], numbers: list[list[int]], seed: int, *, capacity: i
            population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
     """An island's packings after some generations, the best one first.
 
-    Stops when the best packing needs no more sequences than the sizes' sum does.
+    Stops when the best packing needs no more sequences than the sizes' sum does. A parent is
+    the better of two packings drawn at random.
     """
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
     own = [Packing.decode(x, sizes, capacity) for x in numbers]
-    if not own:
+    if len(own) < 2:
         own.append(start(sizes, capacity, None))
-    if len(own[0].bins) > least:
+    if min(len(p.bins) for p in own) > least:
         while len(own) < population:
             own.append(start(sizes, capacity, rng))
     own.sort(key=Packing.cost)
     for _ in range(generations):
         if len(own[0].bins) <= least:
             break
-        a, b = own[0], own[rng.randrange(1, len(own))]
-        if rng.random() < 0.5:
-            a, b = b, a
-        child = crossover(a, b, rng)
-        if rng.random() < 0.5:
-            child = mutate(child, rng)
-        own = sorted([*own, child], key=Packing.cost)[:population]
+        a = min(rng.sample(own, 2), key=Packing.cost)
+        b = rng.choice([p for p in own if p is not a])
+        own = sorted([*own, crossover(a, b, rng)], key=Packing.cost)[:population]
     return [p.encode() for p in own]
 
 
@@ -212,44 +266,79 @@ def solve(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
     return islands.mapInArrow(run, ISLAND)
 
 
+def search(problems: DataFrame, islands: int, capacity: int, tasks: int) -> DataFrame:
+    """Per ``shard`` with its ``sizes`` and a first packing ``number`` (or NULL): the best packing found, as ``bins``."""
+    first = F.when(F.col("number").isNull(), F.array().cast("array<array<int>>")).otherwise(F.array("number"))
+    state = problems.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", first.alias("numbers"))
+    used = F.array_max(F.col("numbers")[0]) + 1
+    bound = F.ceil(F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x) / capacity)
+    epoch, least, stale = 0, None, 0
+    while True:
+        state = stored(solve(state.repartition(tasks, "shard", "island"), epoch, capacity), f"epoch{epoch}")
+        best = state.groupBy("shard").agg(F.min(used).alias("used"), F.first(bound).alias("bound"))
+        now, above = best.agg(F.sum("used"), F.count_if(F.col("used") > F.col("bound"))).first()
+        stale = stale + 1 if least is not None and now >= least else 0
+        epoch, least = epoch + 1, now
+        if not above or stale >= PATIENCE:
+            break
+        elites = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"),
+                              F.col("numbers")[0].alias("guest"))
+        state = state.join(elites, ["shard", "island"]).withColumn(
+            "numbers", F.array_distinct(F.concat(F.array("guest"), F.col("numbers")))).drop("guest")
+    return state.groupBy("shard").agg(F.min_by(F.col("numbers")[0], F.struct(used, "island")).alias("bins"))
+
+
+def problem(items: DataFrame, number: str = "NULL") -> DataFrame:
+    """Items (``shard``, ``place`` from 0, ``size``) gathered per shard, some thousand each."""
+    return items.groupBy("shard").agg(F.sort_array(F.collect_list(F.expr(f"struct(place, size, {number} AS number)"))).alias("items")).select(
+        "shard", F.col("items.size").alias("sizes"),
+        F.lit(None).cast("array<int>").alias("number") if number == "NULL" else F.col("items.number").alias("number"))
+
+
 def pack(docs: DataFrame, path: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text",
-         capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+         capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, islands: int = ISLANDS) -> DataFrame:
     """Per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     A NULL text is empty and still has the end id. Every row is packed, also repeated ones
     and those without identifier. Other columns take no part. An empty table gives an
-    empty table. The packing depends only on rows and their order in the files.
+    empty table. The packing depends only on rows and their order in the files. Sequences
+    that a shard leaves with much room meet those of other shards in a second search, which
+    starts from them and therefore never needs more.
     """
     tokens = tokenize(docs, path, end_id, key=key, text=text, capacity=capacity)
     shards = max(1, -(-tokens.count() // shard_docs))
     # The running numbers deal the rows evenly, whatever their identifiers are.
     dealt = tokens.withColumn("shard", F.pmod(F.col("slot") + F.shiftright("slot", 33) * 7919, F.lit(shards)))
-    placed = stored(dealt.withColumn(
-        "place", F.expr(f"row_number() OVER (PARTITION BY shard ORDER BY n % {capacity} DESC, doc_id, slot) - 1")), "placed")
+    order = f"OVER (PARTITION BY shard ORDER BY n % {capacity} DESC, doc_id, slot"
+    placed = stored(dealt.selectExpr(
+        "*", f"cast(n % {capacity} AS int) AS size", f"row_number() {order}) - 1 AS place",
+        f"coalesce(sum(n DIV {capacity}) {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS full_before"), "placed")
     # A shard has about shard_docs rows. Documents without a rest come last in their order.
-    rest = (F.col("n") % capacity).cast("int")
-    sizes = placed.filter(rest > 0).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", rest.alias("size")))).alias("items"))
-    state = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
-                         F.col("items.size").alias("sizes"), F.array().cast("array<array<int>>").alias("numbers"))
-    state = state.repartition(max(1, shards * islands), "shard", "island")
-    for epoch in range(epochs):
-        state = stored(solve(state, epoch, capacity), f"epoch{epoch}")
-        if epoch + 1 < epochs:
-            elites = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"),
-                                  F.col("numbers")[0].alias("guest"))
-            state = (state.join(elites, ["shard", "island"]).withColumn(
-                "numbers", F.array_distinct(F.concat(F.col("numbers"), F.array("guest")))).drop("guest")
-                .repartition(max(1, shards * islands), "shard", "island"))
-    best = state.groupBy("shard").agg(F.min_by(F.col("numbers")[0], F.struct(F.array_max(F.col("numbers")[0]), "island")).alias("bins"))
-    bins = best.select("shard", F.posexplode("bins").alias("place", "bin"))
-    # Documents of one sequence stand in it by their places in the shard.
-    chosen = (placed.join(bins, ["shard", "place"], "left")
-              .withColumn("before", F.expr(f"sum(n % {capacity}) OVER (PARTITION BY shard, bin ORDER BY place) - n % {capacity}")))
-    pieces = chosen.select("*", F.posexplode("sums").alias("piece", "ids_crc32"))
+    rests = placed.filter("size > 0").select("shard", "place", "size")
+    best = search(problem(rests), islands, capacity, shards * islands)
+    bins = stored(rests.join(best.select("shard", F.posexplode("bins").alias("place", "bin")), ["shard", "place"])
+                  .withColumn("seq", F.shiftleft("shard", 32) + F.col("bin")), "bins")
+    if shards > 1:
+        loose = bins.groupBy("seq").agg(F.sum("size").alias("filled"), F.count("*").alias("items")).filter(
+            F.col("filled") < (1 - LOOSE) * capacity)
+        count = loose.agg(F.sum("items")).first()[0] or 0
+        pools = max(1, -(-count // shard_docs))
+        members = bins.join(loose.select("seq"), "seq").select(
+            F.col("shard").alias("home"), F.col("place").alias("spot"), "seq", "size", F.pmod(F.xxhash64("seq"), F.lit(pools)).alias("shard"))
+        pooled = stored(members.selectExpr(
+            "*", "cast(row_number() OVER (PARTITION BY shard ORDER BY size DESC, seq, spot) - 1 AS int) AS place",
+            "cast(dense_rank() OVER (PARTITION BY shard ORDER BY seq) - 1 AS int) AS old"), "pooled")
+        again = search(problem(pooled, "old"), islands, capacity, pools * islands)
+        moved = pooled.join(again.select("shard", F.posexplode("bins").alias("place", "bin")), ["shard", "place"]).select(
+            F.col("home").alias("shard"), F.col("spot").alias("place"), (F.shiftleft(F.col("shard") + shards, 32) + F.col("bin")).alias("new"))
+        bins = bins.join(moved, ["shard", "place"], "left").withColumn("seq", F.coalesce("new", "seq"))
+    # Documents of one sequence stand in it by their shards and places.
+    before = bins.selectExpr("shard", "place", "seq", "sum(size) OVER (PARTITION BY seq ORDER BY shard, place) - size AS before")
+    pieces = placed.join(before, ["shard", "place"], "left").select("*", F.posexplode("sums").alias("piece", "ids_crc32"))
     at = F.col("piece").cast("long") * capacity
     full = F.col("n") - at >= capacity
-    alone = -1 - (F.shiftleft(F.shiftleft(F.col("shard"), PLACE_BITS) + F.col("place"), PIECE_BITS) + F.col("piece"))
+    alone = -1 - (F.shiftleft("shard", 32) + F.col("full_before") + F.col("piece"))
     return pieces.select(
         "doc_id", "piece", at.alias("start"), F.least(F.lit(capacity), F.col("n") - at).cast("long").alias("length"), "ids_crc32",
-        F.when(full, alone).otherwise(F.shiftleft(F.col("shard"), 32) + F.col("bin")).cast("long").alias("sequence_id"),
+        F.when(full, alone).otherwise(F.col("seq")).cast("long").alias("sequence_id"),
         F.when(full, F.lit(0)).otherwise(F.col("before")).cast("long").alias("offset"))

@@ -191,6 +191,39 @@ def test_genetic_search_beats_or_equals_best_fit():
         assert p.cost() <= first.cost()
 
 
+@pytest.mark.parametrize("low, high", [(500, 900), (300, 1200), (600, 1100)])
+def test_genetic_search_beats_best_fit(low, high):
+    """With the production numbers of packings and generations, in one epoch."""
+    rng = random.Random(1)
+    sizes = sorted((rng.randint(low, high) for _ in range(3000)), reverse=True)
+    first = bin_packing.start(sizes, 2048, None)
+    number = bin_packing.evolve(sizes, [], 0)[0]
+    p = bin_packing.Packing.decode(number, sizes, 2048)
+    assert min(p.left) >= 0 and sorted(i for b in p.bins for i in b) == list(range(3000))
+    assert len(p.bins) < len(first.bins)
+    # An island that is handed a packing doesn't lose it.
+    assert max(bin_packing.evolve(sizes, [number], 1)[0]) < len(p.bins)
+
+
+def test_dominance_only_fills_further():
+    sizes = [1000, 900, 700, 600, 500, 1100, 1024, 148]
+    p = bin_packing.Packing(sizes, 2048)
+    p.add_bin([0, 1], 148)
+    p.add_bin([2, 3, 4], 248)
+    rest = bin_packing.dominate(p, [5, 6, 7])
+    assert p.left == [0, 0] or sum(p.left) < 396
+    assert p.left == [2048 - sum(sizes[i] for i in b) for b in p.bins]
+    assert sorted(rest + [i for b in p.bins for i in b]) == list(range(8))
+
+
+def test_loose_sequences_meet_across_shards(spark):
+    """Two shards of five documents, four to a sequence: the two that are left over share one."""
+    docs = spark.createDataFrame([(i, " ".join(["a"] * 500)) for i in range(10)], "doc_id long, text string").coalesce(1)
+    rows = bin_packing.pack(docs, WORDS, shard_docs=5).collect()
+    assert sorted(Counter(r.sequence_id for r in rows).values()) == [2, 4, 4]
+    assert Counter(r.doc_id for r in rows) == Counter(range(10))
+
+
 def test_token_files(spark, odd, none):
     folder = new_folder(spark, "tokens")
     manifest = token_files.write(odd, WORDS, folder, end_id=2)
