@@ -12,6 +12,7 @@ from skysense.constants import (
     DATETIME_FORMATS, DATETIME_MIN_SHARE, DATETIME_NAME_PARTS, MEASURES, MIN_UPLOAD_ROWS,
 )
 from skysense.functions.numeric import share_pct
+from skysense.sources.readings import count_problems
 
 
 def _quoted(name: str) -> Column:
@@ -114,15 +115,22 @@ def map_measure_cols(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def validate_upload(df: DataFrame, measures: Sequence[str] = MEASURES, min_rows: int = MIN_UPLOAD_ROWS) -> DataFrame:
-    """One row (rule, ok, detail) per rule; an empty table is checked for nothing else."""
+def validate_upload(df: DataFrame, measures: Sequence[str] = MEASURES, min_rows: int = MIN_UPLOAD_ROWS, *,
+                    problems: str | None = None) -> DataFrame:
+    """One row (rule, ok, detail) per rule; an empty table is checked for nothing else.
+
+    ``problems`` names the column of a checked scan that lists what couldn't be read; lines
+    and the cells of each column are then rules of their own, counted in the same pass.
+    """
     present = [m for m in measures if m in df.columns]
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     checks = [("has_datetime", column_named_like_time(df.columns, ("date", "time")) is not None,
                column_named_like_time(df.columns, ("date", "time")) or ""),
               ("has_measure", bool(present), ",".join(present)),
               *[(f"numeric_{m}", m in numeric, df.schema[m].dataType.simpleString()) for m in present]]
-    n = df.agg(F.count(F.lit(1)).alias("n"))
+    bad = {"readable_lines": count_problems(problems, "line"),
+           **{f"readable_{c}": count_problems(problems, "cell", c) for c in df.columns if c != problems}} if problems else {}
+    n = df.agg(F.count(F.lit(1)).alias("n"), *[c.alias(f"_{i}") for i, c in enumerate(bad.values())])
     count = F.col("n").cast("string")
 
     def row(rule: str, ok: Column, detail: Column) -> Column:
@@ -130,7 +138,8 @@ def validate_upload(df: DataFrame, measures: Sequence[str] = MEASURES, min_rows:
 
     first = row("not_empty", F.col("n") > 0, count)
     more = [row("min_rows", F.col("n") >= min_rows, count),
-            *[row(r, F.lit(ok), F.lit(d)) for r, ok, d in checks]]
+            *[row(r, F.lit(ok), F.lit(d)) for r, ok, d in checks],
+            *[row(r, F.col(f"_{i}") == 0, F.col(f"_{i}").cast("string")) for i, r in enumerate(bad)]]
     listed = F.when(F.col("n") > 0, F.array(first, *more)).otherwise(F.array(first))
     return n.select(F.inline(listed))
 

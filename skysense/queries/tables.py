@@ -27,6 +27,47 @@ def scan_readings(spark, sf):
     return sinks.from_labels(readings.scan_readings(spark, path, fmt="csv", schema=labelled))
 
 
+BAD_CELL, BAD_LINE = "n/a", "7"
+
+
+def spoilt(spark, sf):
+    """The hourly readings as CSV lines: at five o'clock pm10 can't be read, at seven a line has a cell too many."""
+    hours = readings.hourly(spark, sf)
+    hour = F.hour("datetime")
+    cells = [F.col("station").cast("string"), F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"),
+             *[F.when(hour == 5, F.lit(BAD_CELL)).otherwise(F.coalesce(F.col(m).cast("string"), F.lit(""))) if m == "pm10"
+               else F.coalesce(F.col(m).cast("string"), F.lit("")) for m in MS]]
+    line = F.concat(F.concat_ws(",", *cells), F.when(hour == 7, F.lit(f",{BAD_LINE}")).otherwise(F.lit("")))
+    path = new_path(spark, "spoilt-csv")
+    hours.select(line).write.text(path)
+    return readings.scan_checked(spark, path, "station long, datetime timestamp_ntz, " + ", ".join(f"{m} double" for m in MS), header=False)
+
+
+@query("scan_checked", f"""WITH {HOURLY_SQL} SELECT station, datetime, {rounded(["pm2_5"])},
+  CASE WHEN hour(datetime) = 5 THEN NULL ELSE {rr("pm10")} END AS pm10, {rounded(["no2", "so2", "co"])},
+  CASE WHEN hour(datetime) = 5 THEN 'cell pm10 n/a' WHEN hour(datetime) = 7 THEN 'line' ELSE '' END AS problems FROM hourly""")
+def scan_checked(spark, sf):
+    """Rows of a file with bad cells and lines: none is lost, and each says what couldn't be read."""
+    rows = spoilt(spark, sf).rows
+    said = F.transform("problems", lambda p: F.when(p["reason"] == "line", F.lit("line")).otherwise(
+        F.concat_ws(" ", p["reason"], p["column"], p["found"])))
+    return rows.withColumn("problems", F.array_join(said, "; "))
+
+
+@query("validate_upload_checked", f"""WITH {HOURLY_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE hour(datetime) = 5) AS cells,
+  count(*) FILTER (WHERE hour(datetime) = 7) AS lines FROM hourly)
+SELECT 'not_empty' AS rule, n > 0 AS ok, n::VARCHAR AS detail FROM n
+UNION ALL SELECT 'min_rows', n >= 50, n::VARCHAR FROM n
+UNION ALL SELECT 'has_datetime', true, 'datetime' FROM n
+UNION ALL SELECT 'has_measure', true, 'pm2_5,pm10,no2,so2,co' FROM n
+{each("UNION ALL SELECT 'numeric_{m}', true, 'double' FROM n", MS, " ")}
+UNION ALL SELECT 'readable_lines', lines = 0, lines::VARCHAR FROM n
+UNION ALL SELECT 'readable_pm10', cells = 0, cells::VARCHAR FROM n
+{each("UNION ALL SELECT 'readable_{m}', true, '0' FROM n", ("station", "datetime", "pm2_5", "no2", "so2", "co"), " ")}""")
+def validate_upload_checked(spark, sf):
+    return schema.validate_upload(spoilt(spark, sf).rows, problems="problems")
+
+
 @query("write_clean", f"WITH {HOURLY_SQL} SELECT {ALL} FROM hourly")
 def write_clean(spark, sf):
     source = readings.hourly(spark, sf)

@@ -242,3 +242,33 @@ def test_cadence_of_many_different_gaps(spark):
     assert [tuple(r) for r in one.collect()] == [want]
     alone = grid.cadence_profile(df.filter("station = 2"), Series(keys=(), chunk=6 * 3600))
     assert [tuple(r) for r in alone.collect()] == [(0, None, None, None)]
+
+
+def test_checked_scan_keeps_what_it_cannot_read(spark, tmp_path):
+    """Bad cells, lines too long and too short, empty cells, NaN and an unreadable time; none is lost."""
+    from skysense.operators import schema
+    from skysense.sources import readings
+
+    (tmp_path / "r.csv").write_text("station,datetime,pm10\n1,2024-01-01 00:00:00,5.5\n1,2024-01-01 01:00:00,n/a\nx,soon,\n"
+                                    "2,2024-01-01 02:00:00,7,8\n3\n4,2024-01-01 03:00:00,NaN\n")
+    checked = readings.scan_checked(spark, str(tmp_path), "station long, datetime timestamp_ntz, pm10 double")
+    rows = checked.rows.collect()
+    assert checked.counts.get == {"rows": 6, "bad_lines": 2, "bad_cells": 3}
+    assert sorted((r.station or 0, r.pm10 or 0.0) for r in rows) == [(0, 0.0), (1, 0.0), (1, 5.5), (2, 7.0), (3, 0.0), (4, 0.0)]
+    assert sorted((r.reason, r.column or "", r.found) for r in checked.problems.collect()) == [
+        ("cell", "datetime", "soon"), ("cell", "pm10", "n/a"), ("cell", "station", "x"),
+        ("line", "", "2,2024-01-01 02:00:00,7,8"), ("line", "", "3")]
+    # Reading one column only sees the same lines.
+    assert checked.data.select("pm10").count() == 6
+    rules = {r.rule: (r.ok, r.detail) for r in schema.validate_upload(checked.rows, ["pm10"], 1, problems="problems").collect()}
+    assert rules["readable_lines"] == (False, "2") and rules["readable_pm10"] == (False, "1") and rules["min_rows"] == (True, "6")
+
+
+def test_checked_scan_refuses_another_header(spark, tmp_path):
+    from skysense.sources import readings
+
+    (tmp_path / "r.csv").write_text("datetime,station\n2024-01-01 00:00:00,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readings.scan_checked(spark, str(tmp_path), "station long, datetime timestamp_ntz").rows.collect()
+    with pytest.raises(ValueError, match="problems"):
+        readings.scan_checked(spark, str(tmp_path), "problems long")
