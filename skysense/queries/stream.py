@@ -35,6 +35,15 @@ def stream_dedupe(spark, sf):
     return first.select("station", "event_type", "ts", kept.alias("of_that_hour"))
 
 
+@query("stream_first_event", f"""SELECT user_id % 4 AS station, event_type, date_trunc('hour', ts) AS window_start, min(ts) AS ts,
+  arg_min(event_id, (ts, event_id)) AS event_id, {r("arg_min(value, (ts, event_id))", "value")} FROM events
+GROUP BY 1, 2, 3 HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= {CLOSED}""")
+def stream_first_event(spark, sf):
+    """The first event by time and identifier of each station, type and hour, whatever arrived first."""
+    first = feeds.run_available(feeds.first_events(feeds.event_stream(spark, sf)), "first-events")
+    return first.select("station", "event_type", "window_start", "ts", "event_id", "value")
+
+
 @query("stream_sliding_mean", f"""WITH e AS (SELECT user_id % 4 AS station, event_type, ts, value FROM events),
 w AS (SELECT station, event_type, value, date_trunc('hour', ts) - to_hours(i) AS window_start FROM e, range(0, 24) t(i))
 SELECT station, event_type, window_start, window_start + INTERVAL 24 HOUR AS window_end, {r("avg(value)", "mean")}, count(*) AS n FROM w

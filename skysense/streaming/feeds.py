@@ -51,6 +51,19 @@ def dedupe(events: DataFrame, keys: tuple[str, ...] = ("station", "ts"), waterma
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_events(events: DataFrame, keys: tuple[str, ...] = ("station", "event_type"), order: tuple[str, ...] = ("ts", "event_id"),
+                 length: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
+    """Per key and stretch of time the first event by ``order``, with all its columns.
+
+    Unlike ``dedupe`` the result doesn't depend on arrival: the state of a key is the whole row
+    with the smallest order so far, and the row is emitted once the watermark has passed its
+    stretch. NULL sorts first.
+    """
+    first = F.min_by(F.struct(*events.columns), F.struct(*order)).alias("first")
+    kept = events.withWatermark("ts", watermark).groupBy(*keys, F.window("ts", length)).agg(first)
+    return kept.select("first.*", F.col("window.start").cast("timestamp_ntz").alias("window_start"))
+
+
 def sliding_means(events: DataFrame, length: str = "24 hours", slide: str = "1 hour",
                   watermark: str = WATERMARK) -> DataFrame:
     """Rolling mean over time per station and event type. Frames are stretches of time,

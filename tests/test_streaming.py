@@ -68,3 +68,15 @@ def test_streamed_hours_feed_the_batch_operators(spark):
     streamed = feeds.run_available(feeds.hourly_means(feeds.event_stream(spark, SMALL)), "feed")
     filled = impute.interpolate(streamed, Series(), readings.HOURLY)
     assert filled.filter("pm2_5 is null").count() == 0
+
+
+def test_first_event_is_by_order_not_by_arrival(spark, tmp_path):
+    """The earliest event of an hour comes in the last file that is still in time; ties go to the smaller identifier."""
+    files = [[(7, at(0.5), 0, "click", 7.0, ""), (8, at(0.5), 0, "view", 8.0, "")],
+             [(3, at(0.2), 0, "click", None, ""), (2, at(0.5), 0, "view", 2.0, "")],
+             [(9, at(6), 0, "click", 9.0, "")], [(10, at(12), 0, "click", 1.0, "")]]
+    for r in files:
+        spark.createDataFrame(r, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+    out = feeds.run_available(feeds.first_events(stream_of(spark, str(tmp_path / "f"))), "first").collect()
+    assert sorted((r.event_type, r.window_start, r.event_id, r.value) for r in out) == [
+        ("click", at(0), 3, None), ("click", at(6), 9, 9.0), ("view", at(0), 2, 2.0)]
