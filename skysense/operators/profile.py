@@ -13,8 +13,8 @@ from skysense.functions.numeric import clip, coef_variation, pearson, sample_ske
 from skysense.operators.outliers import count_outliers
 from skysense.operators.quantiles import quantiles
 from skysense.operators.relational import argmax, month_dim, weekday_dim
-from skysense.operators.shapes import measure_order, per_measure, to_long
-from skysense.session import attach
+from skysense.operators.shapes import measure_order, per_measure
+from skysense.session import attach, join_rows, settle
 
 
 def nulls(m: str) -> Column:
@@ -87,13 +87,22 @@ def histogram(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = ()
 
     Bins are half-open except the last; a constant measure falls into bin 1.
     """
-    long = to_long(df, measures, keys).filter(F.col("value").isNotNull())
     by = (*keys, "measure")
-    limits = per_measure(df, keys, measures, lambda m: {"_lo": F.min(m).cast("double"), "_hi": F.max(m).cast("double")})
-    at = attach(long, limits, by)
-    share = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    number = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins) + 1, F.lit(bins)).cast("int")
-    counted = at.groupBy(*by, "_lo", "_hi", number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    limits = settle(df.groupBy(*keys).agg(*[end(m).cast("double").alias(f"_{name}_{i}") for i, m in enumerate(measures)
+                                            for name, end in (("lo", F.min), ("hi", F.max))]))
+    # Limits meet the wide rows; only bin numbers are turned into rows, and counted at once.
+    at = attach(df.select(*keys, *measures), limits, keys, settled=True)
+
+    def number(m: str, i: int) -> Column:
+        low, high, value = F.col(f"_lo_{i}"), F.col(f"_hi_{i}"), F.col(m).cast("double")
+        share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+        return F.when(value.isNotNull(), F.least(F.floor(share * bins) + 1, F.lit(bins)).cast("int")).alias(m)
+
+    binned = at.select(*keys, *[number(m, i) for i, m in enumerate(measures)]).unpivot(list(keys), list(measures), "measure", "bin")
+    counts = binned.filter(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    ends = limits.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(f"_lo_{i}").alias("_lo"), F.col(f"_hi_{i}").alias("_hi")) for i, m in enumerate(measures)])))
+    counted = join_rows(counts, ends, by)
     width = (F.col("_hi") - F.col("_lo")) / bins
     return counted.select(*by, "bin", (F.col("_lo") + width * (F.col("bin") - 1)).alias("bin_start"),
                           (F.col("_lo") + width * F.col("bin")).alias("bin_end"), "n")
@@ -105,14 +114,21 @@ def box_stats(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = ()
     by = (*keys, "measure")
     q = quantiles(df, measures, [0.25, 0.5, 0.75], keys).select(
         *by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    long = to_long(df, measures, keys).filter(F.col("value").isNotNull())
-    at = attach(long, q, by)
     iqr = F.col("q3") - F.col("q1")
-    low, high = F.col("q1") - k * iqr, F.col("q3") + k * iqr
-    inside = F.when((F.col("value") >= low) & (F.col("value") <= high), F.col("value"))
-    return at.groupBy(*by, "q1", "median", "q3").agg(
-        F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
-        F.count_if((F.col("value") < low) | (F.col("value") > high)).alias("outside"))
+    fences = settle(q.select(*by, (F.col("q1") - k * iqr).alias("_low"), (F.col("q3") + k * iqr).alias("_high"), "q1", "median", "q3"))
+    # One row per series with the fences of all measures; readings stay wide.
+    wide = fences.groupBy(*keys).agg(*[F.max_by(F.struct("_low", "_high"), F.col("measure") == m).alias(f"_{i}") for i, m in enumerate(measures)])
+    at = attach(df.select(*keys, *measures), wide, keys)
+
+    def whiskers(m: str) -> dict[str, Column]:
+        value, f = F.col(m).cast("double"), f"_{list(measures).index(m)}"
+        low, high = F.col(f"{f}._low"), F.col(f"{f}._high")
+        inside = F.when((value >= low) & (value <= high), value)
+        return {"whisker_low": F.min(inside), "whisker_high": F.max(inside), "outside": F.count_if((value < low) | (value > high)),
+                "_n": F.count(value)}
+
+    found = per_measure(at, keys, measures, whiskers).filter("_n > 0")
+    return join_rows(found, fences, by).select(*by, "q1", "median", "q3", "whisker_low", "whisker_high", "outside")
 
 
 def corr_matrix(df: DataFrame, measures: Sequence[str], keys: tuple[str, ...] = ()) -> DataFrame:
