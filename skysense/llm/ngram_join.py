@@ -429,9 +429,12 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", how: Simil
     Other columns take no part. An empty table gives an empty table.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("__text"))
-    named = grouped(rows, how)
-    least = named.groupBy("group").agg(F.min("id").alias("component_id"))
-    return named.join(least, "group").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    named = stored(grouped(rows, how), "grouped")
+    # Rows that are alone need no partner, so that only groups of several meet their least identifier.
+    least = stored(named.groupBy("group").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+                   .filter("rows > 1").drop("rows"), "least")
+    return named.join(hinted(least, 32), "group", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", how: Similar = Similar()) -> DataFrame:
@@ -440,9 +443,12 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", how: S
     names = docs.columns
     rows = located(docs)
     found = stored(grouped(rows.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("__text"), FILE, ROW), how), "grouped")
-    least = found.groupBy("group").agg(F.min(F.struct("id", FILE, ROW)).alias("keep"))
-    judged = stored(found.join(least, "group").select(FILE, ROW, (
-        (F.col("keep")[FILE] == F.col(FILE)) & (F.col("keep")[ROW] == F.col(ROW))).alias("kept")), "kept")
+    least = stored(found.groupBy("group").agg(F.min(F.struct("id", FILE, ROW)).alias("keep"), F.count(F.lit(1)).alias("rows"))
+                   .filter("rows > 1").select("group", F.col("keep")[FILE].alias("keep_file"), F.col("keep")[ROW].alias("keep_row")), "least")
+    longest = least.agg(F.max(F.octet_length("keep_file"))).first()[0] or 0
+    alone = F.col("keep_row").isNull()
+    judged = stored(found.join(hinted(least, 48 + longest), "group", "left").select(FILE, ROW, (
+        alone | (F.col("keep_file") == F.col(FILE)) & (F.col("keep_row") == F.col(ROW))).alias("kept")), "kept")
     return rows_at(rows, judged.filter("kept"), judged.filter("NOT kept")).select(*names)
 
 
