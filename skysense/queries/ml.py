@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysense.forecasting.models import (
-    ModelStore, Trained, feature_importance, predict_all as score_all, predict_measure as score,
+    BoostingParams, ModelStore, Trained, feature_importance, learning_curves, predict_all as score_all, predict_measure as score,
     train_all as fit_all, train_measure as fit,
 )
 from skysense.forecasting.recursive import NO_HISTORY, forecast_all as forecasts, forecast_recursive as forecast
@@ -97,6 +97,10 @@ def checked(predictions: DataFrame) -> DataFrame:
 FULL_SQL = f"""{FILLED_SQL}, whole AS (SELECT * FROM filled WHERE {each('{m} IS NOT NULL', sep=' AND ')}),
 placed AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY datetime) - 1 AS p FROM filled),
 usable AS (SELECT * FROM placed WHERE p >= 24 AND {each('{m} IS NOT NULL', sep=' AND ')}),
+parts AS (SELECT n, floor(n * 0.7000000000000001::DOUBLE)::BIGINT AS a, floor(n * 0.8::DOUBLE)::BIGINT AS b
+  FROM (SELECT station, count(*) AS n FROM whole GROUP BY 1)),
+sizes AS (SELECT 'train' AS part, sum(greatest(a - 24, 0))::BIGINT AS samples FROM parts
+  UNION ALL SELECT 'val', sum(greatest(b - a - 24, 0))::BIGINT FROM parts UNION ALL SELECT 'test', sum(greatest(n - b - 24, 0))::BIGINT FROM parts),
 tested AS (SELECT sum(greatest(n - floor(n * 0.8::DOUBLE)::BIGINT - 24, 0))::BIGINT AS samples
   FROM (SELECT station, count(*) AS n FROM whole GROUP BY 1))"""
 NAMES = {m: feature_names(m, [o for o in MS if o != m]) for m in MS}
@@ -121,6 +125,41 @@ def train_all(spark, sf):
         .withColumn("sound", F.when(F.col("status") == "ok", F.col("sound")))
 
 
+@query("learning_curve", f"""WITH {FULL_SQL} SELECT measure, part, trees::BIGINT AS trees, samples, true AS sound
+FROM {MEASURES_SQL}, sizes, range(1, 101) t(trees) WHERE samples > 0""")
+def curve(spark, sf):
+    """Every model's error after each tree; whether it is finite, and lower at the end than at the start on the training part."""
+    made = curves(spark, sf)
+    ends = made.filter(F.col("part") == "train").groupBy("measure").agg(
+        (F.max_by("rmse", "trees") < F.min_by("rmse", "trees")).alias("learnt"))
+    return made.join(F.broadcast(ends), "measure").select(
+        "measure", "part", "trees", "samples", (finite("rmse") & (F.col("rmse") >= 0) & F.col("learnt")).alias("sound"))
+
+
+@query("learning_curve_values", None)
+def curve_values(spark, sf):
+    """The errors themselves: measure, part, trees, samples, rmse."""
+    return curves(spark, sf)
+
+
+def curves(spark, sf) -> DataFrame:
+    return kept(spark, sf, "curves", lambda: learning_curves(prepared(spark, sf), HOURS, trained(spark, sf)[0]))
+
+
+@query("train_validated", f"""WITH {FULL_SQL}, known AS (SELECT samples > 0 AS enough FROM sizes WHERE part = 'val')
+SELECT '{TARGET}' AS measure, CASE WHEN enough THEN 'ok' ELSE 'failed' END AS status, CASE WHEN enough THEN samples END AS samples,
+CASE WHEN enough THEN true END AS fewer, CASE WHEN enough THEN true END AS sound FROM tested, known""")
+def train_validated(spark, sf):
+    """One measure with early stopping by the validation part; whether it kept at most the wanted trees.
+    Where no validation row has a full history, training fails with that reason."""
+    params = BoostingParams(early_stop=True)
+    models, status = fit_all(prepared(spark, sf), HOURS, [TARGET], params)
+    fewer = 1 <= models[TARGET].trees <= params.trees if models else None
+    ok = F.col("status") == "ok"
+    return status.select("measure", F.split_part("status", F.lit(":"), F.lit(1)).alias("status"), "samples",
+                         F.lit(fewer).cast("boolean").alias("fewer"), F.when(ok, sound(status)).alias("sound"))
+
+
 @query("metrics_table", f"WITH {FULL_SQL} SELECT measure, samples, {len(NAMES[TARGET])} AS features, true AS sound FROM {MEASURES_SQL}, tested")
 def metrics_table(spark, sf):
     """Metrics and feature counts as written to the store and read back."""

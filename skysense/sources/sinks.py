@@ -13,18 +13,24 @@ MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def write_readings(df: DataFrame, path: str, *, fmt: str = "parquet", keys: Sequence[str] = ("station",),
-                   ts: str = "datetime", partitioned: bool = True) -> str:
+                   ts: str = "datetime", partitioned: bool = True, replace: bool = False) -> str:
     """Write readings under ``path``; Parquet by day, so readers can skip folders.
 
     Rows are sent to tasks by day before writing, which keeps the number of files low; the
     rebalance hint lets adaptive execution split a day that is too big for one task. Within
     a file rows are in the order of series and time, so readers skip by series as well.
+
+    What is there already is an error. With ``replace`` the days that ``df`` has are written
+    anew and all others stay, so that a run that comes again leaves the same rows.
     """
+    if replace and not partitioned:
+        raise ValueError("only readings by day can be replaced by day")
     writer_input, by = df, []
     if partitioned:
         writer_input = df.withColumn("date", F.to_date(ts)).hint("rebalance", "date").sortWithinPartitions("date", *keys, ts)
         by = ["date"]
-    writer = writer_input.write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    mode = "overwrite" if replace else "errorifexists"
+    writer = writer_input.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     if by:
         writer = writer.partitionBy(*by)
     if fmt == "csv":

@@ -10,7 +10,8 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from skysense.forecasting.models import (
-    BoostingParams, ModelStore, Trained, feature_importance, predict_all, predict_measure, train_all, train_measure,
+    BoostingParams, ModelStore, Trained, feature_importance, learning_curve, learning_curves, predict_all, predict_measure,
+    train_all, train_measure,
 )
 from skysense.forecasting.recursive import forecast_all, forecast_recursive
 from skysense.operators.features import features_of, supervised_features, wide_features
@@ -66,6 +67,59 @@ def test_store_round_trip(spark, waves, trained):
     assert a == b and len(a) == 2 * (300 - 6)
 
 
+def test_a_save_that_is_cut_off_leaves_the_version_before(spark, trained, monkeypatch):
+    store = ModelStore(spark, new_path(spark, "store"))
+    store.save(trained)
+    changed = Trained(trained.measure, trained.model, [*trained.features[1:], "later"], trained.metrics)
+    with monkeypatch.context() as broken:
+        broken.setattr(ModelStore, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            store.save(changed)
+    assert store.load("pm2_5").features == trained.features and len(store.versions("pm2_5")) == 1
+    store.save(changed)
+    assert store.load("pm2_5").features == changed.features
+    assert [n for n, _ in store.versions("pm2_5")] == [1, 2]
+    with pytest.raises(ValueError, match="no model of pm10"):
+        store.load("pm10")
+
+
+def test_learning_curve_equals_the_errors_of_shorter_models(split, trained):
+    """The error after k trees is that of the model of the first k trees, and the last is the model's own."""
+    curve = {(r.part, r.trees): r for r in learning_curve(split, HOURS, trained, lookback=6).collect()}
+    assert sorted({p for p, _ in curve}) == ["test", "train", "val"] and len(curve) == 3 * trained.trees == 9
+    assert [curve[p, 1].samples for p in ("train", "val", "test")] == [2 * (210 - 6), 2 * (30 - 6), 2 * (60 - 6)]
+    rows = supervised_features(split, HOURS.within("split"), "pm2_5", lookback=6)
+    ready = trained.model.stages[0].transform(rows).select("split", "features", "pm2_5").collect()
+    boosted = trained.model.stages[-1]
+    for (part, k), r in curve.items():
+        squares = [(sum(w * t.predict(x.features) for t, w in zip(boosted.trees[:k], boosted.treeWeights)) - x.pm2_5) ** 2
+                   for x in ready if x.split == part]
+        assert close(r.rmse, math.sqrt(sum(squares) / len(squares)), 1e-9)
+    assert close(curve["test", 3].rmse, trained.metrics.first().rmse, 1e-9)
+    both = learning_curves(split, HOURS, {"pm2_5": trained}, lookback=6)
+    assert sorted(both.collect()) == sorted(curve.values())
+
+
+def test_validation_rows_decide_on_the_number_of_trees(spark, split):
+    """A validation part that has nothing to do with the training part stops at once; without early stopping it doesn't matter."""
+    odd = split.withColumn("pm2_5", F.when(F.col("split") == "val", 1000 - 10 * F.col("pm2_5")).otherwise(F.col("pm2_5")))
+    params = {"trees": 12, "depth": 3, "lookback": 6, "step": 0.5}
+    free, stopped = BoostingParams(**params), BoostingParams(**params, early_stop=True)
+    assert train_measure(odd, HOURS, "pm2_5", free).trees == 12
+    short = train_measure(odd, HOURS, "pm2_5", stopped)
+    assert 1 <= short.trees < 12 and short.metrics.first().samples == 2 * (60 - 6)
+    curve = {r.trees: r.rmse for r in learning_curve(odd, HOURS, short, lookback=6).filter("part = 'val'").collect()}
+    assert min(curve, key=curve.get) == short.trees
+    with pytest.raises(ValueError, match="no validation row"):
+        train_measure(odd.filter("split != 'val'"), HOURS, "pm2_5", stopped)
+
+
+def test_curves_need_boosted_trees(split, trained):
+    flat = Trained("pm2_5", PipelineModel([trained.model.stages[0]]), trained.features, None)
+    with pytest.raises(ValueError, match="isn't boosted"):
+        learning_curve(split, HOURS, flat, lookback=6)
+
+
 def test_failures_are_reported_per_measure(split):
     broken = split.withColumn("pm10", F.lit(None).cast("double"))
     models, table = train_all(broken.select("station", "datetime", "pm10", "split"), HOURS, ["pm10"], FEW)
