@@ -8,7 +8,8 @@ parent's sequences that share no document with them. What was displaced, and the
 the worst-filled sequences, first replace up to two documents of a sequence wherever that
 fills it further (dominance); the rest is best-fitted.
 Between epochs every island hands its best packing to the next one, by a shuffle. Epochs end
-when no shard has gained for some of them; a shard at the lower bound does nothing more.
+when no shard has gained for some of them; a shard at the lower bound takes no part in further
+ones.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ CAPACITY = 2048
 SHARD_DOCS, ISLANDS, POPULATION = 4096, 2, 4
 #: Generations of an epoch, and epochs without gain in any shard after which the search ends.
 GENERATIONS, PATIENCE = 12, 2
+#: Islands that a task solves, about. An epoch of one is often shorter than a task's start.
+TASK_ISLANDS = 4
 #: Displaced documents that are tried for a place in a sequence, by different sizes.
 TRIED = 96
 #: Sequences with more than this part of their room left are packed again across shards.
@@ -249,43 +252,59 @@ def tokenize(docs: DataFrame, path: str, end_id: int, *, key: str, text: str, ca
     return stored(rows.mapInArrow(run, "doc_id long, slot long, n long, sums array<long>"), "tokens")
 
 
-ISLAND = "shard long, island int, sizes array<int>, numbers array<array<int>>"
+ISLAND = "shard long, island int, sizes array<int>, numbers array<array<int>>, used int, met boolean"
 
 
 def solve(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
-    """One epoch of every island; islands are rows and don't meet here."""
+    """One epoch of every island; islands are rows and don't meet here.
+
+    ``used`` is the best packing's number of sequences, ``met`` whether it is the lower bound.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())),
-                          ("numbers", pa.list_(pa.list_(pa.int32())))])
+                          ("numbers", pa.list_(pa.list_(pa.int32()))), ("used", pa.int32()), ("met", pa.bool_())])
         for b in batches:
             for r in b.to_pylist():
                 seed = (r["shard"] * 1009 + r["island"]) * 101 + epoch
                 numbers = evolve(r["sizes"], r["numbers"] or [], seed, capacity=capacity)
-                yield pa.RecordBatch.from_pylist([r | {"numbers": numbers}], schema=kind)
+                used = max(numbers[0], default=-1) + 1
+                met = used <= -(-sum(r["sizes"]) // capacity)
+                yield pa.RecordBatch.from_pylist([r | {"numbers": numbers, "used": used, "met": met}], schema=kind)
 
     return islands.mapInArrow(run, ISLAND)
 
 
-def search(problems: DataFrame, islands: int, capacity: int, tasks: int) -> DataFrame:
-    """Per ``shard`` with its ``sizes`` and a first packing ``number`` (or NULL): the best packing found, as ``bins``."""
+def search(problems: DataFrame, islands: int, capacity: int, shards: int) -> DataFrame:
+    """Per ``shard`` with its ``sizes`` and a first packing ``number`` (or NULL): the best packing found, as ``bins``.
+
+    ``shards`` is about their number. Those at the lower bound stay out of later epochs.
+    """
     first = F.when(F.col("number").isNull(), F.array().cast("array<array<int>>")).otherwise(F.array("number"))
     state = problems.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", first.alias("numbers"))
-    used = F.array_max(F.col("numbers")[0]) + 1
-    bound = F.ceil(F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x) / capacity)
-    epoch, least, stale = 0, None, 0
+    epoch, settled, least, stale, ended = 0, 0, None, 0, None
     while True:
+        tasks = max(1, -(-shards * islands // TASK_ISLANDS))
         state = stored(solve(state.repartition(tasks, "shard", "island"), epoch, capacity), f"epoch{epoch}")
-        best = state.groupBy("shard").agg(F.min(used).alias("used"), F.first(bound).alias("bound"))
-        now, above = best.agg(F.sum("used"), F.count_if(F.col("used") > F.col("bound"))).first()
+        best = state.groupBy("shard").agg(F.min("used").alias("used"), F.bool_or("met").alias("met"))
+        over, rest, shards = best.agg(
+            F.sum(F.expr("if(met, used, 0)")), F.sum(F.expr("if(met, 0, used)")), F.count_if(~F.col("met"))).first()
+        settled += over or 0
+        now = settled + (rest or 0)
         stale = stale + 1 if least is not None and now >= least else 0
         epoch, least = epoch + 1, now
-        if not above or stale >= PATIENCE:
+        last = not shards or stale >= PATIENCE
+        # A shard that isn't in the last epoch has an island at the bound in an earlier one.
+        done = (state if last else state.filter("met")).select("shard", "island", "used", F.col("numbers")[0].alias("bins"))
+        ended = done if ended is None else ended.unionAll(done)
+        if last:
             break
-        elites = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"),
-                              F.col("numbers")[0].alias("guest"))
-        state = state.join(elites, ["shard", "island"]).withColumn(
-            "numbers", F.array_distinct(F.concat(F.array("guest"), F.col("numbers")))).drop("guest")
-    return state.groupBy("shard").agg(F.min_by(F.col("numbers")[0], F.struct(used, "island")).alias("bins"))
+        to = F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")
+        elites = state.groupBy("shard").agg(
+            F.bool_or("met").alias("met"), F.collect_list(F.struct(to.alias("island"), F.col("numbers")[0].alias("guest"))).alias("elites")
+        ).filter("NOT met").select("shard", F.inline("elites"))
+        state = state.filter("NOT met").join(elites, ["shard", "island"]).select(
+            "shard", "island", "sizes", F.array_distinct(F.concat(F.array("guest"), F.col("numbers"))).alias("numbers"))
+    return ended.groupBy("shard").agg(F.min_by("bins", F.struct("used", "island")).alias("bins"))
 
 
 def problem(items: DataFrame, number: str = "NULL") -> DataFrame:
@@ -315,7 +334,7 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 0, key: str = "doc_id", te
         f"coalesce(sum(n DIV {capacity}) {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS full_before"), "placed")
     # A shard has about shard_docs rows. Documents without a rest come last in their order.
     rests = placed.filter("size > 0").select("shard", "place", "size")
-    best = search(problem(rests), islands, capacity, shards * islands)
+    best = search(problem(rests), islands, capacity, shards)
     bins = stored(rests.join(best.select("shard", F.posexplode("bins").alias("place", "bin")), ["shard", "place"])
                   .withColumn("seq", F.shiftleft("shard", 32) + F.col("bin")), "bins")
     if shards > 1:
@@ -328,7 +347,7 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 0, key: str = "doc_id", te
         pooled = stored(members.selectExpr(
             "*", "cast(row_number() OVER (PARTITION BY shard ORDER BY size DESC, seq, spot) - 1 AS int) AS place",
             "cast(dense_rank() OVER (PARTITION BY shard ORDER BY seq) - 1 AS int) AS old"), "pooled")
-        again = search(problem(pooled, "old"), islands, capacity, pools * islands)
+        again = search(problem(pooled, "old"), islands, capacity, pools)
         moved = pooled.join(again.select("shard", F.posexplode("bins").alias("place", "bin")), ["shard", "place"]).select(
             F.col("home").alias("shard"), F.col("spot").alias("place"), (F.shiftleft(F.col("shard") + shards, 32) + F.col("bin")).alias("new"))
         bins = bins.join(moved, ["shard", "place"], "left").withColumn("seq", F.coalesce("new", "seq"))

@@ -224,6 +224,34 @@ def test_loose_sequences_meet_across_shards(spark):
     assert Counter(r.doc_id for r in rows) == Counter(range(10))
 
 
+def test_settled_shards_leave_the_search(spark, monkeypatch):
+    """One shard that best fit solves, one that can't reach the bound, and one that does after some epochs or never."""
+    rng = random.Random(5)
+    shards = {0: [1024] * 10, 1: [700] * 9, 2: sorted((rng.randint(300, 1200) for _ in range(400)), reverse=True)}
+    bound = {k: -(-sum(x) // 2048) for k, x in shards.items()}
+    seen, solve = [], bin_packing.solve
+
+    def watched(islands, epoch, capacity):
+        rows = islands.collect()
+        seen.append({r.shard for r in rows})
+        assert sorted((r.shard, r.island) for r in rows) == [(k, i) for k in sorted(seen[-1]) for i in range(2)]
+        return solve(islands, epoch, capacity)
+
+    monkeypatch.setattr(bin_packing, "solve", watched)
+    rows = bin_packing.search(spark.createDataFrame([(k, x, None) for k, x in shards.items()],
+                                                    "shard long, sizes array<int>, number array<int>"), 2, 2048, 3).collect()
+    assert sorted(r.shard for r in rows) == [0, 1, 2]
+    used = {}
+    for r in rows:
+        p = bin_packing.Packing.decode(r.bins, shards[r.shard], 2048)
+        assert min(p.left) >= 0 and sorted(i for b in p.bins for i in b) == list(range(len(shards[r.shard])))
+        used[r.shard] = len(p.bins)
+    assert used[0] == bound[0] and used[1] == 5 > bound[1]
+    assert used[2] <= len(bin_packing.start(shards[2], 2048, None).bins)
+    assert seen[0] == {0, 1, 2} and len(seen) > bin_packing.PATIENCE
+    assert all(later <= before and 0 not in later for before, later in zip(seen, seen[1:]))
+
+
 def test_token_files(spark, odd, none):
     folder = new_folder(spark, "tokens")
     manifest = token_files.write(odd, WORDS, folder, end_id=2)
