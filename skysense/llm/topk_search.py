@@ -65,20 +65,41 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), dim)
 
 
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """The ``sample`` rows that come first by the hashes of their identifiers, chosen among the
+    executors: a cut of the hash lets about twice as many pass, and is doubled until enough do."""
+    n, share, hashed = rows.count(), 2 * sample, F.xxhash64("id")
+    some = rows
+    while share < n:
+        some = rows.filter(hashed <= F.lit(share * 2**64 // n - 2**63))
+        if some.count() >= sample:
+            break
+        some, share = rows, 2 * share
+    return some.orderBy(hashed, "id").limit(sample)
+
+
 def choose_pivots(rows: DataFrame, count: int, sample: int) -> dict[int, np.ndarray]:
-    """Per vector length: the origin and vectors that lie far from each other."""
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    out = {}
-    for dim in {len(r.v) for r in chosen}:
-        own = [r.v for r in chosen if len(r.v) == dim]
-        own = np.array(own, np.float64).reshape(len(own), dim)
-        pivots = [np.zeros(dim)]
-        far = np.linalg.norm(own, axis=1)
-        while len(pivots) < count and len(far) and far.max() > 0:
-            pivots.append(own[far.argmax()])
-            far = np.minimum(far, np.linalg.norm(own - pivots[-1], axis=1))
-        out[dim] = np.array(pivots)
-    return out
+    """Per vector length: the origin and vectors that lie far from each other. One task
+    chooses them, so that the driver gets the pivots alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            lengths = b.column("v").value_lengths().to_numpy()
+            for dim in np.unique(lengths).tolist():
+                parts.setdefault(dim, []).append(matrix(b.column("v").filter(pa.array(lengths == dim)), dim))
+        for dim, vectors in parts.items():
+            own = np.concatenate(vectors).astype(np.float64)
+            pivots = [np.zeros(dim)]
+            far = np.linalg.norm(own, axis=1)
+            while len(pivots) < count and far.max() > 0:
+                pivots.append(own[far.argmax()])
+                far = np.minimum(far, np.linalg.norm(own - pivots[-1], axis=1))
+            yield pa.RecordBatch.from_pydict({"dim": [dim], "pivots": [np.array(pivots).astype("<f8").tobytes()], "n": [len(pivots)]}, schema=kind)
+
+    kind = pa.schema([("dim", pa.int32()), ("pivots", pa.binary()), ("n", pa.int32())])
+    # The limit leaves one partition.
+    chosen = sampled(rows, sample).select("v").mapInArrow(run, "dim int, pivots binary, n int").collect()
+    return {r.dim: np.frombuffer(r.pivots, "<f8").reshape(r.n, r.dim) for r in chosen}
 
 
 def distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -216,7 +237,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 10, *, key: str = "vec_i
     Without queries or candidates the result is empty.
     """
     spark = vectors.sparkSession
-    rows = quantised(vectors, key, vector)
+    rows = stored(quantised(vectors, key, vector), "vectors")
     anchors = choose_pivots(rows, pivots, pivot_sample)
     candidates = stored(pack(rows, anchors, CANDIDATES), "candidates")
     asked = rows.filter(is_query)

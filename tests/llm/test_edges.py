@@ -342,6 +342,36 @@ def test_topk(spark):
     assert topk_search.topk(table.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_topk_sends_the_driver_pivots_only(spark):
+    """Whatever the number of tasks, the driver gets neither samples nor blocks: all results of a job stay under 1 MB."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(12_000, 32))
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    before, limits = spark.conf.get("spark.sql.adaptive.enabled"), spark.sparkContext._jsc.sc().conf()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    limits.set("spark.driver.maxResultSize", "1m")
+    try:
+        got = topk_search.topk(table, F.col("id") % 2000 == 0).collect()
+    finally:
+        limits.remove("spark.driver.maxResultSize")
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    whole, want = np.floor(1024 * v).astype(np.int64), set()
+    for d in range(0, 12_000, 2000):
+        s = whole @ whole[d]
+        best = [e for e in np.lexsort((np.arange(12_000), -s)) if e != d][:10]
+        want |= {(d, k + 1, int(e), int(s[e])) for k, e in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_topk_sample_is_exact(spark):
+    """The cut over the hash gives the rows that ordering all of them gives."""
+    rows = topk_search.stored(spark.range(5000).selectExpr("id * 7 AS id", "array(id) AS v"))
+    want = [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
+    assert [r.id for r in topk_search.sampled(rows, 300).collect()] == want
+    assert topk_search.sampled(rows, 4000).count() == 4000 and topk_search.sampled(rows, 9000).count() == 5000
+    assert topk_search.sampled(rows.limit(0), 300).count() == 0
+
+
 def test_topk_leaves_candidates_out(spark):
     """Clustered vectors: the bounds must spare most evaluations, and blocks carry results on."""
     rng = np.random.default_rng(2)
