@@ -372,6 +372,56 @@ def test_topk_sample_is_exact(spark):
     assert topk_search.sampled(rows.limit(0), 300).count() == 0
 
 
+def nearest(kept, queries, k=10):
+    want = set()
+    for d in queries:
+        best = sorted((-sum(a * b for a, b in zip(kept[d], c)), e) for e, c in kept.items() if e != d and len(c) == len(kept[d]))[:k]
+        want |= {(d, r + 1, e, -s) for r, (s, e) in enumerate(best)}
+    return want
+
+
+def test_topk_groups_and_stripes(spark, monkeypatch):
+    """Queries in several groups, vectors of several lengths, sums beyond doubles, many equal scores, blocks cut small."""
+    monkeypatch.setattr(topk_search, "GROUP_BYTES", 8_000)
+    monkeypatch.setattr(topk_search, "QUERIES", 7)
+    monkeypatch.setattr(topk_search, "LEAF", 16)
+    monkeypatch.setattr(topk_search, "CANDIDATES", 50)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)] + [(1000 + i, (rng.normal(size=6) * 1e5).tolist()) for i in range(60)]
+    rows += [(2000 + i, rng.integers(-2, 3, size=3).astype(float).tolist()) for i in range(150)] + [(3000 + i, [0.0] * 4) for i in range(30)]
+    rows += [(4000 + i, [float(i)]) for i in range(5)] + [(-5, [1.0] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = topk_search.topk(table, F.col("id") % 5 == 0).collect()
+    kept = {d: [int(np.floor(1024 * x)) for x in v] for d, v in rows}
+    assert len(got) == len({tuple(r) for r in got})
+    assert {tuple(r) for r in got} == nearest(kept, [d for d in kept if d % 5 == 0])
+
+
+def packed(v, ids, pivots):
+    d = topk_search.distances(v, pivots)
+    at = topk_search.by_pivot(d)
+    return topk_search.Block({"dim": v.shape[1], "n": len(v), "ids": ids[at].astype("<i8").tobytes(), "vectors": topk_search.narrow(v[at]).tobytes(),
+                              "norms": (v[at].astype(float) ** 2).sum(axis=1).tobytes(), "distances": d[at].astype("<f4").tobytes()})
+
+
+@pytest.mark.parametrize("size, noise, share", [(1e4, 100, 0.5), (1e8, 1e6, 0.5), (500, 500, 1)])
+def test_topk_by_leaves(size, noise, share):
+    """Many pairs at a time: results of the plain product, and clustered vectors are mostly left out. Sums of the second exceed doubles."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 8)) * size
+    v = (centres[rng.integers(20, size=6000)] + rng.normal(size=(6000, 8)) * noise).astype(np.int64)
+    pivots, ids = np.concatenate([np.zeros((1, 8)), centres]), np.arange(6000)
+    q = packed(v[:100], ids[:100], pivots)
+    found = topk_search.Found(100, 10)
+    for i in range(0, 6000, 1500):
+        topk_search.search_leaves(q, packed(v[i : i + 1500], ids[i : i + 1500], pivots), found)
+    for i, query in enumerate(q.ids):
+        s = v @ v[query]
+        assert found.ids[i].tolist() == [j for j in np.lexsort((ids, -s)) if j != query][:10]
+        assert found.scores[i].tolist() == s[found.ids[i]].tolist()
+    assert found.evaluated.sum() <= share * 100 * 6000
+
+
 def test_topk_leaves_candidates_out(spark):
     """Clustered vectors: the bounds must spare most evaluations, and blocks carry results on."""
     rng = np.random.default_rng(2)
