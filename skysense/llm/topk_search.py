@@ -12,9 +12,10 @@ blocks of rows; a block of queries keeps its best scores from one block of candi
 the next within a task.
 
 Blocks hold vectors that lie near the same pivot. A block of candidates is cut into leaves
-with the least and largest distance to each pivot, which bounds the scores of a leaf, and
-the leaves that are left are evaluated by one matrix product in single precision with a
-margin for its rounding; what passes is evaluated in whole numbers.
+with the least and largest distance to each pivot, which bounds the scores of a leaf. Where
+that leaves out few pairs of a block, the leaves that are left are evaluated at once. Scores
+are products of matrices in single precision with a margin for their rounding; what passes
+is evaluated in whole numbers.
 """
 
 from __future__ import annotations
@@ -309,15 +310,13 @@ def search_leaves(q: Block, c: Block, found: Found) -> None:
         search_block(q, c, lists)
         found.take(lists)
         return
-    bound = leaf_bounds(q, c)
-    size, some = np.array([x.stop - x.start for x in c.leaves]), bound >= found.least[:, None]
-    left = np.flatnonzero(some.any(axis=0))
-    if not len(left):
-        return
-    if (some[:, left] @ size[left]).sum() > 0.5 * some.any(axis=1).sum() * size[left].sum():
-        # Most queries need most of what is left.
-        whole = len(left) == len(c.leaves)
-        evaluate(q, c, np.flatnonzero(some.any(axis=1)), slice(0, len(c.ids)) if whole else np.concatenate([np.arange(c.leaves[x].start, c.leaves[x].stop) for x in left]), found)
+    bound, least = leaf_bounds(q, c), found.least
+    size, some = np.array([x.stop - x.start for x in c.leaves]), bound >= least[:, None]
+    left, rows = np.flatnonzero(some.any(axis=0)), np.flatnonzero(some.any(axis=1))
+    if least.min() > -np.inf and (some[:, left] @ size[left]).sum() > 0.5 * len(rows) * size[left].sum():
+        # Most queries need most of what is left, so that its order spares little.
+        at = slice(0, len(c.ids)) if len(left) == len(c.leaves) else np.concatenate([np.arange(c.leaves[x].start, c.leaves[x].stop) for x in left])
+        evaluate(q, c, rows, at, found)
         return
     for x in left[np.argsort(-bound[:, left].max(axis=0), kind="stable")]:
         rows = np.flatnonzero(bound[:, x] >= found.least)
